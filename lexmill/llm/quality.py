@@ -94,8 +94,9 @@ def score_texts(texts: list[bytes], model: Model, pairs: np.ndarray) -> np.ndarr
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(sample: list[tuple[str, int]], epochs: int = 10, batch: int = 32, rate: float = 4e-3, seed: int = 7) -> Model:
-    """Adam on the log loss; the gradient of a pooled response goes to the place that had the maximum."""
+def fit(sample: list[tuple[str, int]], steps: int = 1_250, batch: int = 32, rate: float = 4e-3, seed: int = 7) -> Model:
+    """Adam on the log loss, in about ``steps`` batches (60 epochs at most); the gradient of a pooled response goes to the place
+    that had the maximum."""
     rng = np.random.default_rng(seed)
     p = {
         "embed": rng.normal(0, 0.5, (256, CHANNELS)).astype(np.float32),
@@ -114,6 +115,7 @@ def fit(sample: list[tuple[str, int]], epochs: int = 10, batch: int = 32, rate:
     p["out_bias"][:] = np.log((labels.mean() + 0.01) / (1.01 - labels.mean()))
     p["out"][:] = rng.normal(0, 0.1, 2 * FILTERS)
     m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
+    epochs = min(60, max(1, round(steps * batch / len(sample))))
     for epoch in range(epochs):
         order = rng.permutation(len(sample))
         for i in range(0, len(order), batch):

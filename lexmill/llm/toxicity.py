@@ -25,7 +25,7 @@ from .quality import _with
 
 BITS = 22
 SIZE = 1 << BITS
-FIT_ROWS, FIT_TEXT_BYTES = 6_000, 32_768
+FIT_ROWS, FIT_TEXT_BYTES = 10_000, 32_768
 EDGE = "\"'`.,;:!?()[]{}<>*#&%$|~_-…«»“”‘’¡¿/\\"
 IDENTITY = (
     ("women", "men", "girls", "boys"),
@@ -112,7 +112,7 @@ def swapped(text: str, groups, most: int) -> list[tuple[str, str]]:
     return out
 
 
-def fit(sample: list[tuple[str, int]], identity=IDENTITY, strength: float = 10.0, sparse: float = 2e-4, rounds: int = 400, swaps: int = 64) -> Model:
+def fit(sample: list[tuple[str, int]], identity=IDENTITY, strength: float = 10.0, sparse: float = 5e-5, rounds: int = 400, swaps: int = 64) -> Model:
     """Proximal gradient on log loss + ``strength`` * mean squared score change under swaps + ``sparse`` * sum of weights.
 
     Features seen in three or more toxic documents and twice as often there as elsewhere, and those of the identity terms,
@@ -123,9 +123,13 @@ def fit(sample: list[tuple[str, int]], identity=IDENTITY, strength: float = 10.0
         share = y.mean() if len(y) else 0.5
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((share + 0.01) / (1.01 - share))))
     texts = pa.array([t for t, _ in sample], pa.large_string())
-    parts = [(d + a, f) for a, b in text_groups(byte_lengths(texts)) for d, f in [document_features(texts.slice(a, b - a))]]
-    docs, feats = (np.concatenate(x) for x in zip(*parts))
-    toxic, clean = np.bincount(feats[y[docs] == 1], minlength=SIZE), np.bincount(feats[y[docs] == 0], minlength=SIZE)
+    toxic, clean = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)
+    groups = list(text_groups(byte_lengths(texts)))
+    for a, b in groups:
+        d, f = document_features(texts.slice(a, b - a))
+        bad = y[a + d] == 1
+        toxic += np.bincount(f[bad], minlength=SIZE)
+        clean += np.bincount(f[~bad], minlength=SIZE)
     used = (toxic >= 3) & (toxic * (y == 0).sum() >= 2 * np.maximum(clean, 1) * (y == 1).sum())
     pairs = [(t, s) for text, _ in sample for t, s in swapped(text, identity, swaps)][: 40 * len(sample)]
     if pairs:
@@ -134,8 +138,8 @@ def fit(sample: list[tuple[str, int]], identity=IDENTITY, strength: float = 10.0
     keep = np.flatnonzero(used)
     column = np.full(SIZE, -1, np.int64)
     column[keep] = np.arange(len(keep))
-    ok = column[feats] >= 0
-    rows, cols = docs[ok], column[feats[ok]]
+    parts = [(a + d, column[f]) for a, b in groups for d, f in [document_features(texts.slice(a, b - a), keep)]]
+    rows, cols = (np.concatenate(x) for x in zip(*parts))
     before, after = (document_features(pa.array([p[k] for p in pairs], pa.large_string()), keep) for k in (0, 1))
     pair_rows = np.concatenate([before[0], after[0]])
     pair_cols = column[np.concatenate([before[1], after[1]])]
