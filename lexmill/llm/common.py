@@ -2,55 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, drop_path, shared_dir, staging_path  # noqa: F401
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are worked on in groups of about this many bytes, so that a worker's memory does not follow the batch size.
 GROUP_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Where that is unset, a local session gets a temporary folder of its own; any other session is an error.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not conf.get("spark.master", "local").split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="lexmill-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def staging_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = staging_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

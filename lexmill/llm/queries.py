@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chunk_dedup, mixing, quality, token_store, toxicity
+from . import ann, chunk_dedup, mixing, near_dup, pii, quality, token_store, toxicity
 from .common import id_bucket, staging_path, table
 
 #: The limit from which a score counts as label 1.
@@ -54,6 +54,14 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
 def queries() -> dict:
     return {
         "op1_token_planes": op1_token_planes,
@@ -61,7 +69,9 @@ def queries() -> dict:
         "op3_toxicity": op3_toxicity,
         "op4_permutation_ann": op4_permutation_ann,
         "op5_chunk_dedup": op5_chunk_dedup,
+        "op8_pii_boosting": op8_pii_boosting,
         "op9_source_mix": op9_source_mix,
+        "op10_minhash_join": op10_minhash_join,
     }
 
 
