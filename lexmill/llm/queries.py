@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chunk_dedup, mixing, near_dup, pii, quality, token_store, toxicity
+from . import ann, bloom_lm, chunk_dedup, mixing, near_dup, pii, quality, token_store, toxicity
 from .common import id_bucket, staging_path, table
 
 #: The limit from which a score counts as label 1.
@@ -54,6 +54,13 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = bloom_lm.fit(docs.where(id_bucket("doc_id", 7) != 2))
+    held = F.coalesce(id_bucket("doc_id", 7) == 2, F.lit(True)).alias("held_out")
+    return bloom_lm.score(docs, model).select("doc_id", held, "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -69,6 +76,7 @@ def queries() -> dict:
         "op3_toxicity": op3_toxicity,
         "op4_permutation_ann": op4_permutation_ann,
         "op5_chunk_dedup": op5_chunk_dedup,
+        "op6_bloom_lm": op6_bloom_lm,
         "op8_pii_boosting": op8_pii_boosting,
         "op9_source_mix": op9_source_mix,
         "op10_minhash_join": op10_minhash_join,
