@@ -39,11 +39,11 @@ WIDE = rf"{BASE['phone']}|(?:(?<![{_LOCAL}])|\G){_MAIL}|{_IP6}|{BASE['ip']}|{_CA
 _WIDE_NEEDS = r"[0-9][\x20()./:-]{0,2}[0-9]{2}|(?:\(|\[|\{|\x20)dot(?:\)|\]|\}|\x20)"
 FEATURES = ("kind", "length", "digits", "letters", "groups", "longest", "luhn", "before", "after", "context", "paren", "dots", "dashes", "spaces", "marks")
 _CONTEXT = (
-    r"(?i)(?:e-?mail|mail|contact|write|reach)[^\n]{0,12}$",
-    r"(?i)(?:ip|host|server|address|client|from)[^\n]{0,8}$",
-    r"(?i)(?:card|visa|master|amex|credit|debit|payment|pay)[^\n]{0,12}$",
-    r"(?i)(?:call|tel|phone|fax|mobile|cell|whatsapp|ring|dial)[^\n]{0,12}$",
-    r"(?i)(?:order|invoice|ref|isbn|version|token|hash|price|total|serial|page|code|date|build|sku|part|score)[^\n]{0,12}$",
+    r"(?i)(?<![a-z])(?:e-?mail|mail|contact|write|reach)[^\n]{0,12}$",
+    r"(?i)(?<![a-z])(?:ip|host|server|address|client|from)[^\n]{0,8}$",
+    r"(?i)(?<![a-z])(?:card|visa|master|amex|credit|debit|payment|pay)[^\n]{0,12}$",
+    r"(?i)(?<![a-z])(?:call|tel|phone|fax|mobile|cell|whatsapp|ring|dial)[^\n]{0,12}$",
+    r"(?i)(?<![a-z])(?:order|invoice|ref|isbn|version|token|hash|price|total|serial|page|code|date|build|sku|part|score)[^\n]{0,12}$",
 )
 _BLOCK = 256
 
@@ -216,7 +216,7 @@ def examples(n: int = 1_600, seed: int = 3) -> list[tuple[str, int]]:
             kind, make = pick(("card", card), ("phone", phone), ("mail", mail))
             out.append((f"{lead} {pick(*hints[kind])}{make()}{pick(' ', '. ', ', ', ' - ')}{word()}", 1))
         else:
-            out.append((f"{lead} {pick('', '', 'order ', 'ref. ', 'token = ', 'version ', 'total ')}{no()}{pick(' ', '. ', ', ')}{word()}", 0))
+            out.append((f"{lead} {pick('', '', 'order ', 'ref. ', 'token = ', 'version ', 'total ', 'call ', 'card ', 'pay ', 'mail ', 'phone ')}{no()}{pick(' ', '. ', ', ')}{word()}", 0))
     return out
 
 
