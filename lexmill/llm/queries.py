@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bloom_lm, chunk_dedup, mixing, near_dup, pii, quality, token_store, toxicity
+from . import ann, bloom_lm, chunk_dedup, decontaminate, mixing, near_dup, pii, quality, token_store, toxicity
 from .common import id_bucket, staging_path, table
 
 #: The limit from which a score counts as label 1.
@@ -61,6 +61,10 @@ def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score(docs, model).select("doc_id", held, "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -77,6 +81,7 @@ def queries() -> dict:
         "op4_permutation_ann": op4_permutation_ann,
         "op5_chunk_dedup": op5_chunk_dedup,
         "op6_bloom_lm": op6_bloom_lm,
+        "op7_latent_decontamination": op7_latent_decontamination,
         "op8_pii_boosting": op8_pii_boosting,
         "op9_source_mix": op9_source_mix,
         "op10_minhash_join": op10_minhash_join,
