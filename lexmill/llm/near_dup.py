@@ -32,7 +32,7 @@ _RNG = np.random.default_rng(71)
 _MULTIPLY = _RNG.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, K, dtype=np.uint64)
 _ORDER = _RNG.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.list_(pa.int32()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.list_(pa.int32()))])
 _SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
@@ -81,7 +81,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d1 = np.array([mix(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             d2 = np.array([mix(s * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             sigs = [signature(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2), pa.array(sigs, pa.list_(pa.int32()))], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("tie").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2), pa.array(sigs, pa.list_(pa.int32()))], schema=_SIGNED)
 
 
 def _set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,6 +165,19 @@ def posted_rows(postings: DataFrame) -> int:
     return max(100_000, postings.count())
 
 
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, tie (hash of the text), n, component_id, kept of every row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    signed = cut(docs.mapInArrow(_sign, "doc_id long, tie long, n long, d1 long, d2 long, sig array<int>"), "signatures")
+    named = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    classes = cut(named.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "classes")
+    parts = class_links(docs, classes.select("rep", "n", "sig"), percent)
+    member = classes.join(parts, "rep", "left").select("d1", "d2", "n", F.coalesce("comp", "rep").alias("component_id"))
+    found = signed.join(member, ["d1", "d2", "n"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return found.select("doc_id", "tie", "n", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: the groups of documents linked by 100 * |A and B| >= percent * |A or B|.
 
@@ -173,12 +186,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     links with nothing and is kept. Rows that repeat a doc_id each go with the group of their own text. Other columns are
     ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(docs.mapInArrow(_sign, "doc_id long, n long, d1 long, d2 long, sig array<int>"), "signatures")
-    named = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = cut(named.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "classes")
-    parts = class_links(docs, classes.select("rep", "n", "sig"), percent)
-    member = classes.join(parts, "rep", "left").select("d1", "d2", "n", F.coalesce("comp", "rep").alias("component_id"))
-    found = signed.join(member, ["d1", "d2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return _grouped(docs, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` but for those of a group's other documents; of rows alike in doc_id and text one stays.
+
+    Rows to leave are few against all, so their keys are sent to the workers if there are SEND_IDS at most and joined through an
+    exchange beyond that.
+    """
+    found = cut(_grouped(docs, percent), "groups")
+    keyed = docs.withColumn("_tie", F.xxhash64("text"))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_gone")).distinct()
+    left = keyed.join(F.broadcast(gone) if gone.count() <= SEND_IDS else gone, (F.col("doc_id") == F.col("_doc")) & (F.col("_tie") == F.col("_gone")), "left_anti")
+    again = found.where("kept").groupBy("doc_id", "tie").count().where("count > 1").select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_gone"))
+    if not again.take(1):
+        return left.select(docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_tie") == F.col("_gone"))
+    return left.join(again, same, "left_anti").unionAll(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
