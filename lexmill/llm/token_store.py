@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,8 +32,6 @@ from .common import byte_lengths, ragged, split_words, text_groups
 
 BLOCK_SCHEMA = "part int, chunk long, n_ids long, planes array<binary>, doc_ids array<long>, doc_ends array<long>"
 PIECE_SCHEMA = "part int, ordinal long, doc_id long, chunk long, n long, begin long, crc long, bytes binary"
-#: Words kept with their ids by one worker at most; the table is emptied beyond that.
-KNOWN_WORDS = 400_000
 
 
 def to_planes(ids: np.ndarray, mode: str, level: int) -> list[bytes]:
@@ -59,69 +58,172 @@ def from_planes(planes: list[bytes], n: int, mode: str) -> np.ndarray:
     return ids
 
 
+#: Words of letters with marks behind, the letters all ASCII or Latin-1: what the array form of the merges takes.
+_PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*[!-&(-/:-@\\[-`{-~]*$"
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_LONGEST = 64
+
+
+class Merges:
+    """Byte-pair merges of many words at once, on arrays.
+
+    Words of one length are the rows of a matrix of symbols. In each round every row merges its pair of lowest rank, the
+    leftmost of those, so all rows shrink together; rows without a pair left are done. Only the two pairs beside a merge get
+    a new rank.
+    """
+
+    NONE = np.int32(1 << 30)
+
+    def __init__(self, vocab: dict[str, int], merges: list, end: str):
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(printable)]
+        letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.inner = np.array([vocab[letter[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[letter[b] + end] for b in range(256)], np.int64)
+        pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in merges]
+        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        symbols = np.concatenate([self.inner, self.last])
+        self.bytes = self.rank(np.repeat(symbols, 512), np.tile(symbols, 512)).reshape(512, 512)  # of pairs of single bytes
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], self.NONE)
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start of each word's ids, number of them); an empty word has none."""
+        words = words.cast(pa.large_binary())
+        n = len(words)
+        edges = np.frombuffer(words.buffers()[1], np.int64, n + 1, words.offset * 8)
+        raw = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] is not None else np.zeros(0, np.uint8)
+        size = np.diff(edges)
+        starts, counts, pool, used = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
+        for length in np.unique(size[size > 0]).tolist():
+            rows = np.flatnonzero(size == length)
+            raw_rows = raw[edges[rows][:, None] + np.arange(length)]
+            s = self.inner[raw_rows]
+            s[:, -1] = self.last[raw_rows[:, -1]]
+            code = raw_rows.astype(np.int64)
+            code[:, -1] += 256
+            r = self.bytes[code[:, :-1], code[:, 1:]]
+            while True:
+                if s.shape[1] > 1:
+                    at = r.argmin(axis=1)
+                    best = r[np.arange(len(r)), at]
+                    over = best == self.NONE
+                else:
+                    over = np.ones(len(s), bool)
+                if over.any():
+                    starts[rows[over]] = used + np.arange(over.sum()) * s.shape[1]
+                    counts[rows[over]] = s.shape[1]
+                    pool.append(s[over].ravel())
+                    used += pool[-1].size
+                    if over.all():
+                        break
+                    rows, s, r, at, best = rows[~over], s[~over], r[~over], at[~over], best[~over]
+                each, width = np.arange(len(s)), s.shape[1]
+                s[each, at] = self.merged[best]
+                cols = np.arange(width - 1)
+                s = np.take_along_axis(s, cols + (cols > at[:, None]), axis=1)
+                if width == 2:
+                    r = r[:, :0]
+                    continue
+                cols = np.arange(width - 2)
+                r = np.take_along_axis(r, cols + (cols >= at[:, None]), axis=1)
+                left, right = at > 0, at < width - 2
+                k = each[left]
+                r[k, at[left] - 1] = self.rank(s[k, at[left] - 1], s[k, at[left]])
+                k = each[right]
+                r[k, at[right]] = self.rank(s[k, at[right]], s[k, at[right] + 1])
+        return (np.concatenate(pool) if pool else np.zeros(0, np.int64)).astype(np.uint32), starts, counts
+
+
 class Encoder:
-    """Ids of whole texts from a tokenizer whose pieces never span ASCII white space.
+    """Ids of whole texts from a tokenizer file, by its different words where its pieces never span ASCII white space.
 
-    Such a tokenizer gives a text the ids of its white-space separated words in order, so each different word is encoded
-    once and remembered. ``word_safe`` tells whether a tokenizer file is of that kind; others encode texts directly.
+    Words of plain letters and marks of a byte-level merge table go through ``Merges``; all other words, and whole texts of
+    tokenizers of another kind, through the tokenizers library.
     """
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.safe = self.word_safe()
-        self.clear()
-
-    def word_safe(self) -> bool:
-        """Pre-tokens that leave white space out, and no post-processing: then words stand alone."""
-        import json
-
         spec = json.loads(self.tokenizer.to_str())
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
-        drops = any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and "\\s" in str(s["pattern"]) for s in steps)
-        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
-        return drops and plain and not spec.get("post_processor") and not spec.get("truncation")
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.lengths = np.zeros(1 << 12, np.int64)
-        self.used = 0
-
-    def learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids, k = e.ids, len(self.known)
-                if self.used + len(ids) > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-                if k >= len(self.starts):
-                    self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.starts[k], self.lengths[k] = self.used, len(ids)
-                self.known[w] = k
-                self.used += len(ids)
+        marks = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
+        splits = [x for x in steps if x.get("type") == "Split" and x.get("behavior") == "Removed" and x.get("invert")]
+        self.by_word = bool(marks and splits and "\\s" in splits[0]["pattern"].get("Regex", "") and not spec.get("post_processor") and not spec.get("truncation"))
+        model = spec["model"]
+        norms = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers") or []]
+        known = "[\\p{L}]+" in splits[0]["pattern"].get("Regex", "") and "[^\\s\\p{L}\\p{N}]+" in splits[0]["pattern"].get("Regex", "") if splits else False
+        level = steps and steps[-1].get("type") == "ByteLevel" and not steps[-1].get("add_prefix_space") and not steps[-1].get("use_regex")
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges")) and norms == ["NFC", "Replace", "Lowercase"]
+        self.merges = Merges(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "") if self.by_word and known and level and plain else None
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, count) of different words."""
+        n = len(words)
+        fast = np.zeros(n, bool)
+        parts, starts, counts, used = [], np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+        if self.merges:
+            fast = np.asarray(pc.and_(pc.match_substring_regex(words, _PLAIN), pc.less_equal(pc.binary_length(words), _LONGEST)))
+            own = words.filter(pa.array(fast))
+            stems = pc.utf8_rtrim(own, characters=_MARKS)
+            size, whole = (np.asarray(pc.binary_length(x), dtype=np.int64) for x in (stems, own))
+            raw = own.cast(pa.large_binary())
+            behind = np.flatnonzero(whole > size)
+            tails = _slices(raw, behind, size)
+            stems = pc.utf8_lower(stems).dictionary_encode()
+            tails = tails.dictionary_encode()
+            ids_a, at_a, n_a = self.merges.encode(stems.dictionary)
+            ids_b, at_b, n_b = self.merges.encode(tails.dictionary)
+            a, b = np.asarray(stems.indices).astype(np.int64), np.asarray(tails.indices).astype(np.int64)
+            first, second = n_a[a], np.zeros(len(a), np.int64)
+            second[behind] = n_b[b]
+            place = np.cumsum(first + second) - first - second
+            out = np.zeros(int((first + second).sum()), np.uint32)
+            out[ragged(place, first)] = ids_a[ragged(at_a[a], first)]
+            out[ragged((place + first)[behind], n_b[b])] = ids_b[ragged(at_b[b], n_b[b])]
+            starts[fast], counts[fast] = place, first + second
+            parts.append(out)
+            used = len(out)
+        rest = np.flatnonzero(~fast)
+        if len(rest):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words.take(pa.array(rest)).to_pylist(), add_special_tokens=False)]
+            counts[rest] = [len(i) for i in ids]
+            starts[rest] = used + np.cumsum(counts[rest]) - counts[rest]
+            parts.append(np.array([i for own in ids for i in own], np.uint32))
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), starts, counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of ids of each)."""
-        if not self.safe:
+        if not self.by_word:
             each = [e.ids for e in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
             return np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each], np.int64)
         offsets, words = split_words(texts, lower=False)
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         coded = words.dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        if len(self.known) + len(different) > KNOWN_WORDS:
-            self.clear()
-        known = self.known
-        self.learn([w for w in different if w not in known])
-        place = np.fromiter((known[w] for w in different), np.int64, len(different))[np.asarray(coded.indices)]
-        lengths = self.lengths[place]
+        ids, starts, counts = self.words(coded.dictionary)
+        codes = np.asarray(coded.indices)
+        lengths = counts[codes]
         total = np.concatenate([[0], np.cumsum(lengths)])
-        return self.pool[ragged(self.starts[place], lengths)], np.diff(total[offsets])
+        return ids[ragged(starts[codes], lengths)], np.diff(total[offsets])
+
+
+def _slices(raw: pa.Array, rows: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The bytes from ``begin`` on of the given rows."""
+    edges = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
+    a, n = edges[rows] + begin[rows], edges[rows + 1] - edges[rows] - begin[rows]
+    data = np.frombuffer(raw.buffers()[2], np.uint8)[ragged(a, n)] if len(rows) else np.zeros(0, np.uint8)
+    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def _blocks(path: str, end_id: int, block_ids: int, mode: str, level: int):
@@ -140,7 +242,7 @@ def _blocks(path: str, end_id: int, block_ids: int, mode: str, level: int):
         end_of_part = 0
         for batch in batches:
             texts, names = batch.column("text"), batch.column("doc_id").to_pylist()
-            for a, b in text_groups(byte_lengths(texts)):
+            for a, b in text_groups(byte_lengths(texts), 6 << 20):
                 ids, n = encoder.encode(texts.slice(a, b - a))
                 out = np.full(len(ids) + len(n), end_id, np.uint32)
                 out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
