@@ -43,9 +43,18 @@ def byte_lengths(texts: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
 
 
+def fresh(texts: pa.Array) -> pa.Array:
+    """A copy of a string array with buffers of its own, nulls as ''.
+
+    Some string kernels read the wrong bytes of an array whose first offset isn't zero, as casts of slices have.
+    """
+    texts = pc.take(texts, pa.array(np.arange(len(texts))))
+    return pc.fill_null(texts.cast(pa.large_string()), "")
+
+
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
     """Words of each text: (offsets of the texts into the words, all words). A null text has none."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = fresh(texts)
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import byte_lengths, hash_words, ragged, split_words, text_groups
+from .common import byte_lengths, fresh, hash_words, ragged, split_words, text_groups
 from .labelled import labelled_sample
 from .quality import _with
 
@@ -75,7 +75,7 @@ def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def document_features(texts: pa.Array, keep=None) -> tuple[np.ndarray, np.ndarray]:
     """(document, feature) pairs without repeats; ``keep``: ascending features that count."""
-    offsets, words = split_words(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), lower=False)
+    offsets, words = split_words(pc.utf8_lower(fresh(texts)), lower=False)
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     coded = words.dictionary_encode()
