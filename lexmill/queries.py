@@ -1,11 +1,481 @@
-"""Registered queries of the core operators and their SQL."""
+"""Registered queries of the core operators and their SQL for DuckDB."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .functions import vocabulary as V
+from .operators import chunk, clean, components, dedup, evaluate, report, retrieve, sample, split, vectors
+
+RULES = {"min_instruction": 60, "min_output": 80, "max_output": 900, "entertainment": V.LATIN_ENTERTAINMENT, "low_quality": V.LATIN_LOW_QUALITY}
+EDGE = 0.40
+PACKS = {"first": ("haus", "maison"), "second": ("ation", "ento"), "third": ("schen", "tion"), "fourth": ("que", "the")}
+QUOTAS = {"first": 3, "second": 4, "third": 3, "fourth": 2}
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    """pos, instruction, output: every user turn with the assistant's turn behind it."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = _table(spark, d, "conversations").withColumn("n_role", F.lead("role").over(w)).withColumn("n_text", F.lead("text").over(w))
+    c = c.where((F.col("role") == "user") & (F.col("n_role") == "assistant"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.col("text").alias("instruction"), F.col("n_text").alias("output"))
+
+
+_PAIRS = "p0 AS (SELECT conv_id * 1000 + turn AS pos, role, text, lead(role) OVER w AS n_role, lead(text) OVER w AS n_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), pairs AS (SELECT pos, text AS instruction, n_text AS output FROM p0 WHERE role = 'user' AND n_role = 'assistant')"
+_WS = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
+_STRIP = lambda c: f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _any(c: str, words) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+_CLASSIFIED = f"""{_PAIRS}, s AS (SELECT pos, {_STRIP('instruction')} AS i, {_STRIP('output')} AS o FROM pairs),
+classified AS (SELECT pos, i, o, CASE WHEN length(i) < 60 OR length(o) < 80 THEN 'too_short'
+ WHEN regexp_matches(o, '第{_WS}*0{_WS}*条|第{_WS}*[a-zA-Z]+{_WS}*条') THEN 'invalid_article_ref'
+ WHEN contains(o, '{V.TEMPLATE_LEAD}') AND NOT regexp_matches(o, '《.*?》第\\p{{Nd}}+条') THEN 'template_reply'
+ WHEN regexp_matches(i || ' ' || o, '答：{_WS}*\\.\\.\\.|无内容|error|undefined|\\[.*?\\]|<.*?>') THEN 'format_error'
+ WHEN {_any("lower(i || ' ' || o)", V.LATIN_ENTERTAINMENT)} THEN 'entertainment'
+ WHEN {_any("lower(i || ' ' || o)", V.FACT)} AND NOT {_any("lower(i || ' ' || o)", V.LAW_TERMS)} THEN 'fact_memorization'
+ WHEN {_any('lower(o)', V.LATIN_LOW_QUALITY)} THEN 'low_quality'
+ WHEN {_any('o', V.TEMPLATES)} THEN 'template_reply'
+ WHEN length(o) < 80 OR length(o) > 900 THEN 'length_abnormal'
+ WHEN i = o THEN 'duplicate_content' END AS reason FROM s)"""
+
+
+def classified(spark: SparkSession, d: str) -> DataFrame:
+    return clean.classify(pairs(spark, d), **RULES)
+
+
+def q_clean_reasons(spark, d):
+    return classified(spark, d).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_clean_kept(spark, d):
+    return clean.kept(classified(spark, d)).select("pos", "instruction", "output")
+
+
+def q_clean_stats(spark, d):
+    return clean.clean_stats(classified(spark, d)).select("original", "cleaned", "filtered")
+
+
+#: Texts that meet each rule on Chinese, derived from the ids so that SQL has them too.
+_CASES = ("根据相关法律规定，可以。", "依照第 0 条的规定处理。", "依照第 abc 条的规定处理。", "根据相关法律规定，见《刑法》第12条。", "答：  ...", "见[这里]的内容", "首都的人口", "首都的刑法", "很抱歉，再见", "研究表明如此", "正常的内容")
+
+
+def _cases(spark, d):
+    arr = F.array(*[F.lit(c) for c in _CASES])
+    docs = _table(spark, d, "documents")
+    pick = F.element_at(arr, (F.pmod(F.col("doc_id"), F.lit(len(_CASES))) + 1).cast("int"))
+    return docs.select(F.col("doc_id").alias("pos"), F.lit("这是一个问题").alias("instruction"), F.concat(pick, F.lit("。补充说明其余内容不变，"), F.repeat(F.lit("长"), 12)).alias("output"))
+
+
+def q_clean_chinese(spark, d):
+    return clean.classify(_cases(spark, d)).select("pos", F.coalesce("reason", F.lit("kept")).alias("reason"))
+
+
+_CHINESE = f"""WITH c AS (SELECT doc_id AS pos, '这是一个问题' AS i, {list(_CASES)!r}[doc_id % {len(_CASES)} + 1] || '。补充说明其余内容不变，' || repeat('长', 12) AS o FROM documents)
+SELECT pos, CASE WHEN length(i) < 5 OR length(o) < 20 THEN 'too_short'
+ WHEN regexp_matches(o, '第{_WS}*0{_WS}*条|第{_WS}*[a-zA-Z]+{_WS}*条') THEN 'invalid_article_ref'
+ WHEN contains(o, '{V.TEMPLATE_LEAD}') AND NOT regexp_matches(o, '《.*?》第\\p{{Nd}}+条') THEN 'template_reply'
+ WHEN regexp_matches(i || ' ' || o, '答：{_WS}*\\.\\.\\.|无内容|error|undefined|\\[.*?\\]|<.*?>') THEN 'format_error'
+ WHEN {_any("lower(i || ' ' || o)", V.ENTERTAINMENT)} THEN 'entertainment'
+ WHEN {_any("lower(i || ' ' || o)", V.FACT)} AND NOT {_any("lower(i || ' ' || o)", V.LAW_TERMS)} THEN 'fact_memorization'
+ WHEN {_any('lower(o)', V.LOW_QUALITY)} THEN 'low_quality' WHEN {_any('o', V.TEMPLATES)} THEN 'template_reply'
+ WHEN length(o) > 2000 THEN 'length_abnormal' WHEN i = o THEN 'duplicate_content' ELSE 'kept' END AS reason FROM c"""
+
+
+def q_clean_docs(spark, d):
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("source").alias("instruction"), F.col("text").alias("output"))
+    got = docs.withColumn("reason", clean.reason("instruction", X.strip("output"), min_instruction=1, entertainment=(), fact=(), low_quality=(), templates=()))
+    return got.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_CLEAN_DOCS = f"""WITH s AS (SELECT source AS i, {_STRIP('text')} AS o FROM documents), c AS (SELECT CASE WHEN length(i) < 1 OR length(o) < 20 THEN 'too_short'
+ WHEN regexp_matches(o, '第{_WS}*0{_WS}*条|第{_WS}*[a-zA-Z]+{_WS}*条') THEN 'invalid_article_ref'
+ WHEN regexp_matches(i || ' ' || o, '答：{_WS}*\\.\\.\\.|无内容|error|undefined|\\[.*?\\]|<.*?>') THEN 'format_error'
+ WHEN length(o) > 2000 THEN 'length_abnormal' WHEN i = o THEN 'duplicate_content' ELSE 'kept' END AS reason FROM s) SELECT reason, count(*) AS n FROM c GROUP BY reason"""
+
+
+def q_alpaca(spark, d):
+    return clean.to_alpaca(clean.kept(classified(spark, d)))
+
+
+def q_sharegpt(spark, d):
+    turns = clean.to_sharegpt(clean.kept(classified(spark, d)))
+    return turns.select(F.size("conversations").alias("turns"), F.col("conversations")[0]["from"].alias("first_from"), F.length(F.col("conversations")[0]["value"]).alias("first_len"), F.length(F.col("conversations")[1]["value"]).alias("second_len"))
+
+
+def q_pair_projection(spark, d):
+    p = clean.normalise(pairs(spark, d))
+    return p.select("pos", X.content_hash(X.joined()).alias("hash"), F.length(X.joined()).alias("len"))
+
+
+def q_exact_dedup(spark, d):
+    return dedup.exact(_table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id")
+
+
+def q_exact_removed(spark, d):
+    return dedup.exact_removed(_table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id")
+
+
+def q_dup_groups(spark, d):
+    return dedup.duplicate_groups(_table(spark, d, "documents"), "text", "doc_id")
+
+
+_HASH = f"md5(regexp_replace(text, '{_WS}+', '', 'g'))"
+
+
+def _edges(spark, d):
+    return dedup.semantic_edges(_table(spark, d, "embeddings"), "vec_id", "embedding", EDGE)
+
+
+_SIM = "n AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM n)"
+_KNN = _SIM + ", k AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 12) AS s FROM u a, u b WHERE a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM k)"
+_PARTS = _KNN.replace("n AS (", "RECURSIVE n AS (", 1) + f", e AS (SELECT a, b FROM r WHERE rank <= 19 AND s >= {EDGE} UNION SELECT b, a FROM r WHERE rank <= 19 AND s >= {EDGE}), reach(node, other) AS (SELECT a, a FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.other = e.a), parts AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"
+
+
+def q_knn_edges(spark, d):
+    return _edges(spark, d).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def q_knn_top5(spark, d):
+    found = vectors.self_neighbours(_table(spark, d, "embeddings"), "vec_id", "embedding", 5)
+    return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def q_components(spark, d):
+    return components.connected_components(_edges(spark, d).select("a", "b"))
+
+
+def q_removal_log(spark, d):
+    _, log = dedup.semantic(_table(spark, d, "embeddings"), "vec_id", "embedding", EDGE)
+    return log.select("removed_id", "kept_id", F.round("similarity", 6).alias("similarity"))
+
+
+def q_semantic_kept(spark, d):
+    rows, _ = dedup.semantic(_table(spark, d, "embeddings"), "vec_id", "embedding", EDGE)
+    return rows.select("vec_id")
+
+
+def _searched(spark, d, k=5, **more):
+    e = _table(spark, d, "embeddings")
+    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    return retrieve.top_k(q, e.select(F.col("vec_id").alias("id"), "embedding", "label"), k, vector="embedding", **more)
+
+
+def q_topk(spark, d):
+    return _searched(spark, d).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def q_topk_filtered(spark, d):
+    return _searched(spark, d, only=F.col("label") == 3).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def q_topk_prefiltered(spark, d):
+    return _searched(spark, d, only=F.col("label") == 3, filter_first=True).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def q_rerank(spark, d):
+    found = _searched(spark, d)
+    return retrieve.rerank(found, F.pmod(F.col("id") * 7919, F.lit(101)).cast("double"), 3).select("query_id", "id", "rank", "score")
+
+
+_Q = _SIM + ", k AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label, q.label AS q_label, round(list_dot_product(q.v, c.v), 12) AS s FROM u q, u c WHERE q.vec_id % 10 = 0{where}), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r3 FROM k) WHERE r3 <= 15{post}), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM f)"
+
+
+def q_retrieval_metrics(spark, d):
+    e = _table(spark, d, "embeddings")
+    queries = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("q_label"))
+    found = _searched(spark, d).select(F.col("query_id").alias("qid"), "id", "rank", "label").where("qid <> id")
+    best = found.join(queries, "qid").where("label = q_label").groupBy("qid").agg(F.min("rank").alias("rank"))
+    got = evaluate.ranked(queries, best)
+    return got.select(*[F.round(c, 6).alias(c) for c in got.columns[:-1]], "num_queries")
+
+
+def q_ability_class(spark, d):
+    docs = _table(spark, d, "documents")
+    return docs.groupBy(sample.ability("text", PACKS).alias("ability")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_CASE_ABILITY = "CASE " + " ".join(f"WHEN {_any('text', w)} THEN '{k}'" for k, w in PACKS.items()) + " ELSE 'unclassified' END"
+
+
+def q_quota_counts(spark, d):
+    docs = _table(spark, d, "documents").where(F.col("doc_id") >= 0)
+    e = _table(spark, d, "embeddings")
+    joined = docs.join(e, docs["doc_id"] == e["vec_id"]).select("doc_id", "text", "embedding")
+    return sample.sample(joined, "text", "embedding", "doc_id", QUOTAS, PACKS).groupBy("ability").agg(F.count(F.lit(1)).alias("n"))
+
+
+_QUOTAS = f"""WITH c AS (SELECT {_CASE_ABILITY} AS ability FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id), n AS (SELECT ability, count(*) AS n FROM c GROUP BY ability),
+q(ability, quota) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in QUOTAS.items())}), t AS (SELECT q.ability, least(quota, coalesce(n, 0)) AS n FROM q LEFT JOIN n USING (ability)),
+u AS (SELECT 'unclassified' AS ability, least({sum(QUOTAS.values())} - (SELECT sum(n) FROM t), coalesce((SELECT n FROM n WHERE ability = 'unclassified'), 0)) AS n)
+SELECT ability, n::BIGINT AS n FROM (SELECT * FROM t UNION ALL SELECT * FROM u) WHERE n > 0"""
+
+
+def q_kcenter(spark, d):
+    e = _table(spark, d, "embeddings").withColumn("group", F.col("label").cast("string"))
+    return sample.k_center_by_group(e, "group", "embedding", "vec_id", {str(i): 5 for i in range(10)}).select("vec_id", "label")
+
+
+RATIOS = {"en": 0.3, "de": 0.1, "fr": 0.5}
+
+
+def q_mix(spark, d):
+    return split.mix(_table(spark, d, "documents").select("doc_id", "lang"), "doc_id", RATIOS, source="lang").select("doc_id", "lang")
+
+
+_MIX = """WITH r(lang, ratio) AS (VALUES ('en', 0.3::DOUBLE), ('de', 0.1::DOUBLE), ('fr', 0.5::DOUBLE)), o AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS nth FROM documents)
+SELECT doc_id, o.lang FROM o JOIN r ON o.lang = r.lang WHERE nth <= floor((SELECT count(*) FROM documents) * ratio)"""
+
+
+def _split(spark, d):
+    return split.split(_table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", stratum=F.col("o_orderpriority"))
+
+
+def q_split_members(spark, d):
+    return _split(spark, d).select("o_orderkey", "split")
+
+
+def q_split_counts(spark, d):
+    return _split(spark, d).groupBy("o_orderpriority").agg(*[F.count_if(F.col("split") == s).alias(s) for s in split.SPLITS])
+
+
+def q_split_random(spark, d):
+    return split.split(_table(spark, d, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("key")).distinct(), "key").select("key", "split")
+
+
+_SPLIT = """WITH o AS (SELECT {key} AS key, {s} AS s FROM {t}), n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5('42:' || key), key) AS nth, count(*) OVER (PARTITION BY s) AS n FROM o),
+m AS (SELECT *, CASE WHEN nth <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN nth <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM n)"""
+
+
+def _law_text():
+    """A law made of a document: its source as the name, numbered articles, a reference within the second."""
+    name, n = F.concat(F.lit("法"), F.col("source")), (F.col("doc_id") % 7 + 1).cast("string")
+    return F.concat(F.lit("# "), name, F.lit("\n\n20"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit("年1月2日 通过\n\n## 第一章 总则\n\n第一条 "), F.substring("text", 1, 40), F.lit("\n\n第二条 依照《"), name, F.lit("》第"), n, F.lit("条， "), F.substring("text", 41, 60))
+
+
+_LAW = "'# 法' || source || chr(10) || chr(10) || '20' || lpad((doc_id % 100)::VARCHAR, 2, '0') || '年1月2日 通过' || chr(10) || chr(10) || '## 第一章 总则' || chr(10) || chr(10) || '第一条 ' || substr(text, 1, 40) || chr(10) || chr(10) || '第二条 依照《法' || source || '》第' || (doc_id % 7 + 1) || '条， ' || substr(text, 41, 60)"
+
+
+def q_article_split(spark, d):
+    t = _table(spark, d, "documents").select("doc_id", F.posexplode(chunk.articles(_law_text())).alias("pos", "a"))
+    return t.select("doc_id", "pos", "a.article", F.length("a.content").alias("len"), F.md5(F.col("a.content").cast("binary")).alias("content_md5"))
+
+
+_ARTICLES = f"""WITH t AS (SELECT doc_id, {_LAW} AS t FROM documents), p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(t, '(第[一二三四五六七八九十百千万零\\p{{Nd}}]+条)', chr(1) || '\\1', 'g'), chr(1)), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '')) AS content, generate_subscripts(list_filter(list_transform(string_split(regexp_replace(t, '(第[一二三四五六七八九十百千万零\\p{{Nd}}]+条)', chr(1) || '\\1', 'g'), chr(1)), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> ''), 1) - 1 AS pos FROM t)
+SELECT doc_id, pos::INT AS pos, regexp_extract(content, '^(第[一二三四五六七八九十百千万零\\p{{Nd}}]+条)', 1) AS article, length(content)::INT AS len, md5(content) AS content_md5 FROM p"""
+
+
+def q_law_meta(spark, d):
+    return _table(spark, d, "documents").select("doc_id", chunk.law_name(_law_text()).alias("law_name"), chunk.effective_date(_law_text()).alias("effective_date"))
+
+
+def _chunks(spark, d):
+    return chunk.split_documents(_table(spark, d, "documents").select("doc_id", _law_text().alias("content"), "source"), 64, 8)
+
+
+def q_chunk_lengths(spark, d):
+    return _chunks(spark, d).groupBy("article").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("content")).alias("longest"))
+
+
+def q_chunks_per_law(spark, d):
+    t = _table(spark, d, "documents").select(chunk.law_name(_law_text()).alias("law_name"), F.explode(chunk.articles(_law_text())).alias("a"))
+    return chunk.chunks_per_law(t)
+
+
+def q_laws(spark, d):
+    return chunk.laws(_table(spark, d, "documents").select(chunk.law_name(_law_text()).alias("law_name")))
+
+
+def _samples(spark, d):
+    """Questions with true and predicted citations, derived from ids: predicted names are within true ones, every third is wrong."""
+    docs = _table(spark, d, "documents").select("doc_id", "source", (F.col("doc_id") % 7 + 1).alias("n"))
+    law = F.concat(F.lit("法"), F.col("source"))
+    said = F.concat(F.lit("见《"), F.col("source"), F.lit("》第"), (F.col("n") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).cast("string"), F.lit("条和《"), F.col("source"), F.lit("》第"), F.col("n").cast("string"), F.lit("条"))
+    truth = F.array(F.struct(law.alias("law_name"), F.concat(F.lit("第"), F.col("n").cast("string"), F.lit("条")).alias("article")))
+    return docs.select(F.col("doc_id").alias("qid"), truth.alias("truth"), said.alias("answer"))
+
+
+_SAMPLES = """d AS (SELECT doc_id AS qid, source, doc_id % 7 + 1 AS n, doc_id % 7 + 1 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS m FROM documents),
+pred AS (SELECT DISTINCT qid, source AS law_name, '第' || x || '条' AS article FROM (SELECT qid, source, m AS x FROM d UNION ALL SELECT qid, source, n FROM d)), truth AS (SELECT qid, '法' || source AS law_name, '第' || n || '条' AS article FROM d)"""
+
+
+def q_citations(spark, d):
+    c = _samples(spark, d).select("qid", F.explode(X.citations("answer")).alias("c"))
+    return c.select("qid", "c.law_name", "c.article")
+
+
+def q_citations_compat(spark, d):
+    c = _samples(spark, d).select("qid", F.explode(X.citations("answer", "条章节", "compat", False)).alias("c"))
+    return c.select("qid", "c.law_name", "c.article")
+
+
+def q_citation_metrics(spark, d):
+    s = _samples(spark, d).withColumn("predicted", F.transform(X.citations("answer"), lambda c: F.struct(c["law_name"].alias("law_name"), c["article"].alias("article"), (F.col("qid") % 2 == 0).alias("in_retrieved"))))
+    got = evaluate.citation_metrics(s)
+    return got.select(*[F.round(c, 6).alias(c) for c in got.columns[:-1]], "num_samples")
+
+
+def _rows(df, c):
+    return df.select("qid", F.explode(c).alias("x")).select("qid", "x.law_name", "x.article")
+
+
+def q_missed(spark, d):
+    s = _samples(spark, d)
+    wrong = _rows(s.where("qid % 5 <> 0"), X.citations("answer"))
+    return evaluate.missed(_rows(s, F.col("truth")), wrong).select("qid", "law_name", "article")
+
+
+def q_hallucinated(spark, d):
+    s = _samples(spark, d)
+    return evaluate.hallucinated(_rows(s, X.citations("answer")), _rows(s.where("qid % 4 <> 0"), F.col("truth"))).select("qid", "law_name", "article")
+
+
+def q_correct(spark, d):
+    s = _samples(spark, d)
+    return evaluate.matched(_rows(s, X.citations("answer")), _rows(s, F.col("truth"))).select("qid", "law_name", "article")
+
+
+def _answers(spark, d):
+    """Benchmark items as truths, with answers from documents: the item itself for every second, else the document of that number."""
+    b, docs = _table(spark, d, "benchmark"), _table(spark, d, "documents").select("doc_id", F.col("text").alias("other"), "lang")
+    j = b.join(docs, b["item_id"] == docs["doc_id"])
+    return j.select(F.col("item_id").alias("qid"), F.col("text").alias("ground_truth"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit(" "), F.lower("text"))).when(F.col("item_id") % 3 == 0, F.col("text")).otherwise(F.col("other")).alias("answer"), F.col("lang").alias("category"))
+
+
+_KW = f"""WITH j AS (SELECT item_id AS qid, b.text AS t, CASE WHEN item_id % 2 = 0 THEN ' ' || lower(b.text) WHEN item_id % 3 = 0 THEN b.text ELSE d.text END AS a, lang AS category FROM benchmark b JOIN documents d ON item_id = doc_id),
+k AS (SELECT *, lower(regexp_replace(regexp_replace(t, '{_WS}+', '', 'g'), '[，。！？；：''（）【】《》、,.!?;:]', '', 'g')) AS nt, lower(regexp_replace(regexp_replace(a, '{_WS}+', '', 'g'), '[，。！？；：''（）【】《》、,.!?;:]', '', 'g')) AS na, list_filter(string_split(regexp_replace(t, '([，。！？；：''（）【】《》、,.!?;:]|{_WS})+', ' ', 'g'), ' '), lambda w: length(w) >= 2) AS w FROM j),
+m AS (SELECT *, CASE WHEN length(t) < 100 THEN list_append(w, nt) ELSE w END AS kw FROM k),
+s AS (SELECT qid, category, nt = na AS exact, (len(list_filter(kw, lambda x: contains(a, x))) / len(kw)) >= 0.5 AS hit FROM m)"""
+
+
+def q_answer_score(spark, d):
+    got = evaluate.answers(_answers(spark, d))
+    return got.select(F.round("exact_match_rate", 6).alias("exact_match_rate"), F.round("keyword_match_rate", 6).alias("keyword_match_rate"), "num_samples")
+
+
+def q_by_category(spark, d):
+    return evaluate.by_category(_answers(spark, d)).select("category", F.round("accuracy", 6).alias("accuracy"))
+
+
+def q_refusal(spark, d):
+    docs = _table(spark, d, "documents")
+    s = docs.select(F.when(F.col("doc_id") % 4 == 0, V.UNANSWERABLE).otherwise("other").alias("category"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("该问题无法回答"), F.col("lang"))).otherwise(F.col("lang")).alias("answer"))
+    return evaluate.refusals(s).select(F.round("refusal_accuracy", 6).alias("refusal_accuracy"), "num_unanswerable")
+
+
+def _results(spark, d):
+    found = _searched(spark, d, 3).withColumns({"law_name": F.concat(F.lit("法"), F.col("label").cast("string")), "article": F.concat(F.lit("第"), (F.col("id") % 9 + 1).cast("string"), F.lit("条")), "chapter": F.when(F.col("id") % 2 == 0, "第一章").otherwise(""), "content": F.concat(F.lit("内容"), F.col("id").cast("string"))})
+    return found.where(F.col("query_id") != F.col("id")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+
+
+_RES = _Q.replace("{where}", "").replace("{post}", "").replace("r3 <= 15", "r3 <= 9") + ", t3 AS (SELECT query_id, id, label, s, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM t WHERE rank <= 3 AND query_id <> id), c AS (SELECT *, '法' || label AS law_name, '第' || (id % 9 + 1) || '条' AS article, CASE WHEN id % 2 = 0 THEN '第一章' ELSE '' END AS chapter, '内容' || id AS content FROM t3)"
+_CTX = "string_agg('[' || rank || '] ' || law_name || CASE WHEN chapter <> '' THEN ' ' || chapter ELSE '' END || ' ' || article || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)"
+
+
+def q_evidence(spark, d):
+    g = retrieve.gathered(_results(spark, d))
+    return g.select("query_id", retrieve.has_evidence("results", 0.38).alias("has_evidence"))
+
+
+def q_context(spark, d):
+    return retrieve.gathered(_results(spark, d)).select("query_id", X.context("results").alias("context"))
+
+
+def q_prompt(spark, d):
+    p = retrieve.gathered(_results(spark, d)).select("query_id", X.prompt(F.lit("问题"), X.context("results")).alias("p"))
+    return p.select("query_id", F.md5(F.col("p")[1]["content"].cast("binary")).alias("user_md5"), F.size("p").alias("messages"))
+
+
+def q_answer(spark, d):
+    g = _results(spark, d)
+    asked = g.select("query_id").distinct().withColumn("question", F.concat(F.lit("问题"), F.col("query_id").cast("string")))
+    a = retrieve.answer(asked, g, min_score=0.38)
+    return a.select("query_id", "has_evidence", F.md5(F.col("answer").cast("binary")).alias("answer_md5"), F.size("retrieved_docs").alias("docs"))
+
+
+_ANSWER = f"""WITH {_RES}, e AS (SELECT query_id, max(s) FILTER (rank = 1) >= 0.38 AS ok, count(*) AS n, string_agg('【《' || law_name || '》' || CASE WHEN chapter <> '' THEN ' ' || chapter ELSE '' END || ' ' || article || '】' || chr(10) || content || chr(10), chr(10) ORDER BY rank) AS body FROM c GROUP BY query_id)
+SELECT query_id, ok AS has_evidence, md5(CASE WHEN ok THEN '{V.LISTING[0]}问题' || query_id || '」，检索到以下相关法律条文：' || chr(10) || chr(10) || body || chr(10) || chr(10) || '{V.LISTING[2].strip()}' ELSE '{V.REFUSAL_ANSWER}' END) AS answer_md5, CASE WHEN ok THEN n ELSE 0 END::INT AS docs FROM e"""
+
+
+def q_compare(spark, d):
+    rows = None
+    for name, k in (("k1", 1), ("k5", 5)):
+        e = _table(spark, d, "embeddings")
+        queries = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("q_label"))
+        found = _searched(spark, d, k + 1).select(F.col("query_id").alias("qid"), "id", "rank", "label").where("qid <> id").withColumn("rank", F.col("rank") - 1)
+        best = found.join(queries, "qid").where("label = q_label").groupBy("qid").agg(F.min("rank").alias("rank"))
+        one = evaluate.ranked(queries, best).withColumn("experiment", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    return report.comparison(rows).select("experiment", "recall_at_1", "recall_at_3", "precision")
+
+
+_COMPARE = "WITH " + _Q.replace("{where}", " AND q.vec_id <> c.vec_id").replace("{post}", "") + """, v(experiment, k) AS (VALUES ('k1', 1), ('k5', 5)), best AS (SELECT experiment, query_id, min(rank) AS rank FROM t, v WHERE rank <= k AND label = q_label GROUP BY ALL), cnt AS (SELECT count(*) AS n FROM u WHERE vec_id % 10 = 0)
+SELECT experiment, format('{:.3f}', count(*) FILTER (rank <= 1) / (SELECT n FROM cnt)) AS recall_at_1, format('{:.3f}', count(*) FILTER (rank <= 3) / (SELECT n FROM cnt)) AS recall_at_3, '-' AS precision FROM best GROUP BY experiment"""
+_T = lambda where="", post="": "WITH " + _Q.replace("{where}", where).replace("{post}", post)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for k, v in globals().items() if k.startswith("q_")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    law = f"t AS (SELECT doc_id, {_LAW} AS t FROM documents)"
+    match = "a.qid = b.qid AND a.article = b.article AND (contains(a.law_name, b.law_name) OR contains(b.law_name, a.law_name))"
+    topk = " SELECT query_id, id, rank::INT AS rank, round(s, 6) AS score FROM t WHERE rank <= 5"
+    return {
+        "q_clean_reasons": f"WITH {_CLASSIFIED} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM classified GROUP BY 1",
+        "q_clean_kept": f"WITH {_CLASSIFIED} SELECT pos, i AS instruction, o AS output FROM classified WHERE reason IS NULL",
+        "q_clean_stats": f"WITH {_CLASSIFIED} SELECT count(*) AS original, count(*) FILTER (reason IS NULL) AS cleaned, count(reason) AS filtered FROM classified",
+        "q_clean_chinese": _CHINESE,
+        "q_clean_docs": _CLEAN_DOCS,
+        "q_alpaca": f"WITH {_CLASSIFIED} SELECT i AS instruction, '' AS input, o AS output FROM classified WHERE reason IS NULL",
+        "q_sharegpt": f"WITH {_CLASSIFIED} SELECT 2::INT AS turns, 'human' AS first_from, length(i)::INT AS first_len, length(o)::INT AS second_len FROM classified WHERE reason IS NULL",
+        "q_pair_projection": f"WITH {_PAIRS}, s AS (SELECT pos, {_STRIP('instruction')} || ' ' || {_STRIP('output')} AS text FROM pairs) SELECT pos, {_HASH} AS hash, length(text)::INT AS len FROM s",
+        "q_exact_dedup": f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {_HASH}",
+        "q_exact_removed": f"SELECT doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {_HASH}) AS f FROM documents) WHERE doc_id <> f",
+        "q_dup_groups": f"SELECT {_HASH} AS hash, count(*) AS n, min(doc_id) AS first_pos FROM documents GROUP BY 1 HAVING count(*) > 1",
+        "q_knn_edges": f"WITH {_KNN} SELECT a, b, round(s, 6) AS similarity FROM r WHERE rank <= 19 AND s >= {EDGE}",
+        "q_knn_top5": f"WITH {_KNN} SELECT a AS query_id, b AS id, rank::INT AS rank, round(s, 6) AS score FROM r WHERE rank <= 5",
+        "q_components": f"WITH {_PARTS} SELECT node, component FROM parts",
+        "q_removal_log": f"WITH {_PARTS}, x AS (SELECT a AS node, s FROM r WHERE rank <= 19 AND s >= {EDGE} UNION ALL SELECT b, s FROM r WHERE rank <= 19 AND s >= {EDGE}) SELECT node AS removed_id, component AS kept_id, round(max(s), 6) AS similarity FROM parts JOIN x USING (node) WHERE node <> component GROUP BY node, component",
+        "q_semantic_kept": f"WITH {_PARTS} SELECT vec_id FROM u WHERE vec_id NOT IN (SELECT node FROM parts WHERE node <> component)",
+        "q_topk": _T() + topk,
+        "q_topk_filtered": _T(post=" AND label = 3") + topk,
+        "q_topk_prefiltered": _T(where=" AND c.label = 3") + topk,
+        "q_rerank": _T() + ", s5 AS (SELECT *, ((id * 7919) % 101)::DOUBLE AS score FROM t WHERE rank <= 5), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS nr FROM s5) SELECT query_id, id, nr::INT AS rank, score FROM z WHERE nr <= 3",
+        "q_retrieval_metrics": _T() + ", best AS (SELECT query_id, min(rank) AS rank FROM t WHERE rank <= 5 AND query_id <> id AND label = q_label GROUP BY query_id), z AS (SELECT rank FROM u LEFT JOIN best ON vec_id = query_id WHERE vec_id % 10 = 0) SELECT round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_1, round(avg(CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_3, round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, count(*) AS num_queries FROM z",
+        "q_ability_class": f"SELECT {_CASE_ABILITY} AS ability, count(*) AS n FROM documents GROUP BY 1",
+        "q_quota_counts": _QUOTAS,
+        "q_mix": _MIX,
+        "q_split_members": _SPLIT.format(key="o_orderkey", s="o_orderpriority", t="orders") + " SELECT key AS o_orderkey, split FROM m",
+        "q_split_counts": _SPLIT.format(key="o_orderkey", s="o_orderpriority", t="orders") + " SELECT s AS o_orderpriority, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test FROM m GROUP BY s",
+        "q_split_random": _SPLIT.format(key="key", s="''", t="(SELECT DISTINCT l_orderkey * 100 + l_linenumber AS key FROM lineitem)") + " SELECT key, split FROM m",
+        "q_article_split": _ARTICLES,
+        "q_law_meta": f"WITH {law} SELECT doc_id, {_STRIP("regexp_extract(t, '(?m)^#" + _WS + "*(.+)$', 1)")} AS law_name, regexp_extract(substr(t, 1, 500), '(\\p{{Nd}}{{4}}年\\p{{Nd}}{{1,2}}月\\p{{Nd}}{{1,2}}日)', 1) AS effective_date FROM t",
+        "q_chunks_per_law": f"WITH a AS ({_ARTICLES}) SELECT '法' || source AS law_name, count(*) AS n FROM a JOIN documents USING (doc_id) GROUP BY 1",
+        "q_laws": "SELECT DISTINCT '法' || source AS law_name FROM documents",
+        "q_citations": f"WITH {_SAMPLES} SELECT qid, law_name, article FROM pred",
+        "q_citations_compat": f"WITH {_SAMPLES} SELECT qid, source AS law_name, x || '条' AS article FROM (SELECT qid, source, m AS x FROM d UNION ALL SELECT qid, source, n FROM d)",
+        "q_citation_metrics": f"""WITH {_SAMPLES}, s AS (SELECT qid, count(*) AS np, count(*) FILTER (hit) AS hp FROM (SELECT a.*, EXISTS (SELECT 1 FROM truth b WHERE {match}) AS hit FROM pred a) GROUP BY qid),
+m AS (SELECT avg(hp / np) AS p, avg(CASE WHEN hp > 0 THEN 1.0::DOUBLE ELSE 0 END) AS r, avg(CASE WHEN qid % 2 = 0 THEN 0.0::DOUBLE ELSE 1 END) AS h, count(*) AS n FROM s) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1, round(h, 6) AS hallucination_rate, n AS num_samples FROM m""",
+        "q_missed": f"WITH {_SAMPLES} SELECT a.qid, a.law_name, a.article FROM truth a WHERE NOT EXISTS (SELECT 1 FROM pred b WHERE b.qid % 5 <> 0 AND {match})",
+        "q_hallucinated": f"WITH {_SAMPLES} SELECT a.qid, a.law_name, a.article FROM pred a WHERE a.qid % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM truth b WHERE {match})",
+        "q_correct": f"WITH {_SAMPLES} SELECT a.qid, a.law_name, a.article FROM pred a WHERE EXISTS (SELECT 1 FROM truth b WHERE {match})",
+        "q_answer_score": _KW + " SELECT round(avg(exact::INT), 6) AS exact_match_rate, round(avg(hit::INT), 6) AS keyword_match_rate, count(*) AS num_samples FROM s",
+        "q_by_category": _KW + " SELECT category, round(avg(hit::INT), 6) AS accuracy FROM s GROUP BY category",
+        "q_refusal": "SELECT round(avg(CASE WHEN doc_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS refusal_accuracy, count(*) AS num_unanswerable FROM documents WHERE doc_id % 4 = 0",
+        "q_evidence": f"WITH {_RES} SELECT query_id, max(s) FILTER (rank = 1) >= 0.38 AS has_evidence FROM c GROUP BY query_id",
+        "q_context": f"WITH {_RES} SELECT query_id, {_CTX} AS context FROM c GROUP BY query_id",
+        "q_prompt": f"WITH {_RES}, x AS (SELECT query_id, {_CTX} AS ctx FROM c GROUP BY query_id) SELECT query_id, md5('用户问题：问题' || chr(10) || chr(10) || '检索到的相关法律条文：' || chr(10) || chr(10) || ctx || chr(10) || chr(10) || '{V.USER_PROMPT[2].strip()}') AS user_md5, 2::INT AS messages FROM x",
+        "q_answer": _ANSWER,
+        "q_compare": _COMPARE,
+    }
