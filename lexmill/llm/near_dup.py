@@ -6,9 +6,12 @@
    that agree in T of K coordinates share one of their rarest n - T + 1 pairs (n: those left of the class), so only
    those are posted (prefix), and the long lists of common pairs are skipped.
 3. Links. Colliding classes are counted over whole signatures; those with T matches and fitting sizes are confirmed on full
-   sets. To spare a group of m near copies its m * m pairs, each list first compares all with one hub (a different one
-   each round) and never compares members that are linked already, directly or by others; what is still apart then is
-   compared pair by pair, but for the list's largest component with itself. Components that no pair is left between are exact.
+   sets. To spare a group of m near copies its m * m pairs, each list first compares all with one hub: the class with the
+   least of its own, as what is closest to a common origin has most links. Members that are linked, directly or by others,
+   are never compared.
+4. Classes of lists that still hold several components are listed once more under the rarest shingles of their full sets,
+   which is exact. There, too, hubs go first (two rounds), then the pairs of different components that may still be linked.
+   No pair that could be linked is left untested.
 
 With J >= 0.85, K = 32 and T = 17 a link is overlooked with probability below 3e-6 where J is 0.85 and less where it is higher.
 """
@@ -102,11 +105,12 @@ def _matches(a, b):
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """token, rep: the prefix postings of the classes that can match another."""
+    """token, rep, own: the prefix postings of the classes that can match another; own: coordinates that no other class has."""
     posted = classes.select("rep", F.posexplode("sig").alias("at", "value")).select("rep", (F.col("at").cast("long") * F.lit(1 << 32) + F.col("value").cast("long")).alias("token"))
     common = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     own = posted.join(common, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("own"))  # K at most
-    return own.where(F.size("own") >= T).select("rep", F.explode(F.slice("own", F.lit(1), F.size("own") - (T - 1))).alias("p")).select(F.col("p.token").alias("token"), "rep")
+    posted = own.where(F.size("own") >= T).select("rep", (F.lit(K) - F.size("own")).alias("own"), F.explode(F.slice("own", F.lit(1), F.size("own") - (T - 1))).alias("p"))
+    return posted.select(F.col("p.token").alias("token"), "rep", "own")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -117,54 +121,84 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * inter >= F.lit(percent) * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
 
-def class_links(docs: DataFrame, classes: DataFrame, percent: int = 85, rounds: int = 6) -> DataFrame:
-    """rep, component for the classes (rep, n, sig) that are linked with another."""
+def _unlike(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """Of lists (token, rep, ...) those with more than one component: with comp, and top, the component that most of the list is in."""
+    now = cut(lists.join(parts, "rep"), "placed")
+    counts = now.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = counts.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1")
+    return cut(now.join(mixed.select("token", F.col("top.comp").alias("top")), "token"), "apart")
+
+
+def _rare_lists(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """token, rep, n, left, own: the prefix of each class's full set, rarest shingles first, for a join that misses no link.
+
+    With J >= percent a class shares ceil(percent * n) of its n shingles at least, so two such have one in common among their
+    n - ceil(percent * n) + 1 rarest. Shingles that only one class has (a share ``own``) fill that prefix first, so a class with
+    too many of them has no list. ``left``: the class's shingles that others have, from this one on.
+    """
+    every = sets.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("sh"))
+    common = every.groupBy("sh").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    kept = every.join(common, "sh").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("rare"))  # no more than the class's set
+    need = F.ceil(F.col("n") * F.lit(percent) / F.lit(100.0)).cast("int")
+    kept = kept.withColumn("prefix", F.size("rare") - need + 1).where("prefix > 0")
+    kept = kept.select(F.col("doc_id").alias("rep"), "n", F.size("rare").alias("size"), F.posexplode(F.slice("rare", F.lit(1), F.col("prefix"))["sh"]).alias("at", "token"))
+    return cut(kept.select("token", "rep", "n", (F.col("size") - F.col("at")).alias("left"), ((F.col("n") - F.col("size")) / F.col("n")).alias("own")), "rare")
+
+
+def _met(apart: DataFrame, percent: int | None, hubs: str | None) -> DataFrame:
+    """x, y of the pairs of different components in the lists: with one hub a list ('any', or 'rest': not of the list's top
+    component), or all (None). Where sizes are known (``percent``), pairs whose first common shingle comes too late to be linked
+    are left out.
+    """
+    fields = [c for c in ("rep", "comp", "n", "left", "own") if c in apart.columns]
+    if hubs:
+        key = F.struct(F.col("own").alias("o"), F.xxhash64("rep").alias("h"), F.struct(*fields).alias("r"))
+        x = apart.where("comp != top" if hubs == "rest" else "true").groupBy("token").agg(F.min(key)["r"].alias("r")).select("token", *[F.col(f"r.{c}").alias(f"{c}_x") for c in fields])
+    else:
+        x = apart.select("token", *[F.col(c).alias(f"{c}_x") for c in fields])
+    y = apart.select("token", *[F.col(c).alias(f"{c}_y") for c in fields])
+    fits = F.col("comp_x") != F.col("comp_y")
+    if percent:
+        most = F.least("left_x", "left_y")  # shared at most, if this is the first shingle shared
+        fits = fits & (F.lit(100) * most >= F.lit(percent) * (F.col("n_x") + F.col("n_y") - most))
+    if not hubs:
+        fits = fits & (F.col("rep_x") < F.col("rep_y"))
+    return x.join(y, "token").where(fits).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+
+
+def class_links(docs: DataFrame, classes: DataFrame, percent: int = 85) -> DataFrame:
+    """rep, comp for the classes (rep, n, sig) that can match another: their component under links."""
     postings = cut(_postings(classes), "postings")
     posted = cut(postings.select("rep").distinct().join(classes, "rep"), "posted-classes")
     ids = posted.select(F.col("rep").alias("doc_id"))
     wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if posted.count() <= SEND_IDS else ids, "doc_id", "left_semi")
     sets = cut(wanted.mapInArrow(_set, "doc_id long, shingles array<long>"), "shingle-sets")
     nodes = posted.select("rep").distinct()
-    parts = nodes.withColumn("comp", F.col("rep"))
-    links = None
-    tested = None
-    for step in range(rounds + 1):
-        now = cut(postings.join(parts, "rep"), "placed")
-        counts = now.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-        lists = counts.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1")
-        apart = cut(now.join(lists.select("token", F.col("top.comp").alias("top")), "token"), "apart")
-        size = lists.agg(F.count(F.lit(1)), F.sum((F.col("m") - F.col("top.c")) * F.col("m"))).collect()[0]
-        if not size[0]:
-            break
-        last = step == rounds or size[1] <= 4 * posted_rows(postings)
-        if last:
-            x = apart.where("comp != top").select("token", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-            y = apart.select("token", F.col("rep").alias("y"), F.col("comp").alias("cy"))
-            met = x.join(y, "token").where("cx != cy")
+    a, b = (posted.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
+    parts = links = tested = rare = None
+    for hubs in ("signature", "any", "rest", None):
+        if hubs == "signature":
+            pairs = _met(postings.withColumn("comp", F.col("rep")), None, "any")
         else:
-            key = F.struct(F.xxhash64("rep", F.lit(step)), F.col("rep"), F.col("comp"))
-            hubs = apart.groupBy("token").agg(F.min(F.when((F.col("comp") != F.col("top")) | F.lit(step == 0), key)).alias("h"))
-            met = apart.join(hubs.select("token", F.col("h.rep").alias("x"), F.col("h.comp").alias("cx")), "token").where("comp != cx").select("x", F.col("rep").alias("y"))
-        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            if rare is None:
+                apart = _unlike(postings, parts)
+                rare = _rare_lists(apart.select("rep").distinct(), sets, percent)
+            apart = _unlike(rare, parts)
+            if not apart.take(1):
+                break
+            pairs = _met(apart, percent, hubs)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs, "met")
         tested = pairs if tested is None else tested.unionAll(pairs)
-        a, b = (posted.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
         near = pairs.join(a, "a").join(b, "b").where(_fits(F.col("na"), F.col("nb"), percent) & (_matches("sa", "sb") >= T)).select("a", "b").distinct()
         new = _confirmed(near, sets, percent)
         links = cut(new if links is None else links.unionAll(new), "links")
-        parts = cut(connected_components(links).withColumnsRenamed({"node": "rep", "component": "comp"}), "parts")
-        parts = nodes.join(parts, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
-        if last:
-            break
+        parts = connected_components(links).withColumnsRenamed({"node": "rep", "component": "comp"})
+        parts = cut(nodes.join(parts, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")), "parts")
     return parts
 
 
-def posted_rows(postings: DataFrame) -> int:
-    return max(100_000, postings.count())
-
-
 def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, tie (hash of the text), n, component_id, kept of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
