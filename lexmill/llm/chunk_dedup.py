@@ -106,7 +106,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 128) -> DataFrame:
     twice = twice.select("d1", "d2", F.col("first.doc_id").alias("first_doc"), F.col("first.begin").alias("first_begin"))
     found = every.join(twice, ["d1", "d2"]).select("doc_id", "begin", "end", "first_doc", ((F.col("doc_id") != F.col("first_doc")) | (F.col("begin") != F.col("first_begin"))).alias("again"))
     w = Window.partitionBy("doc_id").orderBy("begin", "end")
-    opens = F.when(F.col("begin") == F.lag("end").over(w), 0).otherwise(1)
+    opens = F.when(F.col("begin") <= F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
     spans = (
         found.withColumn("opens", opens)
         .withColumn("span", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
