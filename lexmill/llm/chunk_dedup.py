@@ -2,7 +2,8 @@
 
 A gear hash rolls over the UTF-8 bytes: H(i) = sum over j < 32 of gear[byte(i - j)] << j, modulo 2^32, so it depends on the
 last 32 bytes alone. A chunk ends where the upper bits of H are zero and no other such place lies within the last ``MIN``
-bytes; a stretch without an end is cut where fewer bits are zero, and every ``MAX`` bytes as a last resort. As ends
+bytes; a stretch without an end is cut where fewer bits are zero, then where H is smallest, and every ``MAX`` bytes as a last
+resort. As ends
 depend on the bytes near them, an insertion moves the chunks after it without changing them. Chunks are compared by a
 128-bit digest; neighbouring repeated chunks of a document are joined to spans.
 """
@@ -17,10 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_lengths, cut, text_groups
+from .common import byte_lengths, cut, lean, text_groups, tidy
 
 WINDOW, MIN, MAX = 32, 16, 256
-STRONG, WEAK = 26, 28  # a place is an end if H >> STRONG == 0, in a long stretch already if H >> WEAK == 0
+STRONG, WEAK = 27, 28  # a place is an end if H >> STRONG == 0, in a long stretch already if H >> WEAK == 0
 GEAR = np.random.default_rng(20_240_501).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _CHUNKS = pa.schema([("doc_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
 
@@ -56,7 +57,13 @@ def chunk_ends(raw: np.ndarray) -> np.ndarray:
             spare = spare[(np.diff(spare, prepend=a - MIN) >= MIN) & (spare < b)] if len(spare) else spare
             stops = np.concatenate([[a], spare, [b]])
             for s, t in zip(stops[:-1].tolist(), stops[1:].tolist()):
-                more.append(np.arange(s + MAX, t, MAX))
+                if t - s > MAX:  # the smallest hash marks every turn of a text that repeats itself
+                    own = h[s + WINDOW : t]
+                    turn = np.flatnonzero(own == own.min()) + 1 + s + WINDOW
+                    turn = turn[(np.diff(turn, prepend=s - MIN) >= MIN) & (turn < t)]
+                    more.append(turn)
+                    for u, v in zip([s, *turn.tolist()], [*turn.tolist(), t]):
+                        more.append(np.arange(u + MAX, v, MAX))
             more.append(spare)
         ends = np.unique(np.concatenate([ends, *more]))
     return ends
@@ -88,21 +95,23 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chunks(docs: DataFrame) -> DataFrame:
     """doc_id, begin, end (byte offsets) and the digest (d1, d2) of every chunk. A null or empty text has none."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") > 0).mapInArrow(_chunk, "doc_id long, begin long, end long, d1 long, d2 long")
+    lean(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") > 0).mapInArrow(tidy(_chunk), "doc_id long, begin long, end long, d1 long, d2 long")
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = 128) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_bytes: int = 64, within: bool = True) -> DataFrame:
     """doc_id, begin, end, n_chunks, first_doc, repeats: spans whose chunks also occur elsewhere, of ``min_bytes`` or more.
 
     ``first_doc`` is the smallest doc_id that holds one of the span's chunks; ``repeats`` (begin, end pairs that are not the
-    first occurrence of their chunk) lists what ``drop_repeats`` takes out. Occurrences within one document count. Chunks are
+    first occurrence of their chunk) lists what ``drop_repeats`` takes out. Without ``within``, only chunks of two or more documents
+    count; with it, also those that one document repeats. Chunks are
     grouped by digest with partial counts, so a passage in a third of all documents is one row a task before the exchange; the
     join back can be split by Spark where a digest is hot. Rows that repeat a doc_id are one document whose chunks lie over
     each other. Documents with a null id take no part. Offsets are byte offsets in UTF-8.
     """
     every = cut(chunks(docs.where(F.col("doc_id").isNotNull())), "chunks")
     first = F.min(F.struct("doc_id", "begin")).alias("first")
-    twice = every.groupBy("d1", "d2").agg(first, F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    twice = every.groupBy("d1", "d2").agg(first, F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") > 1 if within else F.col("last") != F.col("first.doc_id"))
     twice = twice.select("d1", "d2", F.col("first.doc_id").alias("first_doc"), F.col("first.begin").alias("first_begin"))
     found = every.join(twice, ["d1", "d2"]).select("doc_id", "begin", "end", "first_doc", ((F.col("doc_id") != F.col("first_doc")) | (F.col("begin") != F.col("first_begin"))).alias("again"))
     w = Window.partitionBy("doc_id").orderBy("begin", "end")
@@ -116,7 +125,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 128) -> DataFrame:
     return spans.where(F.col("end") - F.col("begin") >= min_bytes).drop("span")
 
 
-def drop_repeats(docs: DataFrame, min_bytes: int = 128) -> DataFrame:
+def drop_repeats(docs: DataFrame, min_bytes: int = 64) -> DataFrame:
     """``docs`` with every chunk of a repeated span taken out of ``text`` but for its first occurrence."""
     cuts = repeated_spans(docs, min_bytes).groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("repeats"))).alias("cuts"))
     joined = docs.join(cuts, "doc_id", "left")

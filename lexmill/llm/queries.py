@@ -45,7 +45,7 @@ def op4_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    spans = chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"), within=False)
     return spans.select("doc_id", F.col("begin").alias("span_begin"), F.col("end").alias("span_end"), "n_chunks", "first_doc")
 
 

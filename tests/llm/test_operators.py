@@ -259,7 +259,7 @@ def test_pii_base(spark, texts):
 def test_pii_added(spark):
     rows = [(1, "please call (017) 555-7713 now"), (2, "write to jo.do (at) mail (dot) com please"), (3, "order 2024-05-01 12:33 total 12.50"), (4, "ref. 8646308210557563 thsh"), (5, "card 3782 822463 10005 ok")]
     got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
-    assert got == {1: "phone:12:26", 2: "email:9:33", 3: "", 4: "", 5: "card:5:22"}
+    assert got == {1: "phone:12:26", 2: "email:9:34", 3: "", 4: "", 5: "card:5:22"}
 
 
 def test_boosting():
