@@ -71,6 +71,7 @@ def answer(questions: DataFrame, results: DataFrame, generate: Callable[[Column]
     evidence gets the refusal and no documents.
     """
     joined = questions.join(gathered(results), "query_id", "left")
+    joined = joined.withColumn("results", F.coalesce("results", F.array().cast(joined.schema["results"].dataType)))
     joined = joined.withColumn("has_evidence", has_evidence("results", min_score))
     messages = X.prompt("question", X.context("results"))
     text = X.listing("question", "results") if generate is None else generate(messages)
