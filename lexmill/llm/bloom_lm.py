@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_lengths, cut, mix, ragged, text_groups, word_hashes
+from .common import byte_lengths, cut, lean, mix, ragged, text_groups, tidy, word_hashes
 
 MAX_BITS, MIN_BITS, PROBES, PRIOR = 29, 20, 3, 5.0
 SEND_WORDS = 8_000_000
 END, START = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
-FLUSH = 3_000_000  # tokens counted by a task before it sends what it has
+FLUSH = 2_000_000  # tokens counted by a task before it sends what it has
 _PACKET = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 _PACKET_DDL = "bucket int, n int, keys binary, counts binary"
 
@@ -175,11 +175,12 @@ class Model:
 def fit(docs: DataFrame, order: int = 2, max_bits: int = MAX_BITS) -> Model:
     """Counts all of ``docs`` (text; null: empty, one END)."""
     spark = docs.sparkSession
+    lean(spark)
     docs = docs.select("text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
     bits = min(max_bits, max(MIN_BITS, int(4 * size).bit_length()))
     buckets = 1 << max(4, min(bits - 14, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
-    packets = docs.mapInArrow(_count(buckets, order), _PACKET_DDL)
+    packets = docs.mapInArrow(tidy(_count(buckets, order)), _PACKET_DDL)
     return Model(cut(packets.groupBy("bucket").applyInArrow(_sum_up(buckets, bits), _MODEL_DDL), "bloom-lm"), buckets, bits, order)
 
 
@@ -276,13 +277,14 @@ def score(docs: DataFrame, model: Model, send_words: int = SEND_WORDS) -> DataFr
     With a model of no text every word is unknown and N and V are 0. Rows may repeat.
     """
     spark: SparkSession = docs.sparkSession
+    lean(spark)
     filled = spark.sparkContext.broadcast(model.filter())  # 2^MAX_BITS bits at most
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     small = model.words <= send_words
     table = spark.sparkContext.broadcast(model.counts()) if small else None  # 12 bytes a word, send_words at most
     run = _score(filled, table, model.tokens, model.words, model.buckets, model.bits, model.order)
     if small:
-        return docs.mapInArrow(run, _SCORED).withColumnRenamed("base", "base_score")
+        return docs.mapInArrow(tidy(run), _SCORED).withColumnRenamed("base", "base_score")
     numbered = docs.dropDuplicates().withColumn("row", F.xxhash64("doc_id", "text"))
     base = joined_base(numbered, model).withColumnRenamed("row", "base_row")
     scored = docs.withColumn("row", F.xxhash64("doc_id", "text"))

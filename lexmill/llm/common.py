@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +16,30 @@ from ..storage import cut, drop_path, shared_dir, staging_path  # noqa: F401
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are worked on in groups of about this many bytes, so that a worker's memory does not follow the batch size.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 3 << 20
+#: Rows and bytes that go to a Python worker at once at most.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Small Arrow batches in this session: an executor's memory then doesn't follow the rows' sizes."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def tidy(run):
+    """``run`` over a partition's batches, with freed memory given back to the system behind it: workers are used again."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import byte_lengths, cut, mix, text_groups, word_hashes
+from .common import byte_lengths, cut, lean, mix, text_groups, tidy, word_hashes
 
 SHINGLE, K, T = 5, 32, 17
 #: Ids of classes that are sent to all workers at most, as a filter on the second read of the texts; beyond it is a join.
@@ -172,7 +172,7 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int = 85) -> DataF
     posted = cut(postings.select("rep").distinct().join(classes, "rep"), "posted-classes")
     ids = posted.select(F.col("rep").alias("doc_id"))
     wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if posted.count() <= SEND_IDS else ids, "doc_id", "left_semi")
-    sets = cut(wanted.mapInArrow(_set, "doc_id long, shingles array<long>"), "shingle-sets")
+    sets = cut(wanted.mapInArrow(tidy(_set), "doc_id long, shingles array<long>"), "shingle-sets")
     nodes = posted.select("rep").distinct()
     a, b = (posted.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
     parts = links = tested = rare = None
@@ -202,7 +202,8 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int = 85) -> DataF
 def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, tie (hash of the text), n, component_id, kept of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    signed = cut(docs.mapInArrow(_sign, "doc_id long, tie long, n long, d1 long, d2 long, sig array<int>"), "signatures")
+    lean(docs.sparkSession)
+    signed = cut(docs.mapInArrow(tidy(_sign), "doc_id long, tie long, n long, d1 long, d2 long, sig array<int>"), "signatures")
     named = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = cut(named.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "classes")
     parts = class_links(docs, classes.select("rep", "n", "sig"), percent)
@@ -238,3 +239,18 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
         return left.select(docs.columns)
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_tie") == F.col("_gone"))
     return left.join(again, same, "left_anti").unionAll(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
+
+
+def oracle(percent: int = 85) -> str:
+    """DuckDB SQL of the same result: all pairs that share a shingle, counted, and a recursive closure. For small tables."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(w) < 5 THEN w ELSE w[k:k + 4] END, ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM w WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    reach(node, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT node, e.b FROM reach JOIN e ON other = e.a),
+    c AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c ON d.doc_id = node LEFT JOIN n ON n.doc_id = d.doc_id"""

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import byte_lengths, text_groups
+from .common import byte_lengths, lean, text_groups, tidy
 from .labelled import labelled_sample
 
 STRIDE, HALF, CHANNELS, FILTERS = 4, 512, 8, 24
@@ -185,6 +185,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     An input column called score is replaced.
     """
     spark = docs.sparkSession
+    lean(spark)
     sent = spark.sparkContext.broadcast(model)  # a few tens of KB, whatever the input
     docs = docs.drop("score")
 
@@ -196,7 +197,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *parts]))], names=[*batch.schema.names, "score"])
 
     schema = _with(docs, "score", "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _with(df: DataFrame, name: str, kind: str):

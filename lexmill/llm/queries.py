@@ -89,4 +89,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mix": mixing.oracle()}
+    return {"op9_source_mix": mixing.oracle(), "op10_minhash_join": near_dup.oracle()}

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_lengths, ragged, split_words, text_groups
+from .common import byte_lengths, lean, ragged, split_words, text_groups, tidy
 
 BLOCK_SCHEMA = "part int, chunk long, n_ids long, planes array<binary>, doc_ids array<long>, doc_ends array<long>"
 PIECE_SCHEMA = "part int, ordinal long, doc_id long, chunk long, n long, begin long, crc long, bytes binary"
@@ -242,7 +242,7 @@ def _blocks(path: str, end_id: int, block_ids: int, mode: str, level: int):
         end_of_part = 0
         for batch in batches:
             texts, names = batch.column("text"), batch.column("doc_id").to_pylist()
-            for a, b in text_groups(byte_lengths(texts), 6 << 20):
+            for a, b in text_groups(byte_lengths(texts), 4 << 20):
                 ids, n = encoder.encode(texts.slice(a, b - a))
                 out = np.full(len(ids) + len(n), end_id, np.uint32)
                 out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
@@ -276,10 +276,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
     if mode not in ("byte", "bit"):
         raise ValueError("mode is byte or bit")
     spark = docs.sparkSession
+    lean(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    blocks = ordered.mapInArrow(_blocks(tokenizer, end_id, block_ids, mode, level), BLOCK_SCHEMA)
+    blocks = ordered.mapInArrow(tidy(_blocks(tokenizer, end_id, block_ids, mode, level)), BLOCK_SCHEMA)
     blocks.write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(f"{path}/blocks")
     written = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
     before = _part_offsets(written)
@@ -336,7 +337,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(F.sum("n_docs").over(own), F.lit(0)).alias("docs_before"),
         F.coalesce(F.max("last_end").over(own), F.lit(0)).alias("ended"),
     ).withColumn("opens", F.col("ended") == F.col("before"))
-    pieces = blocks.join(index, ["part", "chunk"]).mapInArrow(_pieces(modes[0] if modes else "byte"), PIECE_SCHEMA)
+    pieces = blocks.join(index, ["part", "chunk"]).mapInArrow(tidy(_pieces(modes[0] if modes else "byte")), PIECE_SCHEMA)
     docs = pieces.groupBy("part", "ordinal").agg(
         F.max("doc_id").alias("doc_id"),
         F.min("begin").alias("begin"),

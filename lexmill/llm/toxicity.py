@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import byte_lengths, fresh, hash_words, ragged, split_words, text_groups
+from .common import byte_lengths, fresh, hash_words, lean, ragged, split_words, text_groups, tidy
 from .labelled import labelled_sample
 from .quality import _with
 
@@ -169,6 +169,7 @@ def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with a ``score`` column (replaced if there); a null text is scored as the empty text. One pass, no exchange."""
+    lean(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # sparse weights: bounded by the fit's sample
     docs = docs.drop("score")
 
@@ -178,7 +179,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             parts = [score_texts(texts.slice(a, b - a), sent.value) for a, b in text_groups(byte_lengths(texts))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *parts]))], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, _with(docs, "score", "double"))
+    return docs.mapInArrow(tidy(run), _with(docs, "score", "double"))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, rows: int = FIT_ROWS, text_bytes: int = FIT_TEXT_BYTES, identity=IDENTITY) -> Model:
