@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+_made: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
@@ -25,7 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. What is there goes when the driver's Python ends with its session still running."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+@atexit.register
+def _clear() -> None:
+    if SparkContext._active_spark_context is None:
+        return
+    spark = SparkSession.getActiveSession()
+    for path in _made if spark is not None else ():
+        with contextlib.suppress(Exception):
+            drop_path(spark, path)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
