@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,14 @@ def lean(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run):
     """``run`` over a partition's batches, with freed memory given back to the system behind it: workers are used again."""
 
@@ -35,9 +44,7 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return whole
 

@@ -192,8 +192,10 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int = 85) -> DataF
         pairs = cut(pairs, "met")
         tested = pairs if tested is None else tested.unionAll(pairs)
         near = pairs.join(a, "a").join(b, "b").where(_fits(F.col("na"), F.col("nb"), percent) & (_matches("sa", "sb") >= T)).select("a", "b").distinct()
-        new = _confirmed(near, sets, percent)
-        links = cut(new if links is None else links.unionAll(new), "links")
+        new = cut(_confirmed(near, sets, percent), "new-links")
+        if links is not None and not new.take(1):
+            continue
+        links = new if links is None else links.unionAll(new)
         parts = connected_components(links).withColumnsRenamed({"node": "rep", "component": "comp"})
         parts = cut(nodes.join(parts, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")), "parts")
     return parts

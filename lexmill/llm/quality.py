@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import byte_lengths, lean, text_groups, tidy
+from .common import byte_lengths, give_back, lean, text_groups, tidy
 from .labelled import labelled_sample
 
 STRIDE, HALF, CHANNELS, FILTERS = 4, 512, 8, 24
@@ -208,4 +208,6 @@ def _with(df: DataFrame, name: str, kind: str):
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn, rows: int = FIT_ROWS, text_bytes: int = FIT_TEXT_BYTES) -> Model:
     """Fits on at most ``rows`` labelled texts of at most ``text_bytes`` bytes where ``learn`` holds."""
-    return fit(labelled_sample(docs, labels, "quality", learn, rows, text_bytes))
+    model = fit(labelled_sample(docs, labels, "quality", learn, rows, text_bytes))
+    give_back()
+    return model

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import byte_lengths, fresh, hash_words, lean, ragged, split_words, text_groups, tidy
+from .common import byte_lengths, fresh, give_back, hash_words, lean, ragged, split_words, text_groups, tidy
 from .labelled import labelled_sample
 from .quality import _with
 
@@ -184,4 +184,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, rows: int = FIT_ROWS, text_bytes: int = FIT_TEXT_BYTES, identity=IDENTITY) -> Model:
     """Fits on at most ``rows`` labelled texts of at most ``text_bytes`` bytes where ``learn`` holds."""
-    return fit(labelled_sample(docs, labels, "toxic", learn, rows, text_bytes), identity)
+    model = fit(labelled_sample(docs, labels, "toxic", learn, rows, text_bytes), identity)
+    give_back()
+    return model
