@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, cut
 
 CYCLE = (3, 1, 2)
+#: Sources whose targets are sent to all workers at most; beyond it is a join.
+SEND_SOURCES = 200_000
 
 
 def n_words(text: Column) -> Column:
@@ -49,8 +51,10 @@ def mix(docs: DataFrame, *, share: float = 1.5, most: float = 2.0, seed: int = 1
     and rows that repeat an id are taken alike. Columns of these names in the input are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "rate", "copies").withColumn("size", n_words(F.col("text")) if size is None else size)
-    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = cut(docs.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
     targets = source_targets(sizes, share, most, cycle).withColumnRenamed("source", "mix_source")
+    if sizes.count() <= SEND_SOURCES:  # else documents would be dealt by source, a hot one to a single task
+        targets = F.broadcast(targets)
     joined = docs.join(targets, docs["source"].eqNullSafe(targets["mix_source"]), "left").drop("mix_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
