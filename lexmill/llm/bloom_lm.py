@@ -10,9 +10,13 @@ of a word after its history interpolates over the orders:
 with counts at the middle of their level, as the filter gives them, for all orders; N and V are exact.
 
 Counting: each task counts its n-grams by 64-bit hash and sends them, packed, to the bucket of the hash; a bucket adds up its
-packets, keeps the exact word counts, and fills its own stretch of the filter. Only the filter goes to the driver and, by
-broadcast, to the workers: it has about four bits for each byte of text at most, 2^MAX_BITS bits in all. Beyond that more
-n-grams share the bits and the false-positive rate rises; no n-gram is left out.
+packets, keeps the exact word counts, and fills its own stretch of the filter, which has ENTRY_BITS bits for each n-gram and
+level in it. So the filter grows with the different n-grams, and one level is taken for there by mistake with a probability of
+(1 - exp(-PROBES / ENTRY_BITS))^PROBES = 0.011, whatever the input's size.
+
+A filter of at most ``send_bits`` bits is broadcast. A larger one stays a table of stretches: texts are written as bundles of
+different n-grams and places, each bundle asks each stretch once for the levels of its n-grams there, and the answers are joined
+to the bundle. Both give the same scores.
 
 The exact unigram score beside the model needs exact counts: they are broadcast if there are at most ``send_words`` different
 words, and joined through an exchange of (document, word) counts beyond that. Both give the same numbers.
@@ -20,6 +24,7 @@ words, and joined through an exchange of (document, word) counts beyond that. Bo
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import byte_lengths, cut, lean, mix, ragged, text_groups, tidy, word_hashes
 
-MAX_BITS, MIN_BITS, PROBES, PRIOR = 29, 20, 3, 5.0
+ENTRY_BITS, MIN_BITS, PROBES, PRIOR = 12, 20, 3, 5.0
+SEND_BITS = 1 << 30
+BUCKET_TEXT = 26  # log2 of the bytes of text for which there is another bucket, at least
+ASKED = 32 << 20  # bytes of n-grams that a task asks a stretch for at once
 SEND_WORDS = 8_000_000
 END, START = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 FLUSH = 2_000_000  # tokens counted by a task before it sends what it has
@@ -58,17 +66,6 @@ def grams(offsets: np.ndarray, tokens: np.ndarray, order: int) -> list[np.ndarra
     return out
 
 
-def histories(offsets: np.ndarray, tokens: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n = 2 ... order the (n-1)-gram before each token, as ``grams`` names it; START before the first token."""
-    first = offsets[:-1][np.diff(offsets) > 0]
-    out = []
-    for g in grams(offsets, tokens, order - 1) if order > 1 else []:
-        h = np.concatenate([[START], g[:-1]])
-        h[first] = START
-        out.append(h)
-    return out
-
-
 def _count(buckets: int, order: int):
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
@@ -106,25 +103,32 @@ def _count(buckets: int, order: int):
     return run
 
 
-def positions(keys: np.ndarray, level: int, buckets: int, bits: int) -> list[np.ndarray]:
-    """The bits of (n-gram, level) in the whole filter of 2^bits bits; a bucket's n-grams lie in its own stretch."""
-    own = bits - (buckets.bit_length() - 1)
-    base = (keys >> np.uint64(64 - (buckets.bit_length() - 1)) << np.uint64(own)) if buckets > 1 else np.uint64(0)
+def stretches(keys: np.ndarray, buckets: int, bits: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first bit, bits) of the stretch each n-gram lies in. ``bits``: of each bucket, or log2 of a filter in equal stretches."""
+    sizes = np.full(buckets, (1 << int(bits)) // buckets, np.uint64) if np.ndim(bits) == 0 else np.asarray(bits, np.uint64)
+    which = (keys >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64) if buckets > 1 else np.zeros(len(keys), np.int64)
+    return (np.cumsum(sizes) - sizes)[which], sizes[which]
+
+
+def _places(keys: np.ndarray, level: int, base: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
     h = mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
     step = (h >> np.uint64(32)) | np.uint64(1)
-    return [base + ((h + np.uint64(i) * step) & np.uint64((1 << own) - 1)) for i in range(PROBES)]
+    return [base + ((((h + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * own) >> np.uint64(32)) for i in range(PROBES)]
+
+
+def positions(keys: np.ndarray, level: int, buckets: int, bits: int | np.ndarray) -> list[np.ndarray]:
+    """The bits of (n-gram, level) in the whole filter; a bucket's n-grams lie in its own stretch."""
+    return _places(keys, level, *stretches(keys, buckets, bits))
 
 
 _MODEL_DDL = "bucket int, kind int, keys binary, counts binary, tokens long, words long"
 _MODEL = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64()), ("words", pa.int64())])
 
 
-def _sum_up(buckets: int, bits: int):
-    own = bits - (buckets.bit_length() - 1)
-
+def _sum_up():
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
-        filled = np.zeros(1 << own, bool)
+        held = []
         out_keys, out_counts, tokens, words = b"", b"", 0, 0
         for n in sorted(set(group.column("n").to_pylist())):
             rows = [r for r in group.select(["n", "keys", "counts"]).to_pylist() if r["n"] == n]
@@ -134,16 +138,20 @@ def _sum_up(buckets: int, bits: int):
             keys, counts = keys[order], counts[order]
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             keys, counts = keys[starts], np.add.reduceat(counts, starts)
-            level, left, most = 1, keys, np.floor(np.log2(counts)).astype(np.int64) + 1
-            while len(left):
-                for p in positions(left, level, buckets, bits):
-                    filled[(p & np.uint64((1 << own) - 1)).astype(np.int64)] = True
-                level += 1
-                left, most = left[most >= level], most[most >= level]
+            held.append((keys, np.floor(np.log2(counts)).astype(np.int64) + 1))
             if n == 1:
                 real = keys != START
                 out_keys, out_counts = keys[real].tobytes(), counts[real].tobytes()
                 tokens, words = int(counts[real].sum()), int(real.sum())
+        size = max(64, -(-ENTRY_BITS * sum(int(most.sum()) for _, most in held) // 8) * 8)
+        filled = np.zeros(size, bool)
+        for left, most in held:
+            level = 1
+            while len(left):
+                for p in _places(left, level, np.uint64(0), np.uint64(size)):
+                    filled[p.astype(np.int64)] = True
+                level += 1
+                left, most = left[most >= level], most[most >= level]
         packed = np.packbits(filled, bitorder="little").tobytes()
         return pa.Table.from_arrays([pa.array([bucket] * 2, pa.int32()), pa.array([0, 1], pa.int32()), pa.array([out_keys, packed], pa.binary()), pa.array([out_counts, b""], pa.binary()), pa.array([tokens, 0], pa.int64()), pa.array([words, 0], pa.int64())], schema=_MODEL)
 
@@ -151,18 +159,21 @@ def _sum_up(buckets: int, bits: int):
 
 
 class Model:
-    """The filter with N, V and the table of exact word counts."""
+    """The filter's stretches with N, V and the table of exact word counts."""
 
-    def __init__(self, table: DataFrame, buckets: int, bits: int, order: int):
-        self.table, self.buckets, self.bits, self.order = table, buckets, bits, order
-        row = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).collect()[0]
-        self.tokens, self.words = int(row["n"]), int(row["v"])
+    def __init__(self, table: DataFrame, buckets: int, order: int):
+        self.table, self.buckets, self.order = table, buckets, order
+        self.sizes, self.tokens, self.words = np.zeros(buckets, np.uint64), 0, 0  # bits of each bucket
+        for r in table.select("bucket", "kind", F.octet_length("keys").alias("n"), "tokens", "words").toLocalIterator():
+            self.tokens, self.words = self.tokens + r["tokens"], self.words + r["words"]
+            if r["kind"] == 1:
+                self.sizes[r["bucket"]] = 8 * r["n"]
 
     def filter(self) -> np.ndarray:
-        own = (1 << self.bits) // self.buckets // 8
-        out = np.zeros((1 << self.bits) // 8, np.uint8)
+        ends = np.cumsum(self.sizes // np.uint64(8)).astype(np.int64)
+        out = np.zeros(int(ends[-1]), np.uint8)
         for r in self.table.where("kind = 1").select("bucket", "keys").toLocalIterator():
-            out[r["bucket"] * own : (r["bucket"] + 1) * own] = np.frombuffer(r["keys"], np.uint8)
+            out[ends[r["bucket"]] - len(r["keys"]) : ends[r["bucket"]]] = np.frombuffer(r["keys"], np.uint8)
         return out
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
@@ -172,24 +183,25 @@ class Model:
         return np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["counts"], np.int64) for r in rows]]).astype(np.uint32)
 
 
-def fit(docs: DataFrame, order: int = 2, max_bits: int = MAX_BITS) -> Model:
+def fit(docs: DataFrame, order: int = 2) -> Model:
     """Counts all of ``docs`` (text; null: empty, one END)."""
     spark = docs.sparkSession
     lean(spark)
     docs = docs.select("text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
-    bits = min(max_bits, max(MIN_BITS, int(4 * size).bit_length()))
-    buckets = 1 << max(4, min(bits - 14, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+    bits = max(MIN_BITS, int(4 * size).bit_length())
+    buckets = 1 << max(4, min(bits - 14, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()), (int(size) >> BUCKET_TEXT).bit_length())
     packets = docs.mapInArrow(tidy(_count(buckets, order)), _PACKET_DDL)
-    return Model(cut(packets.groupBy("bucket").applyInArrow(_sum_up(buckets, bits), _MODEL_DDL), "bloom-lm"), buckets, bits, order)
+    return Model(cut(packets.groupBy("bucket").applyInArrow(_sum_up(), _MODEL_DDL), "bloom-lm"), buckets, order)
 
 
-def levels(keys: np.ndarray, filled: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+def levels(keys: np.ndarray, filled: np.ndarray, buckets: int, bits: int | np.ndarray) -> np.ndarray:
     """The level of each n-gram: membership is asked for level after level until it fails."""
-    out, live, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
+    base, own = stretches(keys, buckets, bits)
+    out, live, level = np.zeros(len(keys), np.int64), np.flatnonzero(own), 1
     while len(live) and level < 48:
         ok = np.ones(len(live), bool)
-        for p in positions(keys[live], level, buckets, bits):
+        for p in _places(keys[live], level, base[live], own[live]):
             p = p.astype(np.int64)
             ok &= filled[p >> 3] >> (p & 7).astype(np.uint8) & 1 == 1
         live = live[ok]
@@ -201,41 +213,115 @@ def levels(keys: np.ndarray, filled: np.ndarray, buckets: int, bits: int) -> np.
 _SCORED = "doc_id long, n_tokens long, n_known long, base double, score double"
 
 
-def _score(filled, table, n: int, v: int, buckets: int, bits: int, order: int):
-    middle = np.concatenate([[0.0, 1.0], 1.5 * 2.0 ** np.arange(1, 48)])  # of level 0, 1, 2, ...
+_MIDDLE = np.concatenate([[0.0, 1.0], 1.5 * 2.0 ** np.arange(1, 48)])  # of level 0, 1, 2, ...
+
+
+def _rows(ids: pa.Array, offsets: np.ndarray, each: np.ndarray, codes: np.ndarray, known: tuple | None, found: list[np.ndarray], start: int, n: int, v: int) -> pa.RecordBatch:
+    """The scores of some texts: ``each`` and ``codes`` are their tokens, ``found`` the level of the n-gram of each order at each."""
+    size = np.diff(offsets)
+    if known is not None:
+        c = lookup(known, each)
+        base = np.add.reduceat(np.log10((c + 1.0) / (n + v + 1))[codes], offsets[:-1])
+        seen = np.add.reduceat((c > 0).astype(np.int64)[codes], offsets[:-1])
+    else:
+        base, seen = np.zeros(len(size)), np.zeros(len(size), np.int64)
+    p = np.minimum(1.0, (_MIDDLE[found[0]] + 1) / (n + v + 1))
+    for past, gram in zip(found[:-1], found[1:]):
+        c_past = _MIDDLE[np.concatenate([[start], past[:-1]])]
+        c_past[offsets[:-1]] = _MIDDLE[start]
+        share = c_past / (c_past + PRIOR)
+        p = share * np.minimum(1.0, _MIDDLE[gram] / np.maximum(c_past, 1.0)) + (1 - share) * p
+    return pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(seen), pa.array(base), pa.array(np.add.reduceat(np.log10(p), offsets[:-1]))], names=["doc_id", "n_tokens", "n_known", "base", "score"])
+
 
+def _score(filled, table, n: int, v: int, buckets: int, sizes: np.ndarray, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = filled.value
         known = table.value if table is not None else None
+        start = int(levels(np.array([START]), bloom, buckets, sizes)[0])
         for batch in batches:
             texts = batch.column("text")
             for a, b in text_groups(byte_lengths(texts)):
                 offsets, tokens = token_hashes(texts.slice(a, b - a))
-                size = np.diff(offsets)
                 each, codes = np.unique(tokens, return_inverse=True)
-                if known is not None:
-                    c = lookup(known, each)
-                    base = np.add.reduceat(np.log10((c + 1.0) / (n + v + 1))[codes], offsets[:-1])
-                    seen = np.add.reduceat((c > 0).astype(np.int64)[codes], offsets[:-1])
-                else:
-                    base, seen = np.zeros(b - a), np.zeros(b - a, np.int64)
-                p = ((middle[levels(each, bloom, buckets, bits)] + 1) / (n + v + 1))[codes]
-                below = middle[levels(each, bloom, buckets, bits)]
-                for k, (gram, past) in enumerate(zip(grams(offsets, tokens, order)[1:], histories(offsets, tokens, order))):
-                    if k == 0:
-                        before = np.concatenate([[0], codes[:-1]])
-                        c_past = below[before]
-                        c_past[offsets[:-1]] = middle[levels(np.array([START]), bloom, buckets, bits)][0]
-                    else:
-                        c_past = middle[levels(past, bloom, buckets, bits)]
-                    c_gram = middle[levels(gram, bloom, buckets, bits)]
-                    share = c_past / (c_past + PRIOR)
-                    p = share * np.minimum(1.0, c_gram / np.maximum(c_past, 1.0)) + (1 - share) * p
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(size), pa.array(seen), pa.array(base), pa.array(np.add.reduceat(np.log10(p), offsets[:-1]))], names=["doc_id", "n_tokens", "n_known", "base", "score"])
+                found = [levels(each, bloom, buckets, sizes)[codes], *(levels(g, bloom, buckets, sizes) for g in grams(offsets, tokens, order)[1:])]
+                yield _rows(batch.column("doc_id").slice(a, b - a), offsets, each, codes, known, found, start, n, v)
 
     return run
 
 
+_BUNDLE = pa.schema([("bundle", pa.int64()), ("ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())), ("offsets", pa.binary()), ("keys", pa.binary()), ("codes", pa.binary())])
+_BUNDLE_DDL = "bundle long, ids array<long>, rows array<long>, offsets binary, keys binary, codes binary"
+
+
+def _bundle(order: int):
+    """Texts as bundles: the different n-grams of all orders, ascending and with START, and the place of each order's at each token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            for a, b in text_groups(byte_lengths(texts)):
+                offsets, tokens = token_hashes(texts.slice(a, b - a))
+                keys, codes = np.unique(np.concatenate([*grams(offsets, tokens, order), [START]]), return_inverse=True)
+                lists = [pa.array([batch.column(c).slice(a, b - a).to_pylist()], pa.list_(pa.int64())) for c in ("doc_id", "row")]
+                data = [pa.array([x.tobytes()], pa.binary()) for x in (offsets.astype(np.int64), keys, codes.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), *lists, *data], schema=_BUNDLE)
+
+    return run
+
+
+def _ask(buckets: int):
+    """bundle, bucket, keys: what each bundle asks of each stretch."""
+    edges = np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - (buckets.bit_length() - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bundle, raw in zip(batch.column("bundle").to_pylist(), batch.column("keys")):
+                keys = np.frombuffer(raw.as_py(), np.uint64)
+                at = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                cuts = [(k, i, j) for k, (i, j) in enumerate(zip(at[:-1], at[1:])) if i < j]
+                yield pa.RecordBatch.from_arrays([pa.array([bundle] * len(cuts), pa.int64()), pa.array([k for k, _, _ in cuts], pa.int32()), pa.array([keys[i:j].tobytes() for _, i, j in cuts], pa.binary())], names=["bundle", "bucket", "keys"])
+
+    return run
+
+
+def _answer(asked: pa.Table, stretch: pa.Table) -> pa.Table:
+    """bundle, bucket, levels (a byte an n-gram) from one stretch."""
+    out = []
+    if asked.num_rows:
+        bits = stretch.column("filled")[0].as_py() if stretch.num_rows else b""
+        filled, sizes = np.frombuffer(bits, np.uint8), np.array([8 * len(bits)])
+        out = [levels(np.frombuffer(k.as_py(), np.uint64), filled, 1, sizes).astype(np.uint8).tobytes() for k in asked.column("keys")]
+    return pa.Table.from_arrays([asked.column("bundle"), asked.column("bucket"), pa.array(out, pa.binary())], names=["bundle", "bucket", "levels"])
+
+
+def _score_bundles(table, n: int, v: int, order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = table.value if table is not None else None
+        for batch in batches:
+            for r in batch.to_pylist():
+                offsets, keys, codes = np.frombuffer(r["offsets"], np.int64), np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["codes"], np.int32)
+                level = np.frombuffer(b"".join(x["levels"] for x in r["answers"]), np.uint8).astype(np.int64)
+                each, at = np.unique(codes[: offsets[-1]], return_inverse=True)
+                found = [level[x] for x in np.split(codes[:-1], order)]
+                got = _rows(pa.array(r["ids"], pa.int64()), offsets, keys[each], at, known, found, int(level[codes[-1]]), n, v)
+                yield pa.RecordBatch.from_arrays([*got.columns, pa.array(r["rows"], pa.int64())], names=[*got.schema.names, "row"])
+
+    return run
+
+
+def _through_stretches(docs: DataFrame, model: Model, table) -> DataFrame:
+    """Scores of ``docs`` (doc_id, text, row) with the filter left in its table; stretches are dealt out ``salts`` times over."""
+    bundles = cut(docs.mapInArrow(tidy(_bundle(model.order)), _BUNDLE_DDL), "bloom-bundles")
+    size = bundles.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).collect()[0][0]
+    salts = max(1, -(-int(size) // (ASKED * model.buckets)))
+    asked = bundles.select("bundle", "keys").mapInArrow(tidy(_ask(model.buckets)), "bundle long, bucket int, keys binary").withColumn("salt", F.pmod("bundle", F.lit(salts)))
+    stretch = model.table.where("kind = 1").select("bucket", F.col("keys").alias("filled"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).alias("salt"))
+    answers = asked.groupBy("bucket", "salt").cogroup(stretch.groupBy("bucket", "salt")).applyInArrow(_answer, "bundle long, bucket int, levels binary")
+    answers = answers.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("bucket", "levels"))).alias("answers"))
+    return bundles.join(answers, "bundle").mapInArrow(tidy(_score_bundles(table, model.tokens, model.words, model.order)), _SCORED + ", row long")
+
+
 def lookup(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
     table, counts = known
     if not len(table):
@@ -271,26 +357,29 @@ def joined_base(docs: DataFrame, model: Model) -> DataFrame:
     return words.join(counts, "h", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("tf") * F.log10((c + F.lit(1.0)) / total)).alias("base"))
 
 
-def score(docs: DataFrame, model: Model, send_words: int = SEND_WORDS) -> DataFrame:
+def score(docs: DataFrame, model: Model, send_words: int = SEND_WORDS, send_bits: int = SEND_BITS) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row of ``docs`` (doc_id, text; null text: empty, END alone).
 
     With a model of no text every word is unknown and N and V are 0. Rows may repeat.
     """
     spark: SparkSession = docs.sparkSession
     lean(spark)
-    filled = spark.sparkContext.broadcast(model.filter())  # 2^MAX_BITS bits at most
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    small = model.words <= send_words
+    small, whole = model.words <= send_words, int(model.sizes.sum()) <= send_bits
     table = spark.sparkContext.broadcast(model.counts()) if small else None  # 12 bytes a word, send_words at most
-    run = _score(filled, table, model.tokens, model.words, model.buckets, model.bits, model.order)
-    if small:
-        return docs.mapInArrow(tidy(run), _SCORED).withColumnRenamed("base", "base_score")
-    numbered = docs.dropDuplicates().withColumn("row", F.xxhash64("doc_id", "text"))
-    base = joined_base(numbered, model).withColumnRenamed("row", "base_row")
     scored = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    run_rows = _keep_row(run)
-    found = scored.mapInArrow(run_rows, _SCORED + ", row long").drop("base", "n_known")
-    return found.join(base, F.col("row") == F.col("base_row")).select("doc_id", "n_tokens", "n_known", F.col("base").alias("base_score"), "score")
+    if whole:
+        filled = spark.sparkContext.broadcast(model.filter())  # send_bits at most
+        run = _score(filled, table, model.tokens, model.words, model.buckets, model.sizes, model.order)
+        if small:
+            return docs.mapInArrow(tidy(run), _SCORED).withColumnRenamed("base", "base_score")
+        found = scored.mapInArrow(_keep_row(run), _SCORED + ", row long")
+    else:
+        found = _through_stretches(scored, model, table)
+        if small:
+            return found.drop("row").withColumnRenamed("base", "base_score")
+    base = joined_base(docs.dropDuplicates().withColumn("row", F.xxhash64("doc_id", "text")), model).withColumnRenamed("row", "base_row")
+    return found.drop("base", "n_known").join(base, F.col("row") == F.col("base_row")).select("doc_id", "n_tokens", "n_known", F.col("base").alias("base_score"), "score")
 
 
 def _keep_row(run):

@@ -177,6 +177,25 @@ def test_bloom_levels_are_never_too_low():
     assert (got >= want).all() and (got == want).mean() > 0.98
 
 
+def test_bloom_filter_grows_with_the_ngrams(spark):
+    unseen = np.random.default_rng(4).integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2)
+    bits = []
+    for n in (300, 3_000, 30_000):
+        made = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(F.lit("w"), F.xxhash64("id", i).cast("string"))), " ")
+        model = bloom_lm.fit(spark.range(n).select(made.alias("text")))
+        bits.append(int(model.sizes.sum()))
+        assert (bloom_lm.levels(unseen, model.filter(), model.buckets, model.sizes) > 0).mean() < 0.02
+    assert bits[1] > 8 * bits[0] and bits[2] > 8 * bits[1]
+
+
+@pytest.mark.parametrize("words, order", [(10**9, 2), (0, 2), (10**9, 3)])
+def test_bloom_filter_in_stretches_scores_alike(spark, texts, words, order):
+    docs = spark.createDataFrame([*enumerate([*list(texts.values())[:200], None, ""]), (None, "a b")], "doc_id long, text string")
+    model = bloom_lm.fit(docs.where("doc_id % 3 > 0"), order=order)
+    near = lambda rows: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in rows)
+    assert near(bloom_lm.score(docs, model, send_words=words, send_bits=0).collect()) == near(bloom_lm.score(docs, model, send_words=words).collect())
+
+
 def test_decontamination_finds_all_verbatim(spark, texts):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     want = {(i, j) for i, t in texts.items() for j, x in items.items() if x in t}
