@@ -217,6 +217,22 @@ def test_decontamination_of_edited_passages(spark, texts):
     assert not {d for d, _ in got if d >= 1_000}
 
 
+def _hot(spark, n: int, copies: int):
+    """(documents, benchmark): copies of a passage with each sixth word changed in the first documents of n."""
+    rng = np.random.default_rng(6)
+    passage = [f"w{k}x" for k in range(48)]
+    copy = [f"new{k}" if k % 6 == 5 else w for k, w in enumerate(passage)]
+    other = lambda k: [f"o{v}" for v in rng.integers(0, 3_000, k)]
+    docs = [(i, " ".join([*other(40 + i % 32), *(copy if i < copies else []), *other(240)])) for i in range(n)]
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
+
+
+@pytest.mark.parametrize("n, copies", [(300, 100), (5, 1), (5, 2)])
+def test_decontamination_of_hot_edited_passages(spark, n, copies):
+    found = decontaminate.contaminated(*_hot(spark, n, copies)).collect()
+    assert {r["doc_id"] for r in found} == set(range(copies))
+
+
 def test_lcs():
     rng = np.random.default_rng(5)
     for _ in range(20):
