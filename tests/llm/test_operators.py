@@ -247,9 +247,50 @@ def test_lcs():
 def test_randomised_svd(spark):
     rng = np.random.default_rng(6)
     a = rng.normal(size=(40, 5)) @ rng.normal(size=(5, 30))
-    rows = spark.createDataFrame([(list(range(30)), r.tolist()) for r in a], "idx array<long>, val array<double>").repartition(3)
+    every = np.arange(30, dtype=np.int32).tobytes()
+    rows = spark.createDataFrame([(every, r.astype(np.float32).tobytes()) for r in a], "idx binary, val binary").repartition(3)
     basis = decontaminate.randomised_svd(rows, 30, 5)
-    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1])) and np.allclose(a @ basis @ basis.T, a)
+    assert basis.shape == (30, 5) and np.allclose(basis.T @ basis, np.eye(5)) and np.allclose(a @ basis @ basis.T, a, atol=1e-4)
+    assert decontaminate.randomised_svd(rows.where("false"), 30, 5).shape == (30, 0)
+
+
+def test_blocks_hold_each_column_once():
+    offsets, columns = np.array([0, 0, 70, 75]), np.random.default_rng(9).integers(0, 40, 75).astype(np.int32)
+    starts, grid = decontaminate.grid_of(offsets, columns)
+    assert starts.tolist() == [0, 0, 3] and grid.shape == (4, 32)
+    for k, (i, j) in enumerate([(0, 32), (32, 64), (64, 70), (70, 75)]):
+        assert grid[k][grid[k] < decontaminate.COLUMNS].tolist() == sorted(set(columns[i:j].tolist()))
+
+
+def _synonyms():
+    """(documents, benchmark): words a<i> and b<i> keep the same company; document 0 has the passage with half of its words changed."""
+    rng = np.random.default_rng(11)
+    themes = [[f"{rng.choice(['a', 'b'])}{i}" for i in range(g, g + 8)] for g in rng.integers(0, 6, 1_500) * 8]
+    docs = [(10 + k, " ".join(rng.permutation([*t, *[f"{w[0]}{int(w[1:])}" for w in t], *[f"o{v}" for v in rng.integers(0, 4_000, 20)]]))) for k, t in enumerate(themes)]
+    passage = [f"a{i}" for i in range(48)]
+    other = lambda n: [f"o{v}" for v in rng.integers(0, 4_000, n)]
+    changed = [w if i % 2 else f"b{i}" for i, w in enumerate(passage)]
+    return [(0, " ".join([*other(32), *changed, *other(48)])), *docs], [(1, " ".join(passage), "a1 a3")]
+
+
+def test_paraphrase_that_plain_tf_idf_misses(spark):
+    docs, items = _synonyms()
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string, answer string")
+    surveyed = decontaminate.survey(table)
+    model = decontaminate.build(surveyed, decontaminate.passages_of(items))[0]
+    assert model.project.shape[1] <= decontaminate.RANK < 1_000
+    found = {r["doc_id"]: r for r in decontaminate.contaminated(table, bench, answer="answer").collect()}
+    assert set(found) == {0} and found[0]["cosine"] >= 0.5 and 0.4 <= found[0]["lcs"] < 0.6
+    weight = decontaminate.weights(decontaminate.passages_of(items), surveyed[0], surveyed[1], decontaminate.MAX_SHARE)[0]
+    plain = []
+    words = decontaminate.passages_of([(0, docs[0][1], None)]).words
+    row = lambda h: np.bincount(decontaminate.columns_of(h), minlength=decontaminate.COLUMNS) * weight
+    text, p = np.concatenate(words), row(decontaminate.passages_of(items).words[0])
+    for i in range(0, len(text) - 32, 32):
+        w = row(text[i : i + 64])
+        plain.append(w @ p / (np.linalg.norm(w) * np.linalg.norm(p)))
+    assert max(plain) < 0.5
 
 
 BASE = {
