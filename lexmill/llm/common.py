@@ -53,6 +53,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` doesn't have, in whatever case."""
+    taken, out, k = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if (name := f"_lx{k}") not in taken:
+            out.append(name)
+        k += 1
+    return out
+
+
 def id_bucket(column: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     c = F.col(column) if isinstance(column, str) else column

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int, max_bytes: int) -> list[tuple[str, int]]:
     """At most ``max_rows`` whole texts of at most ``max_bytes`` bytes each, with their 0/1 labels, in a fixed order.
 
-    Rows are drawn by a hash of the id among those where ``learn`` (of labels.doc_id) holds. So what reaches the driver is
-    bounded by max_rows * max_bytes at any size of the input. Labels other than 0 and 1 and null texts are left out; of rows
-    that repeat a doc_id in ``labels`` the smallest label counts.
+    Rows are drawn by a hash of the id among those where ``learn`` (of labels.doc_id) holds; of texts that share a doc_id the
+    smallest counts. So what reaches the driver is bounded by max_rows * max_bytes at any size of the input. Labels other than
+    0 and 1 and null texts are left out; of rows that repeat a doc_id in ``labels`` the smallest label counts.
     """
     picked = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -23,6 +23,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
         .limit(max_rows)
     )
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(picked), "doc_id")
-    found = texts.select("h", "doc_id", "text", "y").toPandas()
-    found = found.drop_duplicates(["doc_id", "text"]).sort_values(["h", "doc_id", "text"])[:max_rows]
+    found = texts.groupBy("h", "doc_id", "y").agg(F.min("text").alias("text")).toPandas().sort_values(["h", "doc_id"])
     return list(zip(found["text"].tolist(), found["y"].astype(int).tolist()))

@@ -13,22 +13,30 @@
    which is exact. There, too, hubs go first (two rounds), then the pairs of different components that may still be linked.
    No pair that could be linked is left untested.
 
-With J >= 0.85, K = 32 and T = 17 a link is overlooked with probability below 3e-6 where J is 0.85 and less where it is higher.
+T follows from the similarity asked for: the largest number for which a link of just that similarity has fewer matches among K
+coordinates with probability below OVERLOOKED; more similar links are safer.
+
+Lists of one key may hold a third of all rows. Rows of a key with more than ``_long`` of them get what belongs to the key from
+a broadcast of those few keys, so they stay where they are; only rows of other keys go through an exchange by key. The last
+step's pairs within a long list are dealt by blocks of LONG members, two blocks a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import byte_lengths, cut, lean, mix, text_groups, tidy, word_hashes
+from .common import byte_lengths, cut, fresh_names, lean, mix, text_groups, tidy, word_hashes
 
-SHINGLE, K, T = 5, 32, 17
+SHINGLE, K, OVERLOOKED = 5, 32, 1e-5
+#: Rows of one key from which it counts as long, and how many long keys there are at most.
+LONG, LONG_KEYS = 512, 200_000
 #: Ids of classes that are sent to all workers at most, as a filter on the second read of the texts; beyond it is a join.
 SEND_IDS = 2_000_000
 _RNG = np.random.default_rng(71)
@@ -104,12 +112,36 @@ def _matches(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
 
 
-def _postings(classes: DataFrame) -> DataFrame:
+def least_matches(percent: int) -> int:
+    """T: the most matches of K that a link with a Jaccard index of ``percent`` / 100 misses with probability below OVERLOOKED."""
+    j, below = percent / 100, 0.0
+    for t in range(K):
+        below += comb(K, t) * j**t * (1 - j) ** (K - t)
+        if below > OVERLOOKED:
+            return max(t, 1)
+    return K
+
+
+def _long(total: int) -> int:
+    return max(LONG, total // LONG_KEYS)
+
+
+def _keyed(rows: DataFrame, counted: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``counted`` by ``key``; counted has one row a key, with ``n``, how many rows hold it.
+
+    ``total``: of the rows. Keys with more than _long(total) of them are at most LONG_KEYS, so they are broadcast.
+    """
+    long = F.broadcast(counted.where(F.col(n) > _long(total)))
+    short = rows.join(F.broadcast(counted.where(F.col(n) > _long(total)).select(key)), key, "left_anti")
+    return rows.join(long, key).unionByName(short.join(counted.where(F.col(n) <= _long(total)), key))
+
+
+def _postings(classes: DataFrame, t: int) -> DataFrame:
     """token, rep, own: the prefix postings of the classes that can match another; own: coordinates that no other class has."""
     posted = classes.select("rep", F.posexplode("sig").alias("at", "value")).select("rep", (F.col("at").cast("long") * F.lit(1 << 32) + F.col("value").cast("long")).alias("token"))
-    common = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    own = posted.join(common, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("own"))  # K at most
-    posted = own.where(F.size("own") >= T).select("rep", (F.lit(K) - F.size("own")).alias("own"), F.explode(F.slice("own", F.lit(1), F.size("own") - (T - 1))).alias("p"))
+    common = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common")
+    own = _keyed(posted, common, "token", "n", K * classes.count()).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("own"))  # K at most
+    posted = own.where(F.size("own") >= t).select("rep", (F.lit(K) - F.size("own")).alias("own"), F.explode(F.slice("own", F.lit(1), F.size("own") - (t - 1))).alias("p"))
     return posted.select(F.col("p.token").alias("token"), "rep", "own")
 
 
@@ -122,11 +154,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _unlike(lists: DataFrame, parts: DataFrame) -> DataFrame:
-    """Of lists (token, rep, ...) those with more than one component: with comp, and top, the component that most of the list is in."""
+    """Of lists (token, rep, ...) those with more than one component: with comp, top, the component that most of the list is in,
+    and list, how long it is."""
     now = cut(lists.join(parts, "rep"), "placed")
     counts = now.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = counts.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1")
-    return cut(now.join(mixed.select("token", F.col("top.comp").alias("top")), "token"), "apart")
+    mixed = counts.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("list")).where("comps > 1")
+    mixed = cut(mixed.select("token", F.col("top.comp").alias("top"), "list"), "mixed")
+    return cut(_keyed(now, mixed, "token", "list", now.count()), "apart")
 
 
 def _rare_lists(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -136,9 +170,9 @@ def _rare_lists(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     n - ceil(percent * n) + 1 rarest. Shingles that only one class has (a share ``own``) fill that prefix first, so a class with
     too many of them has no list. ``left``: the class's shingles that others have, from this one on.
     """
-    every = sets.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("sh"))
-    common = every.groupBy("sh").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    kept = every.join(common, "sh").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("rare"))  # no more than the class's set
+    every = cut(sets.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("sh")), "shingles")
+    common = cut(every.groupBy("sh").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common")
+    kept = _keyed(every, common, "sh", "df", every.count()).groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("rare"))  # no more than the class's set
     need = F.ceil(F.col("n") * F.lit(percent) / F.lit(100.0)).cast("int")
     kept = kept.withColumn("prefix", F.size("rare") - need + 1).where("prefix > 0")
     kept = kept.select(F.col("doc_id").alias("rep"), "n", F.size("rare").alias("size"), F.posexplode(F.slice("rare", F.lit(1), F.col("prefix"))["sh"]).alias("at", "token"))
@@ -151,24 +185,33 @@ def _met(apart: DataFrame, percent: int | None, hubs: str | None) -> DataFrame:
     are left out.
     """
     fields = [c for c in ("rep", "comp", "n", "left", "own") if c in apart.columns]
+    y = apart.select("token", "list", *[F.col(c).alias(f"{c}_y") for c in fields])
     if hubs:
         key = F.struct(F.col("own").alias("o"), F.xxhash64("rep").alias("h"), F.struct(*fields).alias("r"))
-        x = apart.where("comp != top" if hubs == "rest" else "true").groupBy("token").agg(F.min(key)["r"].alias("r")).select("token", *[F.col(f"r.{c}").alias(f"{c}_x") for c in fields])
+        x = apart.where("comp != top" if hubs == "rest" else "true").groupBy("token").agg(F.min(key)["r"].alias("r"), F.max("list").alias("list"))
+        x = cut(x.select("token", "list", *[F.col(f"r.{c}").alias(f"{c}_x") for c in fields]), "hubs")
+        both = _keyed(y.drop("list"), x, "token", "list", apart.count())
     else:
-        x = apart.select("token", *[F.col(c).alias(f"{c}_x") for c in fields])
-    y = apart.select("token", *[F.col(c).alias(f"{c}_y") for c in fields])
+        blocks = F.ceil(F.col("list") / F.lit(LONG)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), blocks - 1))
+        own = lambda c: F.pmod(F.xxhash64(c), blocks).cast("int")
+        x = apart.select("token", "list", *[F.col(c).alias(f"{c}_x") for c in fields])
+        x = x.select("*", own("rep_x").alias("i"), every.alias("j")).drop("list")
+        both = x.join(y.select("*", own("rep_y").alias("j"), every.alias("i")).drop("list"), ["token", "i", "j"])
     fits = F.col("comp_x") != F.col("comp_y")
     if percent:
         most = F.least("left_x", "left_y")  # shared at most, if this is the first shingle shared
         fits = fits & (F.lit(100) * most >= F.lit(percent) * (F.col("n_x") + F.col("n_y") - most))
     if not hubs:
         fits = fits & (F.col("rep_x") < F.col("rep_y"))
-    return x.join(y, "token").where(fits).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+    return both.where(fits).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
 
 
 def class_links(docs: DataFrame, classes: DataFrame, percent: int = 85) -> DataFrame:
     """rep, comp for the classes (rep, n, sig) that can match another: their component under links."""
-    postings = cut(_postings(classes), "postings")
+    t = least_matches(percent)
+    postings = cut(_postings(classes, t), "postings")
+    sizes = cut(postings.groupBy("token").agg(F.count(F.lit(1)).alias("list")), "list-sizes")
     posted = cut(postings.select("rep").distinct().join(classes, "rep"), "posted-classes")
     ids = posted.select(F.col("rep").alias("doc_id"))
     wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if posted.count() <= SEND_IDS else ids, "doc_id", "left_semi")
@@ -178,7 +221,7 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int = 85) -> DataF
     parts = links = tested = rare = None
     for hubs in ("signature", "any", "rest", None):
         if hubs == "signature":
-            pairs = _met(postings.withColumn("comp", F.col("rep")), None, "any")
+            pairs = _met(_keyed(postings, sizes, "token", "list", postings.count()).withColumn("comp", F.col("rep")), None, "any")
         else:
             if rare is None:
                 apart = _unlike(postings, parts)
@@ -191,7 +234,7 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int = 85) -> DataF
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs, "met")
         tested = pairs if tested is None else tested.unionAll(pairs)
-        near = pairs.join(a, "a").join(b, "b").where(_fits(F.col("na"), F.col("nb"), percent) & (_matches("sa", "sb") >= T)).select("a", "b").distinct()
+        near = pairs.join(a, "a").join(b, "b").where(_fits(F.col("na"), F.col("nb"), percent) & (_matches("sa", "sb") >= t)).select("a", "b").distinct()
         new = cut(_confirmed(near, sets, percent), "new-links")
         if links is not None and not new.take(1):
             continue
@@ -230,16 +273,17 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` but for those of a group's other documents; of rows alike in doc_id and text one stays.
 
     Rows to leave are few against all, so their keys are sent to the workers if there are SEND_IDS at most and joined through an
-    exchange beyond that.
+    exchange beyond that. Columns of any name are handed on: the keys' names are made up afresh.
     """
     found = cut(_grouped(docs, percent), "groups")
-    keyed = docs.withColumn("_tie", F.xxhash64("text"))
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_gone")).distinct()
-    left = keyed.join(F.broadcast(gone) if gone.count() <= SEND_IDS else gone, (F.col("doc_id") == F.col("_doc")) & (F.col("_tie") == F.col("_gone")), "left_anti")
-    again = found.where("kept").groupBy("doc_id", "tie").count().where("count > 1").select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_gone"))
+    tie, doc, gone_tie = fresh_names(docs, 3)
+    keyed = docs.withColumn(tie, F.xxhash64("text"))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(doc), F.col("tie").alias(gone_tie)).distinct()
+    left = keyed.join(F.broadcast(gone) if gone.count() <= SEND_IDS else gone, (F.col("doc_id").cast("long") == F.col(doc)) & (F.col(tie) == F.col(gone_tie)), "left_anti")
+    again = found.where("kept").groupBy("doc_id", "tie").count().where("count > 1").select(F.col("doc_id").alias(doc), F.col("tie").alias(gone_tie))
     if not again.take(1):
         return left.select(docs.columns)
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_tie") == F.col("_gone"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(tie) == F.col(gone_tie))
     return left.join(again, same, "left_anti").unionAll(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
 
 

@@ -179,24 +179,24 @@ def _back_pool(half: np.ndarray, edges: np.ndarray, dfeats: np.ndarray) -> np.nd
     return out
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a ``score`` column; a null text is scored as the empty text. No exchange: one pass over the input.
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``, the score; a null text is scored as the empty text. No exchange: one pass over the input.
 
-    An input column called score is replaced.
+    An input column of that name is replaced.
     """
     spark = docs.sparkSession
     lean(spark)
     sent = spark.sparkContext.broadcast(model)  # a few tens of KB, whatever the input
-    docs = docs.drop("score")
+    docs = docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = pair_table(sent.value.embed)
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             parts = [score_texts([t.as_py() for t in texts.slice(a, b - a).cast(pa.large_binary())], sent.value, pairs) for a, b in text_groups(byte_lengths(texts))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *parts]))], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *parts]))], names=[*batch.schema.names, name])
 
-    schema = _with(docs, "score", "double")
+    schema = _with(docs, name, "double")
     return docs.mapInArrow(tidy(run), schema)
 
 

@@ -51,7 +51,7 @@ def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

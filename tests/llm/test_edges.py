@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import ann, bloom_lm, chunk_dedup, decontaminate, mixing, near_dup, pii, quality, token_store, toxicity
 from lexmill.llm.common import staging_path
+from lexmill.llm.labelled import labelled_sample
 from lexmill.llm.queries import tokenizer_path
 
 LONG = "the quick brown fox jumps over lazy dogs and idiot cats; " * 4_000
@@ -106,6 +107,26 @@ def test_pii(spark, docs, empty):
     assert pii.digest(pii.find(empty, model)).count() == 0
 
 
+def test_labelled_sample_keeps_its_bound(spark):
+    docs = spark.range(500).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (2, 1)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", F.lit(True), 2, 1_000)
+    assert len(got) == 2 and all(t in {"text 0", "text 1", "text 101"} for t, _ in got)
+
+
+def test_clashing_names_are_handed_on(spark):
+    names = ["size", "source_size", "target", "rate", "copies", "copy", "mix_source", "_doc", "_gone", "_tie", "score", "_lx0", "n"]
+    docs = spark.createDataFrame([(k, f"some words of text number {k % 3} here", f"s{k % 2}", *[f"{c}{k}" for c in names]) for k in range(6)], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    rows = {tuple(r) for r in docs.collect()}
+    one = near_dup.keep_one(docs)
+    assert one.columns == docs.columns and {tuple(r) for r in one.collect()} == {r for r in rows if r[0] < 3}
+    mixed = mixing.repeated(docs)
+    assert mixed.columns == docs.columns and {tuple(r) for r in mixed.collect()} <= rows
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs.select("doc_id", "text", "source")).collect() if r["copies"]}
+    assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == want
+    assert "copy" in mixing.emit(mixing.mix(docs)).columns
+
+
 def test_mixing(docs, empty):
     mixed = mixing.mix(docs)
     assert mixed.count() == len(ROWS)

@@ -366,6 +366,7 @@ def test_mixing_takes_near_target(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = mixing.mix(docs).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.sum("size").alias("own")).collect()
     assert abs(sum(r["taken"] for r in got) / sum(r["target"] for r in got) - 1) < 0.03
+    assert all(abs(r["taken"] / r["target"] - 1) < 0.12 for r in got)  # a source's draws: about 500 documents, some long
     emitted = mixing.emit(mixing.mix(docs))
     assert emitted.count() == mixing.mix(docs).agg(F.sum("copies")).first()[0]
 
@@ -392,7 +393,14 @@ def _components(texts: dict[int, str], percent: int = 85) -> dict[int, tuple[int
     return {i: (len(sets[i]), find(i)) for i in texts}
 
 
-def test_near_duplicates_against_brute_force(spark):
+def test_least_matches():
+    want = {p: max(t for t in range(33) if sum(math.comb(32, k) * (p / 100) ** k * (1 - p / 100) ** (32 - k) for k in range(t)) <= 1e-5) for p in (60, 80, 85, 100)}
+    assert {p: near_dup.least_matches(p) for p in want} == want
+
+
+@pytest.mark.parametrize("percent, parts, long", [(85, 7, 512), (75, 1, 6), (60, 3, 6)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, percent, parts, long):
+    monkeypatch.setattr(near_dup, "LONG", long)  # lists beyond it are split
     rng = np.random.default_rng(8)
     vocab = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3_000)]
     base = [list(rng.choice(vocab, n)) for n in (60, 120, 300, 200)]
@@ -411,11 +419,9 @@ def test_near_duplicates_against_brute_force(spark):
     for t in ("a", "A", "b c d", "a b c d e", "A b\tC d  e", ""):
         rows[i] = t
         i += 1
-    want = _components(rows)
-    for parts in (1, 7):
-        docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(parts)
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs).collect()}
-        assert got == want
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(parts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs, percent).collect()}
+    assert got == _components(rows, percent)
 
 
 def test_near_duplicate_query(spark, texts):
