@@ -11,19 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import decontaminate, mixing, near_dup, quality, token_store
-from lexmill.llm.common import cut, id_bucket, staging_path, table
+from lexmill.llm.common import cut, fresh_names, id_bucket, staging_path, table
 from lexmill.llm.queries import ACCEPT, tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte-level CNN accepts; it learns from four fifths of the labelled ones among ``docs``."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), id_bucket("doc_id", 5) != 0)
-    return quality.score(docs, model).where(F.col("score") >= ACCEPT).select(docs.columns)
+    (name,) = fresh_names(docs, 1)
+    return quality.score(docs, model, name).where(F.col(name) >= ACCEPT).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return near_dup.keep_one(docs, 85)
+    """One document of each near-duplicate group: five-word shingles, similarity of 0.8 or more."""
+    return near_dup.keep_one(docs, 80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.emit(mixing.mix(docs)).select(docs.columns)
+    return mixing.repeated(docs)
 
 
 def write_token_planes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
