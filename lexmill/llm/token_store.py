@@ -4,9 +4,11 @@ Format. A store is a folder with two Parquet tables, written by Spark's own writ
 lost executors and any file system will do:
 
 * ``blocks``: one row a block of ``block_ids`` ids (the last of a part may be shorter): part, chunk, n_ids, ``planes``
-  (the zstandard frames of the planes, lowest first; planes that are all zero at the top are left out), and for the
-  documents that end in the block their ids and end offsets within the part.
-* ``index``: one row a block without the payload: part, chunk, first_id (place in the whole store), n_ids, plane sizes.
+  (the zstandard frames of the planes, lowest first; planes that are all zero at the top are left out), ``before`` and
+  ``docs_before`` (ids of the part, and documents that end in it, before the block), ``opens`` (a document begins with the
+  block), and for the documents that end in the block their ids and end offsets within the part.
+* ``index``: one row a block without the payload: part, chunk, first_id (place in the whole store), n_ids, plane sizes, mode.
+  Readers find the parts' places and any range of ids by it.
 
 Planes: ids are little-endian 32-bit integers; ``byte`` mode puts the k-th byte of every id into plane k, ``bit`` mode the
 k-th bit of every id (packed, eight ids a byte).
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import byte_lengths, lean, ragged, split_words, text_groups, tidy
 
-BLOCK_SCHEMA = "part int, chunk long, n_ids long, planes array<binary>, doc_ids array<long>, doc_ends array<long>"
+BLOCK_SCHEMA = "part int, chunk long, n_ids long, planes array<binary>, before long, docs_before long, opens boolean, doc_ids array<long>, doc_ends array<long>"
+INDEX_SCHEMA = "part int, chunk long, first_id long, n_ids long, plane_bytes array<int>, mode string"
 PIECE_SCHEMA = "part int, ordinal long, doc_id long, chunk long, n long, begin long, crc long, bytes binary"
 
 
@@ -58,94 +61,26 @@ def from_planes(planes: list[bytes], n: int, mode: str) -> np.ndarray:
     return ids
 
 
-#: Words of letters with marks behind, the letters all ASCII or Latin-1: what the array form of the merges takes.
+#: Words of letters with marks behind, the letters all ASCII or Latin-1: their pieces are the letters and the marks.
 _PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*[!-&(-/:-@\\[-`{-~]*$"
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 _LONGEST = 64
 
 
-class Merges:
-    """Byte-pair merges of many words at once, on arrays.
-
-    Words of one length are the rows of a matrix of symbols. In each round every row merges its pair of lowest rank, the
-    leftmost of those, so all rows shrink together; rows without a pair left are done. Only the two pairs beside a merge get
-    a new rank.
-    """
-
-    NONE = np.int32(1 << 30)
-
-    def __init__(self, vocab: dict[str, int], merges: list, end: str):
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(printable)]
-        letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.inner = np.array([vocab[letter[b]] for b in range(256)], np.int64)
-        self.last = np.array([vocab[letter[b] + end] for b in range(256)], np.int64)
-        pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in merges]
-        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int32)
-        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        symbols = np.concatenate([self.inner, self.last])
-        self.bytes = self.rank(np.repeat(symbols, 512), np.tile(symbols, 512)).reshape(512, 512)  # of pairs of single bytes
-
-    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], self.NONE)
-
-    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, start of each word's ids, number of them); an empty word has none."""
-        words = words.cast(pa.large_binary())
-        n = len(words)
-        edges = np.frombuffer(words.buffers()[1], np.int64, n + 1, words.offset * 8)
-        raw = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] is not None else np.zeros(0, np.uint8)
-        size = np.diff(edges)
-        starts, counts, pool, used = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
-        for length in np.unique(size[size > 0]).tolist():
-            rows = np.flatnonzero(size == length)
-            raw_rows = raw[edges[rows][:, None] + np.arange(length)]
-            s = self.inner[raw_rows]
-            s[:, -1] = self.last[raw_rows[:, -1]]
-            code = raw_rows.astype(np.int64)
-            code[:, -1] += 256
-            r = self.bytes[code[:, :-1], code[:, 1:]]
-            while True:
-                if s.shape[1] > 1:
-                    at = r.argmin(axis=1)
-                    best = r[np.arange(len(r)), at]
-                    over = best == self.NONE
-                else:
-                    over = np.ones(len(s), bool)
-                if over.any():
-                    starts[rows[over]] = used + np.arange(over.sum()) * s.shape[1]
-                    counts[rows[over]] = s.shape[1]
-                    pool.append(s[over].ravel())
-                    used += pool[-1].size
-                    if over.all():
-                        break
-                    rows, s, r, at, best = rows[~over], s[~over], r[~over], at[~over], best[~over]
-                each, width = np.arange(len(s)), s.shape[1]
-                s[each, at] = self.merged[best]
-                cols = np.arange(width - 1)
-                s = np.take_along_axis(s, cols + (cols > at[:, None]), axis=1)
-                if width == 2:
-                    r = r[:, :0]
-                    continue
-                cols = np.arange(width - 2)
-                r = np.take_along_axis(r, cols + (cols >= at[:, None]), axis=1)
-                left, right = at > 0, at < width - 2
-                k = each[left]
-                r[k, at[left] - 1] = self.rank(s[k, at[left] - 1], s[k, at[left]])
-                k = each[right]
-                r[k, at[right]] = self.rank(s[k, at[right]], s[k, at[right] + 1])
-        return (np.concatenate(pool) if pool else np.zeros(0, np.int64)).astype(np.uint32), starts, counts
+def byte_letters() -> dict[int, str]:
+    """What a Latin-1 letter is in the alphabet of byte-level tokenizers: bytes without a visible sign follow U+00FF in order."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    sign = lambda b: chr(b) if b in visible else chr(256 + hidden.index(b))
+    return {c: "".join(map(sign, chr(c).encode())) for c in range(128, 256)}
 
 
 class Encoder:
     """Ids of whole texts from a tokenizer file, by its different words where its pieces never span ASCII white space.
 
-    Words of plain letters and marks of a byte-level merge table go through ``Merges``; all other words, and whole texts of
-    tokenizers of another kind, through the tokenizers library.
+    Everything is encoded by the tokenizers library. Words of plain letters and marks of a byte-level merge table, which its
+    normalizer lowers and its pre-tokenizer parts into letters and marks, are lowered and parted on Arrow arrays and go to the
+    library's model piece by piece; all other words, and whole texts of tokenizers of another kind, go through all its steps.
     """
 
     def __init__(self, path: str):
@@ -164,14 +99,25 @@ class Encoder:
         known = "[\\p{L}]+" in splits[0]["pattern"].get("Regex", "") and "[^\\s\\p{L}\\p{N}]+" in splits[0]["pattern"].get("Regex", "") if splits else False
         level = steps and steps[-1].get("type") == "ByteLevel" and not steps[-1].get("add_prefix_space") and not steps[-1].get("use_regex")
         plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges")) and norms == ["NFC", "Replace", "Lowercase"]
-        self.merges = Merges(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "") if self.by_word and known and level and plain else None
+        self.plain = bool(self.by_word and known and level and plain)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, count) of different lowered pieces, by the library's model; none for an empty piece."""
+        tokenize, out, counts = self.model.tokenize, [], []
+        for p in pieces.to_pylist():
+            found = [t.id for t in tokenize(p if p.isascii() else p.translate(self.letters))]
+            out += found
+            counts.append(len(found))
+        n = np.array(counts, np.int64)
+        return np.array(out, np.uint32), np.cumsum(n) - n, n
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start, count) of different words."""
         n = len(words)
         fast = np.zeros(n, bool)
         parts, starts, counts, used = [], np.zeros(n, np.int64), np.zeros(n, np.int64), 0
-        if self.merges:
+        if self.plain:
             fast = np.asarray(pc.and_(pc.match_substring_regex(words, _PLAIN), pc.less_equal(pc.binary_length(words), _LONGEST)))
             own = words.filter(pa.array(fast))
             stems = pc.utf8_rtrim(own, characters=_MARKS)
@@ -181,8 +127,8 @@ class Encoder:
             tails = _slices(raw, behind, size)
             stems = pc.utf8_lower(stems).dictionary_encode()
             tails = tails.dictionary_encode()
-            ids_a, at_a, n_a = self.merges.encode(stems.dictionary)
-            ids_b, at_b, n_b = self.merges.encode(tails.dictionary)
+            ids_a, at_a, n_a = self.pieces(stems.dictionary)
+            ids_b, at_b, n_b = self.pieces(tails.dictionary.cast(pa.large_string()))
             a, b = np.asarray(stems.indices).astype(np.int64), np.asarray(tails.indices).astype(np.int64)
             first, second = n_a[a], np.zeros(len(a), np.int64)
             second[behind] = n_b[b]
@@ -230,13 +176,15 @@ def _blocks(path: str, end_id: int, block_ids: int, mode: str, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         encoder = Encoder(path)
-        held, held_n, docs, ends, chunk, done = [], 0, [], [], 0, 0  # done: ids of the part in blocks so far
+        held, held_n, docs, ends, chunk = [], 0, [], [], 0
+        done, docs_done, last_end = 0, 0, 0  # ids and documents of the part in blocks so far, and where the last of these ended
 
         def block(ids: np.ndarray) -> pa.RecordBatch:
-            nonlocal docs, ends, chunk, done
+            nonlocal docs, ends, chunk, done, docs_done, last_end
             k = int(np.searchsorted(np.array(ends, np.int64), done + len(ids), side="right"))
-            row = {"part": part, "chunk": chunk, "n_ids": len(ids), "planes": to_planes(ids, mode, level), "doc_ids": docs[:k], "doc_ends": ends[:k]}
-            docs, ends, chunk, done = docs[k:], ends[k:], chunk + 1, done + len(ids)
+            row = {"part": part, "chunk": chunk, "n_ids": len(ids), "planes": to_planes(ids, mode, level), "before": done, "docs_before": docs_done, "opens": last_end == done, "doc_ids": docs[:k], "doc_ends": ends[:k]}
+            last_end = ends[k - 1] if k else last_end
+            docs, ends, chunk, done, docs_done = docs[k:], ends[k:], chunk + 1, done + len(ids), docs_done + k
             return pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
 
         end_of_part = 0
@@ -263,7 +211,7 @@ def _blocks(path: str, end_id: int, block_ids: int, mode: str, level: int):
     return run
 
 
-_SCHEMA = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n_ids", pa.int64()), ("planes", pa.list_(pa.binary())), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int64()))])
+_SCHEMA = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n_ids", pa.int64()), ("planes", pa.list_(pa.binary())), ("before", pa.int64()), ("docs_before", pa.int64()), ("opens", pa.bool_()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int64()))])
 _PIECES = pa.schema([("part", pa.int32()), ("ordinal", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("begin", pa.int64()), ("crc", pa.int64()), ("bytes", pa.binary())])
 
 
@@ -283,21 +231,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
     blocks = ordered.mapInArrow(tidy(_blocks(tokenizer, end_id, block_ids, mode, level)), BLOCK_SCHEMA)
     blocks.write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(f"{path}/blocks")
     written = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
-    before = _part_offsets(written)
-    own = Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    index = (
-        written.select("part", "chunk", "n_ids", F.transform("planes", lambda p: F.length(p)).alias("plane_bytes"))
-        .withColumn("inner", F.coalesce(F.sum("n_ids").over(own), F.lit(0)))
-        .join(F.broadcast(before), "part")
-        .select("part", "chunk", (F.col("before") + F.col("inner")).alias("first_id"), "n_ids", "plane_bytes", F.lit(mode).alias("mode"))
-    )
-    index.write.parquet(f"{path}/index")
+    parts = written.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row a part: as many as the write had tasks
+    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    index = written.select("part", "chunk", "before", "n_ids", F.transform("planes", lambda p: F.length(p)).alias("plane_bytes")).join(parts, "part")
+    index.select("part", "chunk", (F.col("first") + F.col("before")).alias("first_id"), "n_ids", "plane_bytes", F.lit(mode).alias("mode")).write.parquet(f"{path}/index")
 
 
-def _part_offsets(blocks: DataFrame) -> DataFrame:
-    """Ids before each part: a row a part, so as many as the write had tasks."""
-    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    return parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+def _index(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """(index, the store's mode)."""
+    index = spark.read.schema(INDEX_SCHEMA).parquet(f"{path}/index")
+    found = index.select("mode").limit(1).collect()
+    return index, found[0]["mode"] if found else "byte"
 
 
 def _pieces(mode: str):
@@ -324,20 +268,11 @@ def _pieces(mode: str):
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of a store, each block decoded on its own.
 
-    Only a document that spans blocks has its pieces brought together, by (part, place in the part).
+    Payloads stay where they are read: only digests go on, and of a document that spans blocks its pieces, to be brought together
+    by (part, place in the part). A part's place in the store comes from the index.
     """
-    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
-    modes = [r["mode"] for r in spark.read.parquet(f"{path}/index").select("mode").limit(1).collect()]
-    index = blocks.select("part", "chunk", "n_ids", F.size("doc_ids").alias("n_docs"), F.try_element_at("doc_ends", F.lit(-1)).alias("last_end"))
-    own = Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    index = index.select(
-        "part",
-        "chunk",
-        F.coalesce(F.sum("n_ids").over(own), F.lit(0)).alias("before"),
-        F.coalesce(F.sum("n_docs").over(own), F.lit(0)).alias("docs_before"),
-        F.coalesce(F.max("last_end").over(own), F.lit(0)).alias("ended"),
-    ).withColumn("opens", F.col("ended") == F.col("before"))
-    pieces = blocks.join(index, ["part", "chunk"]).mapInArrow(tidy(_pieces(modes[0] if modes else "byte")), PIECE_SCHEMA)
+    index, mode = _index(spark, path)
+    pieces = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").mapInArrow(tidy(_pieces(mode)), PIECE_SCHEMA)
     docs = pieces.groupBy("part", "ordinal").agg(
         F.max("doc_id").alias("doc_id"),
         F.min("begin").alias("begin"),
@@ -346,23 +281,32 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         F.sort_array(F.collect_list(F.when(F.col("bytes").isNotNull(), F.struct("chunk", "bytes")))).alias("split"),
     )
     joined = F.aggregate("split", F.lit(b""), lambda a, x: F.concat(a, x["bytes"]))
-    return docs.join(F.broadcast(_part_offsets(blocks)), "part").select(
-        "doc_id",
-        (F.col("before") + F.col("begin")).alias("start"),
-        "n_tokens",
-        F.coalesce("crc", F.crc32(joined)).alias("ids_crc32"),
-    )
+    first = index.groupBy("part").agg(F.min("first_id").alias("first"))  # a row a part
+    return docs.join(F.broadcast(first), "part").select("doc_id", (F.col("first") + F.col("begin")).alias("start"), "n_tokens", F.coalesce("crc", F.crc32(joined)).alias("ids_crc32"))
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """part, chunk and the ids of every block, for readers that want the stream itself."""
-    mode = spark.read.parquet(f"{path}/index").select("mode").limit(1).collect()
-    kind = mode[0]["mode"] if mode else "byte"
-
+def _decoded(mode: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.select(["part", "chunk", "n_ids", "planes"]).to_pylist():
-                ids = from_planes(row["planes"], row["n_ids"], kind)
+                ids = from_planes(row["planes"], row["n_ids"], mode)
                 yield pa.RecordBatch.from_arrays([pa.array([row["part"]], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], names=["part", "chunk", "ids"])
 
-    return spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").mapInArrow(run, "part int, chunk long, ids array<long>")
+    return run
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """part, chunk and the ids of every block, for readers that want the stream itself."""
+    return spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").mapInArrow(_decoded(_index(spark, path)[1]), "part int, chunk long, ids array<long>")
+
+
+def read_range(spark: SparkSession, path: str, begin: int, end: int) -> DataFrame:
+    """first_id and the ids of the store's places ``begin`` to ``end`` (exclusive), a row a block: the index says which blocks
+    to decode, and the scan reads those of their parts alone."""
+    index, mode = _index(spark, path)
+    wanted = index.where((F.col("first_id") < end) & (F.col("first_id") + F.col("n_ids") > begin)).select("part", "chunk", "first_id")
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").join(wanted.drop("first_id"), ["part", "chunk"], "left_semi")
+    ids = blocks.mapInArrow(_decoded(mode), "part int, chunk long, ids array<long>").join(wanted, ["part", "chunk"])
+    skip = F.greatest(F.lit(begin) - F.col("first_id"), F.lit(0))
+    take = F.least(F.lit(end) - F.col("first_id"), F.size("ids").cast("long")) - skip
+    return ids.select((F.col("first_id") + skip).alias("first_id"), F.slice("ids", (skip + 1).cast("int"), take.cast("int")).alias("ids"))

@@ -37,7 +37,7 @@ def test_planes(mode):
 
 def test_encoder_agrees_with_the_library(texts):
     encoder = token_store.Encoder(queries.tokenizer_path())
-    assert encoder.merges is not None
+    assert encoder.plain
     odd = ["don't they're I'LL", "<|endoftext|> x<|startoftext|>y", "ÀÉÎ naïve é ﬁ İ ǅ", "12 3a4 b5  nb sp", "日本語 テスト", "!!!... ?!a a'", "x" * 500, "tab\tnew\nline\rfeed\x0bvt\x0cff", "\x85 ", "aaaaaaaa AaAa", ""]
     every = odd + list(texts.values())[:200]
     ids, n = encoder.encode(pa.array(every))
@@ -60,6 +60,9 @@ def test_store_round_trip(spark, texts, mode):
     assert sum(r["n_ids"] for r in index) == at
     stream = [i for r in token_store.read_ids(spark, path).orderBy("part", "chunk").collect() for i in r["ids"]]
     assert len(stream) == at
+    for begin, end in ((0, 10), (4_990, 15_010), (at - 3, at + 5), (7, 7)):
+        part = [i for r in token_store.read_range(spark, path, begin, end).orderBy("first_id").collect() for i in r["ids"]]
+        assert part == stream[begin:end]
 
 
 def test_word_hashes_of_slices():
