@@ -1,7 +1,7 @@
 """Repeated passages by content-defined chunking.
 
-A gear hash rolls over the UTF-8 bytes: H(i) = sum over j < 32 of gear[byte(i - j)] << j, modulo 2^32, so it depends on the
-last 32 bytes alone. A chunk ends where the upper bits of H are zero and no other such place lies within the last ``MIN``
+A gear hash rolls over the UTF-8 bytes: H(i) = sum over j < 8 of gear[byte(i - j)] << 4 * j, modulo 2^32, so it depends on the
+last 8 bytes alone, and a passage's chunks are its own from its first WINDOW + MIN bytes on. A chunk ends where the upper bits of H are zero and no other such place lies within the last ``MIN``
 bytes; a stretch without an end is cut where fewer bits are zero, then where H is smallest, and every ``MAX`` bytes as a last
 resort. As ends
 depend on the bytes near them, an insertion moves the chunks after it without changing them. Chunks are compared by a
@@ -20,18 +20,18 @@ from pyspark.sql import functions as F
 
 from .common import byte_lengths, cut, lean, text_groups, tidy
 
-WINDOW, MIN, MAX = 32, 16, 256
+WINDOW, SHIFT, MIN, MAX = 8, 4, 10, 256
 STRONG, WEAK = 27, 28  # a place is an end if H >> STRONG == 0, in a long stretch already if H >> WEAK == 0
 GEAR = np.random.default_rng(20_240_501).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _CHUNKS = pa.schema([("doc_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
 
 
 def gear_hash(raw: np.ndarray) -> np.ndarray:
-    """H at every byte, by doubling the window five times; places with less than a window before them use what there is."""
+    """H at every byte, by doubling the window; places with less than a window before them use what there is."""
     h = GEAR[raw]
     width = 1
     while width < WINDOW:
-        h[width:] = h[width:] + (h[:-width] << np.uint32(width))
+        h[width:] = h[width:] + (h[:-width] << np.uint32(SHIFT * width))
         width *= 2
     return h
 
@@ -107,7 +107,8 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 64, within: bool = True) ->
     count; with it, also those that one document repeats. Chunks are
     grouped by digest with partial counts, so a passage in a third of all documents is one row a task before the exchange; the
     join back can be split by Spark where a digest is hot. Rows that repeat a doc_id are one document whose chunks lie over
-    each other. Documents with a null id take no part. Offsets are byte offsets in UTF-8.
+    each other. Documents with a null id take no part. Offsets are byte offsets in UTF-8. Of a passage the chunks at its two ends
+    may be cut off with what is beside them, so repeats little longer than ``min_bytes`` can be missed.
     """
     every = cut(chunks(docs.where(F.col("doc_id").isNotNull())), "chunks")
     first = F.min(F.struct("doc_id", "begin")).alias("first")

@@ -1,7 +1,7 @@
 """Counterfactual-regularised toxicity classifier.
 
 Features are the different words of a document and the character pieces of each word (openings of 3 to 6 characters, pieces
-of 4 and 5). A non-negative sparse logistic model is fitted on labelled documents. Every labelled sentence that names a
+of 4 and 5 at every place behind the first, however long the word). A non-negative sparse logistic model is fitted on labelled documents. Every labelled sentence that names a
 group is also seen with the group's term swapped for each of a few others, and the squared change of the score is part of
 the loss, so that a group's name alone carries no weight.
 
@@ -19,12 +19,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import byte_lengths, fresh, give_back, hash_words, lean, ragged, split_words, text_groups, tidy
+from .common import byte_lengths, fresh, give_back, hash_words, lean, mix, ragged, split_words, text_groups, tidy
 from .labelled import labelled_sample
 from .quality import _with
 
 BITS = 22
 SIZE = 1 << BITS
+SLICE = 1 << 20
 FIT_ROWS, FIT_TEXT_BYTES = 10_000, 32_768
 EDGE = "\"'`.,;:!?()[]{}<>*#&%$|~_-…«»“”‘’¡¿/\\"
 IDENTITY = (
@@ -47,30 +48,54 @@ class Model:
     bias: float
 
 
-def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, hashed features) of each word of an array without repeats; none for a word that is only edge marks."""
+def _piece_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A hashed feature for every run of ``size`` code points."""
+    n = len(codes) - size + 1
+    h = np.full(max(n, 0), size * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
+    for k in range(size):
+        h = (h ^ codes[k : k + len(h)]) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+    return mix(h) >> np.uint64(64 - BITS)
+
+
+def word_features(words: pa.Array, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, hashed features) of each word of an array without repeats; none for a word that is only edge marks.
+
+    ``keep``: ascending features that count. Code points are worked on in slices, so a text that is one long word needs no more
+    memory than its code points.
+    """
     bare = pc.utf8_trim(words.cast(pa.large_string()), characters=EDGE)
     n = np.asarray(pc.utf8_length(bare), dtype=np.int64)
-    owners, hashes = [], []
+    owners, feats = [], []
 
-    def put(rows: np.ndarray, pieces: pa.Array, kind: int) -> None:
+    def put(rows: np.ndarray, hashes: np.ndarray) -> None:
+        if keep is not None:
+            at = np.isin(hashes, keep)
+            rows, hashes = rows[at], hashes[at]
         owners.append(rows)
-        hashes.append((hash_words(pieces) + np.uint64(kind * 0x9E3779B9)) >> np.uint64(64 - BITS))
+        feats.append(hashes)
+
+    def whole(rows: np.ndarray, pieces: pa.Array, kind: int) -> None:
+        put(rows, ((hash_words(pieces) + np.uint64(kind * 0x9E3779B9)) >> np.uint64(64 - BITS)).astype(np.int64))
 
     has = np.flatnonzero(n > 0)
-    put(has, bare.take(pa.array(has)), 0)
+    whole(has, bare.take(pa.array(has)), 0)
     for size in (3, 4, 5, 6):
         rows = np.flatnonzero(n > size)
-        put(rows, pc.utf8_slice_codeunits(bare.take(pa.array(rows)), 0, size), size)
-    for size in (4, 5):
-        for at in range(1, 12):
-            rows = np.flatnonzero(n >= at + size)
-            if not len(rows):
-                break
-            put(rows, pc.utf8_slice_codeunits(bare.take(pa.array(rows)), at, at + size), 10 + size)
-    owner, feats = np.concatenate(owners), np.concatenate(hashes).astype(np.int64)
+        whole(rows, pc.utf8_slice_codeunits(bare.take(pa.array(rows)), 0, size), size)
+    codes = np.frombuffer("".join(bare.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum(n)
+    for i in range(0, len(codes), SLICE):
+        part = codes[i : i + SLICE + 4].astype(np.uint64)
+        at = np.arange(i, min(i + SLICE, len(codes)))
+        owner = np.searchsorted(ends, at, side="right")
+        behind = at > (ends - n)[owner]  # the first place is the openings'
+        for size in (4, 5):
+            ok = np.flatnonzero(behind & (at + size <= ends[owner]))
+            put(owner[ok], _piece_hashes(part, size)[ok].astype(np.int64))
+    owner, found = np.concatenate(owners), np.concatenate(feats)
     order = np.argsort(owner, kind="stable")
-    return np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))]), feats[order]
+    return np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))]), found[order]
 
 
 def document_features(texts: pa.Array, keep=None) -> tuple[np.ndarray, np.ndarray]:
@@ -79,11 +104,7 @@ def document_features(texts: pa.Array, keep=None) -> tuple[np.ndarray, np.ndarra
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     coded = words.dictionary_encode()
-    starts, feats = word_features(coded.dictionary)
-    if keep is not None:
-        ok = np.isin(feats, keep)
-        count = np.concatenate([[0], np.cumsum(ok)])
-        starts, feats = count[starts], feats[ok]
+    starts, feats = word_features(coded.dictionary, keep)
     codes = np.asarray(coded.indices).astype(np.int64)
     docs = np.repeat(np.arange(len(texts)), np.diff(offsets))
     if keep is not None:
@@ -112,9 +133,10 @@ def swapped(text: str, groups, most: int) -> list[tuple[str, str]]:
     return out
 
 
-def fit(sample: list[tuple[str, int]], identity=IDENTITY, strength: float = 10.0, sparse: float = 5e-5, rounds: int = 400, swaps: int = 64) -> Model:
+def fit(sample: list[tuple[str, int]], identity=IDENTITY, strength: float = 10.0, sparse: float = 5e-5, rounds: int = 400, swaps: int = 40) -> Model:
     """Proximal gradient on log loss + ``strength`` * mean squared score change under swaps + ``sparse`` * sum of weights.
 
+    Of each labelled text the first ``swaps`` swaps take part, so the fit's memory is bounded by the sample's; scores see whole texts.
     Features seen in three or more toxic documents and twice as often there as elsewhere, and those of the identity terms,
     take part. With one label only, the model is its share.
     """
@@ -131,7 +153,7 @@ def fit(sample: list[tuple[str, int]], identity=IDENTITY, strength: float = 10.0
         toxic += np.bincount(f[bad], minlength=SIZE)
         clean += np.bincount(f[~bad], minlength=SIZE)
     used = (toxic >= 3) & (toxic * (y == 0).sum() >= 2 * np.maximum(clean, 1) * (y == 1).sum())
-    pairs = [(t, s) for text, _ in sample for t, s in swapped(text, identity, swaps)][: 40 * len(sample)]
+    pairs = [(t, s) for text, _ in sample for t, s in swapped(text, identity, swaps)]
     if pairs:
         terms = pa.array(sorted({w for g in identity for t in g for w in t.split()}), pa.large_string())
         used[word_features(terms)[1]] |= toxic[word_features(terms)[1]] > 0

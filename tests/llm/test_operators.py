@@ -90,6 +90,61 @@ def test_quality_gradient_of_pool():
         assert abs(num - grad[i, j]) < 1e-3
 
 
+def test_quality_score_against_naive_convolution():
+    rng = np.random.default_rng(13)
+    model = quality.fit([("good words in a row here, " * 60, 1), ("@@@@ $$$$ ####", 0), ("more of good words", 1), ("#### " * 300, 0)] * 3, steps=30)
+    rows = [b"", b"a", b"abcdefg", bytes(rng.integers(0, 256, 511).astype(np.uint8)), bytes(rng.integers(32, 127, 1_700).astype(np.uint8)), b"word " * 700]
+    got = quality.score_texts(rows, model, quality.pair_table(model.embed))
+    filters = np.concatenate([model.near, model.far]).reshape(8, quality.CHANNELS, quality.FILTERS)
+    for raw, score in zip(rows, got):
+        halves = []
+        for i in range(0, len(raw), quality.HALF):
+            half = raw[i : i + quality.HALF].ljust(quality.HALF, b"\0")
+            x = np.concatenate([model.embed[list(half)], np.zeros((8, quality.CHANNELS))])
+            halves.append(np.max([np.einsum("kc,kcf->f", x[p : p + 8], filters) for p in range(0, quality.HALF, 4)], axis=0) + model.bias)
+        chunks = [np.maximum(np.maximum(a, b), 0) for a, b in zip(halves[:-1], halves[1:])] or [np.maximum(h, 0) for h in halves]
+        feats = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) if chunks else np.zeros(2 * quality.FILTERS)
+        assert abs(score - 1 / (1 + np.exp(-(feats @ model.out + model.out_bias)))) < 1e-4
+
+
+def _naive_features(text: str) -> set[int]:
+    out, top = set(), 64 - toxicity.BITS
+    whole = lambda s, kind: (int(common.hash_words(pa.array([s]))[0]) + kind * 0x9E3779B9) % (1 << 64) >> top
+    for word in re.split(r"[ \t\n\r\x0b\x0c]+", text.lower()):
+        w = word.strip(toxicity.EDGE)
+        if w:
+            out |= {whole(w, 0)} | {whole(w[:n], n) for n in (3, 4, 5, 6) if len(w) > n}
+        for n in (4, 5):
+            for i in range(1, len(w) - n + 1):
+                h = n * 0x9E3779B97F4A7C15 % (1 << 64)
+                for c in w[i : i + n]:
+                    h = (h ^ ord(c)) * 0xD6E8FEB86659FD93 % (1 << 64)
+                    h ^= h >> 29
+                out.add(int(common.mix(np.array([h], np.uint64))[0]) >> top)
+    return out
+
+
+@pytest.mark.parametrize("slice_size", [1 << 20, 7])
+def test_toxicity_score_against_naive_features(texts, monkeypatch, slice_size):
+    monkeypatch.setattr(toxicity, "SLICE", slice_size)
+    rows = [*[t[:400] for t in list(texts.values())[:12]], "", "...", "a", "日本語のとても長い文章です" * 9, "x" * 90, "semi-long-chain_of/parts-idiot!", "\U0001f600\U0001f600abcde"]
+    d, f = toxicity.document_features(pa.array(rows))
+    naive = [_naive_features(t) for t in rows]
+    assert [set(f[d == k].tolist()) for k in range(len(rows))] == naive
+    used = np.unique(f)[::3]
+    model = toxicity.Model(used, np.random.default_rng(3).random(len(used)), -1.0)
+    weight = dict(zip(used.tolist(), model.weights.tolist()))
+    want = [1 / (1 + math.exp(-min(30, -1 + sum(weight.get(x, 0) for x in own)))) for own in naive]
+    assert np.allclose(toxicity.score_texts(pa.array(rows), model), want)
+
+
+def test_toxic_words_late_in_a_run_are_seen():
+    sample = [(f"that {w} of a man {k}", 1) for k, w in enumerate(["idiot", "idiots", "superidiot", "idiotic"] * 10)] + [(f"that friend of a man {k}", 0) for k in range(60)]
+    model = toxicity.fit(sample)
+    early, late, chain, other = toxicity.score_texts(pa.array(["xxidiot", "x" * 40 + "idiot", "a-chain-of-some-words-idiotic-end", "x" * 40 + "friend"]), model)
+    assert late == early > 2 * other and chain > 2 * other
+
+
 def test_toxicity_held_out(spark):
     got = queries.op3_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out")
     r = got.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")), F.avg(F.when(F.col("toxic") == 0, F.col("predicted")))).first()
@@ -122,7 +177,7 @@ def test_ann_recall(spark):
 def test_gear_hash_depends_on_its_window_alone():
     raw = np.random.default_rng(3).integers(0, 256, 500).astype(np.uint8)
     h = chunk_dedup.gear_hash(raw)
-    want = sum(int(chunk_dedup.GEAR[raw[300 - j]]) << j for j in range(32)) % (1 << 32)
+    want = sum(int(chunk_dedup.GEAR[raw[300 - j]]) << 4 * j for j in range(8)) % (1 << 32)
     assert h[300] == want
     ends = chunk_dedup.chunk_ends(raw)
     assert ends[-1] == 500 and (np.diff(ends, prepend=0) <= chunk_dedup.MAX).all()
@@ -145,6 +200,54 @@ def test_repeated_passages(spark):
     assert sum(len(left[i]) for i in range(20, 60)) < 0.85 * sum(len(t) for _, t in rows[20:60])
 
 
+def _spans(texts: dict[int, str], within: bool, least: int = 64) -> set:
+    """Spans of chunks that occur again, from a dictionary of chunks."""
+    cut = {}
+    for i, t in texts.items():
+        raw = t.encode()
+        ends = [0, *chunk_dedup.chunk_ends(np.frombuffer(raw, np.uint8)).tolist()]
+        cut[i] = [(a, b, raw[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+    places = {}
+    for i, own in cut.items():
+        for a, _, c in own:
+            places.setdefault(c, []).append((i, a))
+    out = set()
+    for i, own in cut.items():
+        span = None
+        for a, b, c in own:
+            if not (len(places[c]) > 1 if within else len({d for d, _ in places[c]}) > 1):
+                continue
+            first = min(places[c])[0]
+            if span and a <= span[1]:
+                span = (span[0], b, span[2] + 1, min(span[3], first))
+            else:
+                if span and span[1] - span[0] >= least:
+                    out.add((i, *span))
+                span = (a, b, 1, first)
+        if span and span[1] - span[0] >= least:
+            out.add((i, *span))
+    return out
+
+
+@pytest.mark.parametrize("within", [True, False])
+def test_repeated_spans_against_brute_force(spark, texts, within):
+    some = dict(list(texts.items())[:120]) | {10_001: "ab " * 400, 10_002: "ab " * 400, 10_003: next(t for t in texts.values() if len(t) > 900) * 2}
+    docs = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["begin"], r["end"], r["n_chunks"], r["first_doc"]) for r in chunk_dedup.repeated_spans(docs, within=within).collect()}
+    assert got == _spans(some, within) and got
+
+
+@pytest.mark.parametrize("letters, least", [(3.3, 0.8), (4.5, 0.95)])
+def test_passages_of_51_words_are_found(letters, least):
+    rng = np.random.default_rng(12)
+    make = lambda n: " ".join("".join(rng.choice(list("etaoinshrdlu"), 1 + rng.poisson(letters - 1))) for _ in range(n))
+    hits = 0
+    for _ in range(100):
+        p = make(51)
+        hits += bool({i for i, *_ in _spans({k: f"{make(60)} {p} {make(60)}" for k in (1, 2)}, False)})
+    assert hits >= 100 * least
+
+
 @pytest.mark.parametrize("send", [10**9, 0])
 def test_bloom_lm_base(spark, texts, send):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
