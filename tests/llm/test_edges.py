@@ -151,3 +151,6 @@ def test_ann(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(table, F.col("vec_id") % 50 == 0, 5).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 50), (0, 4, 8), (50, 1, 0), (50, 2, 1), (50, 3, 2), (50, 4, 8)]
     assert ann.nearest(table.where("false"), F.lit(True)).count() == 0
+    again = table.unionAll(spark.createDataFrame([(0, [0.0, 1.0]), (1, [2.0, 0.1]), (1, [2.0, 0.0])], "vec_id long, embedding array<float>").withColumn("score", F.lit(1)))
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(again, F.col("vec_id") == 0, 5).orderBy("rank").collect()]
+    assert got == [(0, 1, 8), (0, 2, 50), (0, 3, 1), (0, 4, 2)]  # id 0 asks once, with its smallest vector (0, 1)

@@ -174,6 +174,33 @@ def test_ann_recall(spark):
     assert hits >= 0.9 * len(got)
 
 
+def test_footrule_gain():
+    rng = np.random.default_rng(14)
+    x, pivots = rng.normal(size=(200, 8)), rng.normal(size=(40, 8))
+    reach = 12
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(200)), pa.array(list(x))], names=["vec_id", "v"])
+    (row,) = next(ann._segments(pivots, reach)(iter([batch]))).to_pylist()
+    starts, members, places = np.frombuffer(row["starts"], np.int64), np.frombuffer(row["members"], np.uint16), np.frombuffer(row["places"], np.uint16)
+    near, order = ann.orders(x[:1], pivots, 7)[0], ann.orders(x, pivots, reach)
+    gain = ann.footrule_gain(near, starts, members, places, 200, reach)
+    for v in range(200):
+        own = {p: r for r, p in enumerate(order[v].tolist())}
+        far = sum(2 * reach - p - own[q] - abs(p - own[q]) for p, q in enumerate(near.tolist()) if q in own)
+        assert gain[v] == far
+
+
+def test_ann_reads_a_fraction_of_a_scan():
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(4_096, 64))
+    pivots = x[rng.choice(4_096, 2_048, False)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4_096)), pa.array(list(x))], names=["vec_id", "v"])
+    (row,) = next(ann._segments(pivots / np.linalg.norm(pivots, axis=1)[:, None], 64)(iter([batch]))).to_pylist()
+    starts = np.frombuffer(row["starts"], np.int64)
+    near = ann.orders(x[:50], pivots / np.linalg.norm(pivots, axis=1)[:, None], 32)
+    postings = (starts[near + 1] - starts[near]).sum(axis=1).mean()
+    assert postings + 0.1 * 4_096 * 64 < 4_096 * 64 / 6  # postings and reranked components against a scan's
+
+
 def test_gear_hash_depends_on_its_window_alone():
     raw = np.random.default_rng(3).integers(0, 256, 500).astype(np.uint8)
     h = chunk_dedup.gear_hash(raw)
