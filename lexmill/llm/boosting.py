@@ -1,12 +1,10 @@
-"""Gradient-boosted trees on small integer features, fitted in numpy and written out as SQL-ready columns."""
+"""Gradient-boosted trees on small integer features, fitted in numpy and written out as SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 #: A tree is a float (leaf) or (feature, threshold, tree if feature <= threshold, tree otherwise).
 Tree = float | tuple
@@ -59,16 +57,13 @@ def probability(trees: list[Tree], x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-sum((evaluate(t, x) for t in trees), np.zeros(len(x)))))
 
 
-def column(trees: list[Tree], feature: Callable[[int], Column]) -> Column:
-    """The probability as a column; ``feature`` gives the column of a feature's number."""
+def sql(trees: list[Tree], feature: Callable[[int], str]) -> str:
+    """The probability as a SQL expression; ``feature`` gives the expression of a feature's number."""
 
-    def of(tree: Tree) -> Column:
+    def of(tree: Tree) -> str:
         if not isinstance(tree, tuple):
-            return F.lit(float(tree))
+            return f"{float(tree)!r}D"
         f, cut, low, high = tree
-        return F.when(feature(f) <= cut, of(low)).otherwise(of(high))
+        return f"CASE WHEN {feature(f)} <= {cut} THEN {of(low)} ELSE {of(high)} END"
 
-    z = F.lit(0.0)
-    for t in trees:
-        z = z + of(t)
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+    return f"1.0D / (1.0D + exp(-({' + '.join(map(of, trees)) or '0.0D'})))"

@@ -66,7 +66,8 @@ def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find(docs, pii.fit(spark, docs)))
 
 
 def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,10 @@ def test_pii(spark, docs, empty):
     r = got.where("doc_id = 7").first()
     assert (r["n_email"], r["n_phone"]) == (1, 1) and r["spans"] == "email:6:17,phone:18:35"
     assert pii.digest(pii.find(empty, model)).count() == 0
+    clash = docs.where("doc_id = 5").select("*", *[F.lit("x").alias(c) for c in ("_hits", "_parts", "_ends", "_wide0", "wide", "added", "_lx0", "Base_ip")])
+    found = pii.find(clash, model)
+    assert found.columns == [c for c in clash.columns if c.lower() not in ("added", "base_ip")] + ["base_email", "base_ip", "base_card", "base_phone", "added"]
+    assert [(r["_hits"], r["wide"], r["tie"], r["added"]) for r in found.collect()] == [("x", "x", 0, [])] * 2
 
 
 def test_labelled_sample_keeps_its_bound(spark):

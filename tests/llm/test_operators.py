@@ -443,7 +443,12 @@ def _fits(kind: str, m: str) -> bool:
     return kind == "email" or 8 <= len(d) <= 15
 
 
-def test_pii_base(spark, texts):
+@pytest.fixture(scope="module")
+def pii_model(spark):
+    return pii.fit(spark, spark.read.parquet(f"{SF}/documents.parquet"))
+
+
+def test_pii_base(spark, texts, pii_model):
     odd = {
         -1: "a@b.c%d@e.f..x@y.z-a.b_c@d",
         -2: "1.2.3.4.5.6.7.8 999.1.1.1 001.002.0003.255 1.1.1.256",
@@ -454,7 +459,7 @@ def test_pii_base(spark, texts):
     }
     rows = {**odd, **dict(list(texts.items())[:150])}
     docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    for r in pii.digest(pii.find(docs)).collect():
+    for r in pii.digest(pii.find(docs, pii_model)).collect():
         spans, n = [], []
         for kind, pattern in BASE.items():
             hits = [(m.start(), m.end()) for m in pattern.finditer(rows[r["doc_id"]]) if _fits(kind, m[0])]
@@ -465,10 +470,62 @@ def test_pii_base(spark, texts):
         assert set(spans) <= set(r["spans"].split(",")) | {""}
 
 
-def test_pii_added(spark):
-    rows = [(1, "please call (017) 555-7713 now"), (2, "write to jo.do (at) mail (dot) com please"), (3, "order 2024-05-01 12:33 total 12.50"), (4, "ref. 8646308210557563 thsh"), (5, "card 3782 822463 10005 ok")]
-    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
-    assert got == {1: "phone:12:26", 2: "email:9:34", 3: "", 4: "", 5: "card:5:22"}
+def test_pii_added(spark, pii_model):
+    rows = [
+        (1, "please call (017) 555-7713 now", "phone:12:26"),
+        (2, "write to jo.do (at) mail (dot) com please", "email:9:34"),
+        (3, "order 2024-05-01 12:33 total 12.50", ""),
+        (4, "ref. 8646308210557563 thsh", ""),
+        (5, "+49 30 1234567 (030) 555-7713", "phone:15:29"),  # the base match takes both numbers and fails
+        (6, "jane(at)example.com", "email:0:19"),
+        (7, "jane [at] example.org", "email:0:21"),
+        (8, "std::vector a::b 10:20:30 ab:cd:ef:01:02:03", ""),
+        (9, "host fe80:12ab:33:4444:5a:66:77:8c9d up", "ip:5:36"),
+    ]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), pii_model)).collect()}
+    assert got == {i: want for i, _, want in rows}
+
+
+def test_pii_generators_propose_every_positive_and_overlap(spark):
+    made = [t for t, y in pii.examples() if y]
+    got = pii.candidates(spark.createDataFrame([(t,) for t in made], "text string")).select(F.size("wide").alias("n")).collect()
+    assert len(got) == len(made) and all(r["n"] for r in got)
+    (row,) = pii.candidates(spark.createDataFrame([("0049 171 555 2671 8",)], "text string")).collect()
+    spans = [(c["s"], c["e"]) for c in row["wide"]]
+    assert any(a < d and c < b for k, (a, b) in enumerate(spans) for c, d in spans[k + 1 :])
+
+
+def test_pii_resolution_against_brute_force(spark):
+    rng = np.random.default_rng(16)
+    rows = []
+    for i in range(60):
+        n = int(rng.integers(0, 700 if i < 3 else 12))
+        spans = [(int(rng.integers(0, 4)), int(s), int(s + rng.integers(7, 30)), float(rng.integers(1, 20)) / 20) for s in rng.integers(0, 40 * n + 1, n)]
+        at, bases = 0, []
+        while at < 40 * n:
+            at += int(rng.integers(10, 200))
+            bases.append((at, at + int(rng.integers(1, 40))))
+            at = bases[-1][1]
+        rows.append((i, spans, bases))
+    df = spark.createDataFrame(rows, "i int, spans array<struct<k:int,s:int,e:int,p:double>>, bases array<struct<s:int,e:int>>")
+    df = df.withColumn("clear", F.when(F.size("spans") > 0, pii._spread(F.col("spans"), F.col("bases"))).otherwise(F.col("spans")))
+    df = df.withColumn("best", F.when(F.size("clear") > 0, pii._best(F.col("clear"))).otherwise(F.col("clear")))
+    meet = lambda a, b: a[0] < b[1] and b[0] < a[1]
+    for r in df.collect():
+        _, spans, bases = rows[r["i"]]
+        clear = [x for x in spans if not any(meet(x[1:3], b) for b in bases)]
+        assert sorted(tuple(x) for x in r["clear"]) == sorted(clear)
+        rank = lambda x: (x[3], -x[1], x[2], -x[0])
+        best = {x for x in clear if not any(meet(x[1:3], y[1:3]) and rank(y) > rank(x) for y in clear)}
+        assert sorted(tuple(x) for x in r["best"]) == sorted(best)
+
+
+def test_pii_recall_of_other_forms_in_documents(spark, pii_model):
+    unseen = pii.places(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("doc_id", F.col("doc_id") + 10**6))
+    made = [(k, t, y) for k, (t, y, _) in enumerate(pii.rewritten(unseen, seed=9))]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(spark.createDataFrame([m[:2] for m in made], "doc_id long, text string"), pii_model)).collect()}
+    hits = [bool(got[k]) for k, _, y in made if y]
+    assert len(hits) >= 10 and np.mean(hits) > 0.8 and not [k for k, _, y in made if not y and got[k]]
 
 
 def test_boosting():
