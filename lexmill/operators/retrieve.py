@@ -38,8 +38,13 @@ def rerank(results: DataFrame, score: Column | None, k: int | None = None) -> Da
     return results.where(F.col("rank") <= k) if k else results
 
 
+def shown(get: Callable[[str], Column]) -> list[Column]:
+    """A result as users see it: the score with four decimals, empty texts for missing ones; ``get`` gives a field's column."""
+    return [get("rank").alias("rank"), F.round(get("score"), 4).alias("score"), *[X.or_empty(get(c)).alias(c) for c in RESULT[2:]]]
+
+
 def project(results: DataFrame) -> DataFrame:
-    return results.select("query_id", "rank", F.round("score", 4).alias("score"), *[X.or_empty(c).alias(c) for c in RESULT[2:]])
+    return results.select("query_id", *shown(F.col))
 
 
 def gathered(results: DataFrame) -> DataFrame:
@@ -77,7 +82,7 @@ def answer(questions: DataFrame, results: DataFrame, generate: Callable[[Column]
     text = X.listing("question", "results") if generate is None else generate(messages)
     joined = joined.withColumn("answer", F.when(F.col("has_evidence"), text).otherwise(V.REFUSAL_ANSWER))
     none = F.slice(cited("answer", "results", article_prefix), 1, 0)
-    rounded = F.transform("results", lambda x: F.struct(x["rank"].alias("rank"), F.round(x["score"], 4).alias("score"), *[X.or_empty(x[c]).alias(c) for c in RESULT[2:]]))
+    rounded = F.transform("results", lambda x: F.struct(*shown(lambda c: x[c])))
     return joined.select(
         "query_id",
         "question",

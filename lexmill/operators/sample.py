@@ -76,4 +76,5 @@ def sample(df: DataFrame, text: Column | str, vector: str, pos: str, quotas: Map
     taken = {k: min(q, counts.get(k, 0)) for k, q in quotas.items()}
     left = sum(quotas.values()) - sum(taken.values())
     every = {k: n for k, n in {**taken, V.UNCLASSIFIED: min(left, counts.get(V.UNCLASSIFIED, 0))}.items() if n > 0}
-    return k_center_by_group(classed, "ability", vector, pos, every, seed, core).orderBy(pos)
+    large = core is not None and max((counts.get(k, 0) for k in every), default=0) > core
+    return k_center_by_group(classed, "ability", vector, pos, every, seed, core if large else None).orderBy(pos)

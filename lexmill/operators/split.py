@@ -13,8 +13,8 @@ SPLITS = ("train", "val", "test")
 
 
 def shuffle_key(key: Column | str, seed: int) -> Column:
-    """An order that depends on seed and key alone, and that SQL engines agree on."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), (F.col(key) if isinstance(key, str) else key).cast("string")).cast("binary"))
+    """An order that depends on seed and key alone, and that SQL engines agree on. A null key stands where the empty one does."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(""))).cast("binary"))
 
 
 def numbered(df: DataFrame, by: list[str], key: str, seed: int, name: str = "nth") -> DataFrame:

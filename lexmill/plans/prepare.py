@@ -27,11 +27,12 @@ def prepare(
     skip_sample: bool = False,
     reasons_of: tuple[str, ...] | None = None,
     rules: Mapping | None = None,
+    core: int | None = 50_000,
 ) -> tuple[DataFrame, dict]:
     """(rows with split, report). ``legal`` and ``general``: pos and the raw fields.
 
     Only legal rows are deduplicated; without sampling all general rows are left out; with a ratio legal rows are limited to
-    their share even alone. ``reasons_of=('legal',)`` counts the legal rows' reasons only; by default both count.
+    their share even alone. ``reasons_of=('legal',)`` counts the legal rows' reasons only; by default both count. Classes of more than ``core`` rows are sampled in two rounds, so no task holds one whole.
     """
     encoder = encoder or vectors.HashedTrigrams()
     rules = dict(rules or {})
@@ -52,7 +53,7 @@ def prepare(
     ratios = {"legal": mix_legal}
     if general is not None and not skip_sample:
         other = vectors.encode(clean.kept(parts["general"]).withColumn("_text", text), "_text", encoder, "embedding")
-        chosen = sample.sample(cut(other, "encoded"), "_text", "embedding", "pos", quotas or sample.default_quotas(n_samples), seed=seed).drop("_text", "embedding", "ability")
+        chosen = sample.sample(cut(other, "encoded"), "_text", "embedding", "pos", quotas or sample.default_quotas(n_samples), seed=seed, core=core).drop("_text", "embedding", "ability")
         sources.append(("general", chosen.withColumn("_key", F.concat(F.lit("general:"), F.col("pos").cast("string")))))
         ratios["general"] = 1 - mix_legal
     done = split.mix_and_split([(n, d.drop("category")) for n, d in sources], "_key", ratios, seed)

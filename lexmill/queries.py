@@ -257,12 +257,13 @@ m AS (SELECT *, CASE WHEN nth <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN nth <=
 
 
 def _law_text():
-    """A law made of a document: its source as the name, numbered articles, a reference within the second."""
+    """A law made of a whole document: its source as the name, the first sentence as an article, the rest as one with a reference."""
+    first = F.substring_index("text", ".", 1)
     name, n = F.concat(F.lit("法"), F.col("source")), (F.col("doc_id") % 7 + 1).cast("string")
-    return F.concat(F.lit("# "), name, F.lit("\n\n20"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit("年1月2日 通过\n\n## 第一章 总则\n\n第一条 "), F.substring("text", 1, 40), F.lit("\n\n第二条 依照《"), name, F.lit("》第"), n, F.lit("条， "), F.substring("text", 41, 60))
+    return F.concat(F.lit("# "), name, F.lit("\n\n20"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit("年1月2日 通过\n\n## 第一章 总则\n\n第一条 "), first, F.lit("\n\n第二条 依照《"), name, F.lit("》第"), n, F.lit("条， "), F.substr(F.col("text"), F.length(first) + 1))
 
 
-_LAW = "'# 法' || source || chr(10) || chr(10) || '20' || lpad((doc_id % 100)::VARCHAR, 2, '0') || '年1月2日 通过' || chr(10) || chr(10) || '## 第一章 总则' || chr(10) || chr(10) || '第一条 ' || substr(text, 1, 40) || chr(10) || chr(10) || '第二条 依照《法' || source || '》第' || (doc_id % 7 + 1) || '条， ' || substr(text, 41, 60)"
+_LAW = "'# 法' || source || chr(10) || chr(10) || '20' || lpad((doc_id % 100)::VARCHAR, 2, '0') || '年1月2日 通过' || chr(10) || chr(10) || '## 第一章 总则' || chr(10) || chr(10) || '第一条 ' || split_part(text, '.', 1) || chr(10) || chr(10) || '第二条 依照《法' || source || '》第' || (doc_id % 7 + 1) || '条， ' || substr(text, length(split_part(text, '.', 1)) + 1)"
 
 
 def q_article_split(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import chunk
@@ -12,19 +12,34 @@ from ..operators import chunk
 FIELDS = ("instruction", "input", "output", "query", "question", "response", "answer", "category", "source", "metadata")
 
 
+def _records(spark: SparkSession, path: str, *views: str) -> DataFrame:
+    """pos and ``r``, a record as each of the views (SQL over ``value``, arrays of one length) has it.
+
+    A file holds a JSON array or JSON lines, as our own sinks write them. Files go by their paths, and pos counts through all of
+    them; what is summed up in that order is a row a file.
+    """
+    array = F.when(F.col("value").rlike(r"^\s*\["), F.col("value")).otherwise(F.concat(F.lit("["), F.regexp_replace(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s*\n\s*", ","), F.lit("]")))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), array.alias("value"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = whole.select("_file", F.coalesce(F.json_array_length("value"), F.lit(0)).alias("n")).select("_file", before.alias("_before"))
+    every = whole.select("_file", F.posexplode(F.arrays_zip(*[F.expr(v).alias(f"v{k}") for k, v in enumerate(views)])).alias("_at", "r"))
+    return every.join(sizes, "_file").select((F.col("_before") + F.col("_at")).alias("pos"), "r")
+
+
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """pos, raw and the known fields of the records of JSON arrays, with ``has_fields`` and ``input_is_text``.
+    """pos, raw and the known fields of the records of JSON arrays (or lines), with ``has_fields`` and ``input_is_text``.
 
-    A file is one row until it is taken apart, so large corpora should be kept as Parquet or JSON lines; pos counts within a file.
+    A file is one row until it is taken apart, so large corpora should be kept as Parquet or read with ``read_json_lines``.
     """
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.posexplode(F.from_json("value", "array<map<string,string>>")).alias("pos", "m"))
-    typed = whole.select(F.posexplode(F.expr("variant_get(parse_json(value), '$', 'array<variant>')")).alias("p2", "v"))
-    fields = [F.col("m")[f].alias(f) for f in FIELDS]
+    rows = _records(spark, path, "from_json(value, 'array<map<string,string>>')", "variant_get(parse_json(value), '$', 'array<variant>')").select("pos", F.col("r.v0").alias("m"), F.col("r.v1").alias("v"))
     kind = F.expr("schema_of_variant(variant_get(v, '$.input', 'variant'))")
-    one_file = rows.select("pos", F.to_json("m").alias("raw"), *fields, (F.map_contains_key("m", "instruction") & F.map_contains_key("m", "output")).alias("has_fields"))
-    kinds = typed.select("p2", F.coalesce(kind.isin("STRING", "VOID"), F.lit(True)).alias("input_is_text"))
-    return one_file.join(kinds, F.col("pos") == F.col("p2")).drop("p2")
+    return rows.select(
+        "pos",
+        F.to_json("m").alias("raw"),
+        *[F.col("m")[f].alias(f) for f in FIELDS],
+        (F.map_contains_key("m", "instruction") & F.map_contains_key("m", "output")).alias("has_fields"),
+        F.coalesce(kind.isin("STRING", "VOID"), F.lit(True)).alias("input_is_text"),
+    )
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -47,8 +62,8 @@ def _eval_defaults(df: DataFrame) -> DataFrame:
 
 
 def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
-    """qid (place in the file) and the fields of an evaluation set, with defaults."""
-    return _eval_defaults(spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", EVAL_SCHEMA)).alias("qid", "s")))
+    """qid (place in the files) and the fields of an evaluation set, a JSON array or JSON lines, with defaults."""
+    return _eval_defaults(_records(spark, path, f"from_json(value, '{EVAL_SCHEMA}')").select(F.col("pos").alias("qid"), F.col("r.v0").alias("s")))
 
 
 _PRIVACY, _PENAL = "中华人民共和国个人信息保护法", "中华人民共和国刑法"
@@ -68,7 +83,7 @@ BUILT_IN = (
 
 
 def built_in_eval(spark: SparkSession) -> DataFrame:
-    rows = [{"question": q, "ground_truth": a, "category": "legal_consultation" if law else "unanswerable", "relevant_laws": [{"law_name": law, "article": n}] if law else [], "expected_answer_type": "with_citation" if law else "refusal"} for q, a, law, n in BUILT_IN]
+    rows = [{"question": q, "ground_truth": a, "category": "legal_consultation" if law else "unanswerable", "relevant_laws": [{"law_name": law, "article": n}] if law else [], "expected_answer_type": "with_citation" if law else "refuse"} for q, a, law, n in BUILT_IN]
     whole = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), EVAL_SCHEMA)).alias("qid", "s"))
     return _eval_defaults(whole)
 

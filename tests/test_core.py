@@ -70,6 +70,45 @@ def test_json_array_scan_and_sinks(spark, tmp_path):
     assert {r["reason"] for r in spark.read.json(str(tmp_path / "log")).collect()} == {"too_short", "missing_field"}
 
 
+def test_json_arrays_of_several_files_and_round_trips(spark, tmp_path):
+    for f in range(3):
+        rows = [{"instruction": f"{f}{k}", "output": OUT, "input": {"a": 1} if k else "x"} for k in range(2)]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{f}.json").write_text(json.dumps(rows, ensure_ascii=False) if f else "\n".join(json.dumps(r) for r in rows) + "\n", encoding="utf-8")
+    got = files.read_json_array(spark, str(tmp_path / "in")).orderBy("pos").collect()
+    assert [(r["pos"], r["instruction"], r["input_is_text"]) for r in got] == [(2 * f + k, f"{f}{k}", k == 0) for f in range(3) for k in range(2)]
+    pairs = spark.createDataFrame([(i, f"什么是犯罪行为{i}", OUT + str(i)) for i in range(9)], "pos long, instruction string, output string")
+    sinks.write_cleaned(clean.classify(pairs.repartition(3)), str(tmp_path / "kept"), str(tmp_path / "log"))
+    back = files.read_json_array(spark, str(tmp_path / "kept"))
+    assert {(r["instruction"], r["output"]) for r in back.collect()} == {(r["instruction"], r["output"]) for r in pairs.collect()}
+    sinks.write_eval_set(files.built_in_eval(spark).repartition(3), str(tmp_path / "eval"))
+    fields = ["qid", "question", "ground_truth", "category", "relevant_laws", "expected_answer_type"]
+    assert files.read_eval_set(spark, str(tmp_path / "eval")).select(fields).orderBy("qid").collect() == files.built_in_eval(spark).select(fields).orderBy("qid").collect()
+    assert {r[0] for r in files.built_in_eval(spark).select("expected_answer_type").collect()} == {"with_citation", "refuse"}
+
+
+def test_split_and_mix_keep_null_keys(spark):
+    rows = spark.createDataFrame([(i if i > 1 else None, "ab"[i % 2]) for i in range(10)], "k long, source string")
+    done = split.split(rows, "k")
+    assert done.count() == 10 and done.where("k IS NULL").count() == 2
+    assert split.mix(rows, "k", {"a": 0.5, "b": 0.5}).count() == 10
+
+
+def test_projection_of_results(spark):
+    rows = spark.createDataFrame([(1, 1, 0.123456, None, "第一条", None, "x")], "query_id long, rank int, score double, law_name string, article string, chapter string, content string")
+    assert tuple(retrieve.project(rows).first()) == (1, 1, 0.1235, "", "第一条", "", "x")
+
+
+def test_experiment_without_retrieval(spark):
+    s = files.built_in_eval(spark)
+    r, answers = assess.run("base", s)
+    assert {a["answer"] for a in answers.collect()} == {V.NO_MODEL} and r["errors"] == [] and "retrieval" not in r
+    fails = lambda m: F.struct(F.concat(F.lit("答"), m[1]["content"]).alias("answer"), F.when(m[1]["content"].contains("GDP"), "kaputt").alias("error"))
+    r, answers = assess.run("base", s, generate=fails)
+    assert [(e["question"][-3:], e["error"]) for e in r["errors"]] == [("多少？", "kaputt")]
+    assert answers.where("answer = '(错误: kaputt)'").count() == 1 and "--- 错误案例 (1 条) ---" in report.evaluation_summary(r)
+
+
 PY_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 
 
@@ -277,7 +316,33 @@ def test_reports(spark):
     rows = report.comparison(one(spark, experiment="e", recall_at_1=0.5)).collect()
     assert tuple(rows[0]) == ("e", "0.500", *["-"] * 7)
     assert report.comparison_table(rows).count("\n") == 2
-    assert "Recall@1:  0.5000" in report.evaluation_summary({"experiment_name": "e", "retrieval": {"recall_at_1": 0.5}})
+    full = {"experiment_name": "e", "retrieval": {"recall_at_1": 0.5}, "answer": {"exact_match_rate": 1.0, "category_breakdown": {"c": 0.25}}, "refusal": {"refusal_accuracy": 0.5, "num_unanswerable": 2}, "errors": [1]}
+    want = """===== 评测报告 =====
+实验名称: e
+样本数量: 0
+
+--- 检索效果 ---
+  Recall@1:  0.5000
+  Recall@3:  0.0000
+  Recall@5:  0.0000
+  MRR:       0.0000
+
+--- 答案正确性 ---
+  精确匹配率:         1.0000
+  关键词匹配率:       0.0000
+  结论判定正确率:     0.0000
+  LLM Judge 分数:    0.0000
+
+  按类别:
+    c: 0.2500
+
+--- 拒答能力 ---
+  拒答准确率:         0.5000
+  不可回答问题数:     2
+
+--- 错误案例 (1 条) ---
+注：本评测结果仅供参考，不构成法律意见。"""
+    assert report.evaluation_summary(full) == want
 
 
 def _encoder(texts):
