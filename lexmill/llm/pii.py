@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import fresh_names
+from .common import cut, fresh_names
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -282,7 +282,7 @@ def places(docs: DataFrame, n_docs: int = FIT_DOCS, text_bytes: int = FIT_TEXT_B
     drawn = docs.select(h).distinct().orderBy("h").limit(n_docs).agg(F.max("h")).first()[0]
     if drawn is None:
         return []
-    df = docs.where((F.octet_length("text") <= text_bytes) & (F.xxhash64("doc_id") <= drawn)).select("text", h)
+    df = cut(docs.where((F.octet_length("text") <= text_bytes) & (F.xxhash64("doc_id") <= drawn)).select("text", h), "drawn-documents")
     found = []
     for kind in KINDS:
         at = _located(df, "hit", BASE[kind], F.col("text").rlike(_NEEDS[kind]), around=True).select("h", F.explode("hit").alias("x"))
