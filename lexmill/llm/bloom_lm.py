@@ -38,7 +38,7 @@ ENTRY_BITS, MIN_BITS, PROBES, PRIOR = 12, 20, 3, 5.0
 SEND_BITS = 1 << 30
 BUCKET_TEXT = 26  # log2 of the bytes of text for which there is another bucket, at least
 ASKED = 32 << 20  # bytes of n-grams that a task asks a stretch for at once
-SEND_WORDS = 8_000_000
+SEND_WORDS = 6_000_000
 END, START = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 FLUSH = 2_000_000  # tokens counted by a task before it sends what it has
 _PACKET = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -180,7 +180,7 @@ class Model:
         """(ascending word hashes, counts): buckets are ranges of hashes."""
         rows = list(self.table.where("kind = 0").select("bucket", "keys", "counts").orderBy("bucket").toLocalIterator())
         keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-        return np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["counts"], np.int64) for r in rows]]).astype(np.uint32)
+        return np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["counts"], np.int64) for r in rows]])
 
 
 def fit(docs: DataFrame, order: int = 2) -> Model:
@@ -366,7 +366,7 @@ def score(docs: DataFrame, model: Model, send_words: int = SEND_WORDS, send_bits
     lean(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     small, whole = model.words <= send_words, int(model.sizes.sum()) <= send_bits
-    table = spark.sparkContext.broadcast(model.counts()) if small else None  # 12 bytes a word, send_words at most
+    table = spark.sparkContext.broadcast(model.counts()) if small else None  # 16 bytes a word, send_words at most
     scored = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     if whole:
         filled = spark.sparkContext.broadcast(model.filter())  # send_bits at most
