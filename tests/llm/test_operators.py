@@ -374,6 +374,21 @@ def test_lcs():
         assert decontaminate.lcs(a, b) == t[-1, -1]
 
 
+def test_lcs_of_many_windows():
+    rng = np.random.default_rng(8)
+    words = [rng.integers(0, 1 << 63, 9, dtype=np.uint64)[rng.integers(0, 9, n)] for n in (1, 5, 63, 64, 64)]
+    text = np.concatenate([*words, rng.integers(0, 1 << 63, 200, dtype=np.uint64)])[rng.integers(0, 406 - 9, 5_000)]
+    text[300:364], text[900:903] = words[3], words[0][0]
+    begin = np.concatenate([rng.integers(0, 4_900, 3_000), [290, 0, 4_999, 7]])
+    end = np.minimum(begin + rng.integers(0, 129, len(begin)), len(text))
+    which = np.concatenate([rng.integers(0, 5, 3_000), [3, 0, 4, 2]])
+    begin[-1] = end[-1]  # an empty window
+    end[-4] = 370
+    places = decontaminate.places_of(words)
+    got = decontaminate.lcs_many(decontaminate.term_numbers(text, places), begin, end, which, places)
+    assert got.tolist() == [decontaminate.lcs(words[q], text[a:b]) for a, b, q in zip(begin, end, which)] and got[-4] == 64
+
+
 def test_randomised_svd(spark):
     rng = np.random.default_rng(6)
     a = rng.normal(size=(40, 5)) @ rng.normal(size=(5, 30))
