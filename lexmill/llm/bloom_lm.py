@@ -36,7 +36,8 @@ from .common import byte_lengths, cut, lean, mix, ragged, text_groups, tidy, wor
 
 ENTRY_BITS, MIN_BITS, PROBES, PRIOR = 12, 20, 3, 5.0
 SEND_BITS = 1 << 30
-BUCKET_TEXT = 26  # log2 of the bytes of text for which there is another bucket, at least
+BUCKET_TEXT = 23  # log2 of the bytes of text a bucket, at most: a worker holds one bucket's packets
+FILL = 1 << 18  # n-grams whose places in the filter are worked out at once
 ASKED = 32 << 20  # bytes of n-grams that a task asks a stretch for at once
 SEND_WORDS = 6_000_000
 END, START = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
@@ -125,35 +126,46 @@ _MODEL_DDL = "bucket int, kind int, keys binary, counts binary, tokens long, wor
 _MODEL = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64()), ("words", pa.int64())])
 
 
+def merged(packets: list[tuple[pa.Scalar, pa.Scalar]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending n-grams, their counts) of some packets of keys and counts, which are read where they lie."""
+    keys = np.concatenate([np.frombuffer(k.as_buffer(), np.uint64) for k, _ in packets])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    counts = np.concatenate([np.frombuffer(c.as_buffer(), np.uint32) for _, c in packets])[order]
+    del order
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(counts, starts, dtype=np.int64)
+
+
+def fill(filled: np.ndarray, keys: np.ndarray, most: np.ndarray) -> None:
+    """Sets the bits of all levels of each n-gram in the bytes of a stretch; n-grams go in slices."""
+    size = np.uint64(8 * len(filled))
+    for i in range(0, len(keys), FILL):
+        left, own, level = keys[i : i + FILL], most[i : i + FILL], 1
+        while len(left):
+            for p in _places(left, level, np.uint64(0), size):
+                np.bitwise_or.at(filled, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+            level += 1
+            left, own = left[own >= level], own[own >= level]
+
+
 def _sum_up():
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
+        orders = np.asarray(group.column("n"))
         held = []
         out_keys, out_counts, tokens, words = b"", b"", 0, 0
-        for n in sorted(set(group.column("n").to_pylist())):
-            rows = [r for r in group.select(["n", "keys", "counts"]).to_pylist() if r["n"] == n]
-            keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
-            counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]).astype(np.int64)
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            keys, counts = keys[starts], np.add.reduceat(counts, starts)
-            held.append((keys, np.floor(np.log2(counts)).astype(np.int64) + 1))
+        for n in np.unique(orders).tolist():
+            keys, counts = merged([(group.column("keys")[i], group.column("counts")[i]) for i in np.flatnonzero(orders == n).tolist()])
+            held.append((keys, (np.floor(np.log2(counts)) + 1).astype(np.uint8)))
             if n == 1:
                 real = keys != START
                 out_keys, out_counts = keys[real].tobytes(), counts[real].tobytes()
                 tokens, words = int(counts[real].sum()), int(real.sum())
-        size = max(64, -(-ENTRY_BITS * sum(int(most.sum()) for _, most in held) // 8) * 8)
-        filled = np.zeros(size, bool)
-        for left, most in held:
-            level = 1
-            while len(left):
-                for p in _places(left, level, np.uint64(0), np.uint64(size)):
-                    filled[p.astype(np.int64)] = True
-                level += 1
-                left, most = left[most >= level], most[most >= level]
-        packed = np.packbits(filled, bitorder="little").tobytes()
-        return pa.Table.from_arrays([pa.array([bucket] * 2, pa.int32()), pa.array([0, 1], pa.int32()), pa.array([out_keys, packed], pa.binary()), pa.array([out_counts, b""], pa.binary()), pa.array([tokens, 0], pa.int64()), pa.array([words, 0], pa.int64())], schema=_MODEL)
+        filled = np.zeros(max(8, -(-ENTRY_BITS * sum(int(most.sum(dtype=np.int64)) for _, most in held) // 8)), np.uint8)
+        while held:
+            fill(filled, *held.pop())
+        return pa.Table.from_arrays([pa.array([bucket] * 2, pa.int32()), pa.array([0, 1], pa.int32()), pa.array([out_keys, filled.tobytes()], pa.binary()), pa.array([out_counts, b""], pa.binary()), pa.array([tokens, 0], pa.int64()), pa.array([words, 0], pa.int64())], schema=_MODEL)
 
     return run
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -318,6 +319,21 @@ def test_bloom_filter_grows_with_the_ngrams(spark):
     assert bits[1] > 8 * bits[0] and bits[2] > 8 * bits[1]
 
 
+def test_bloom_bucket_holds_little_beside_its_packets():
+    rng = np.random.default_rng(11)
+    packets = [(n, np.unique(rng.integers(0, 1 << 62, 100_000).astype(np.uint64))) for n in (1, 2) for _ in range(6)]
+    rows = [pa.array([0] * 12, pa.int32()), pa.array([n for n, _ in packets], pa.int32()), pa.array([k.tobytes() for _, k in packets], pa.binary()), pa.array([np.ones(len(k), np.uint32).tobytes() for _, k in packets], pa.binary())]
+    group = pa.Table.from_arrays(rows, schema=bloom_lm._PACKET)
+    tracemalloc.start()
+    made = bloom_lm._sum_up()(group)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 5 * group.nbytes
+    filled, sizes = np.frombuffer(made.column("keys")[1].as_py(), np.uint8), np.array([8 * len(made.column("keys")[1].as_py())])
+    assert all((bloom_lm.levels(k, filled, 1, sizes) > 0).all() for _, k in packets)
+    assert made.column("words")[0].as_py() == len(np.unique(np.concatenate([k for n, k in packets if n == 1])))
+
+
 @pytest.mark.parametrize("words, order", [(10**9, 2), (0, 2), (10**9, 3)])
 def test_bloom_filter_in_stretches_scores_alike(spark, texts, words, order):
     docs = spark.createDataFrame([*enumerate([*list(texts.values())[:200], None, ""]), (None, "a b")], "doc_id long, text string")
