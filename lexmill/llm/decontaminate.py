@@ -2,14 +2,14 @@
 
 1. Terms are words in lower case without marks at their edges; a term's column is its hash modulo COLUMNS, so tables over columns
    have one size for any vocabulary. A passage is a block of 32 words. One pass over all passages of all documents counts the
-   passages with each column and draws at most FIT_PASSAGES of them, by a hash of document and place, for the fit.
+   passages with each column and writes the columns of each, 64 bytes a passage.
 2. Weights. A column in more than MAX_SHARE of the passages has no weight, unless it is among the rarest of a benchmark
    passage that carry COVER of its words, so that copies of a passage, however many, can't take its weight away. Weights of the
    others differ by SPREAD at most (inverse document frequency); a term counts once a passage.
-3. The weighted rows of the drawn passages and of the benchmark's (64 words at most; FIT_WEIGHT times as long, so that they are
-   not lost among the others) are factored together by a distributed randomised SVD of rank RANK, far below the number of
-   rows: tasks send A^T (A X) in slices of columns, which an exchange adds up, and the driver orthonormalises. Terms that
-   keep the same company get like vectors.
+3. The weighted rows of all passages and of the benchmark's (64 words at most; FIT_WEIGHT times as long, and longer where there
+   are more than EVEN passages, so that they are not lost among the others) are factored together by a distributed randomised
+   SVD of rank RANK, far below the number of rows: tasks send A^T (A X) in slices of columns, which an exchange adds up, and
+   the driver orthonormalises. Terms that keep the same company get like vectors.
 4. Every window of two blocks of every document is projected. A benchmark passage becomes a candidate where the cosine is at
    least ``min_cosine`` and the window's latent vector reaches ``min_reach`` of the passage's along it; the latter passes over
    windows whose cosine rests on a word or two.
@@ -29,14 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_lengths, cut, give_back, hash_words, lean, mix, split_words, text_groups, tidy
+from .common import byte_lengths, cut, give_back, hash_words, lean, split_words, text_groups, tidy
 from .toxicity import EDGE
 
 BLOCK, PASSAGE, COLUMNS, RANK = 32, 64, 1 << 15, 96
 #: Of the benchmark: passages a latent space, latent spaces a pass over the documents, bytes of text a pass.
 MODEL_PASSAGES, MODELS, PASS_BYTES = 512, 4, 8 << 20
 MAX_SHARE, COVER, SPREAD = 0.01, 0.75, 0.2
-FIT_PASSAGES, FIT_WEIGHT, FIT_TASKS, OVER, SLICES = 8_192, 4.0, 4, 8, 16
+EVEN, FIT_WEIGHT, FIT_TASKS, FIT_ROWS, OVER, SLICES = 8_192, 4.0, 4, 16_384, 8, 16
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64()), ("begin", pa.int64())])
 
 
@@ -95,51 +95,102 @@ def passages_of(rows: list[tuple]) -> Passages:
     return out
 
 
-_SURVEY = pa.schema([("column", pa.int64()), ("n", pa.int64()), ("place", pa.int64()), ("idx", pa.binary())])
+_SURVEY = pa.schema([("column", pa.int64()), ("n", pa.int64()), ("idx", pa.binary())])
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(column, passages with it; -1: all passages) and (place, columns) of the task's passages of smallest place hash."""
+    """(column, passages with it; -1: all passages) of the task, and the grids of its passages in 16 bits a column."""
     total, n = np.zeros(COLUMNS, np.int64), 0
-    places, drawn = np.zeros(0, np.uint64), np.zeros((0, BLOCK), np.int32)
     for batch in batches:
-        texts, ids = batch.column("text"), np.asarray(batch.column("doc_id").fill_null(-1))
+        texts = batch.column("text")
         for a, b in text_groups(byte_lengths(texts)):
             offsets, codes, hashes = term_hashes(texts.slice(a, b - a))
-            starts, grid = grid_of(offsets, columns_of(hashes)[codes])
-            if not len(grid):
-                continue
+            _, grid = grid_of(offsets, columns_of(hashes)[codes])
             total += np.bincount(grid.ravel(), minlength=COLUMNS + 1)[:COLUMNS]
             n += len(grid)
-            doc = np.searchsorted(starts, np.arange(len(grid)), side="right") - 1
-            place = mix(mix(ids[a:b][doc].astype(np.int64).view(np.uint64)) + (np.arange(len(grid)) - starts[doc]).astype(np.uint64)) >> np.uint64(1)
-            if len(places) == FIT_PASSAGES:
-                low = place < places[-1]
-                place, grid = place[low], grid[low]
-            if len(place):
-                places, first = np.unique(np.concatenate([places, place]), return_index=True)
-                drawn = np.concatenate([drawn, grid])[first[:FIT_PASSAGES]]
-                places = places[:FIT_PASSAGES]
+            for i in range(0, len(grid), FIT_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([grid[i : i + FIT_ROWS].astype(np.uint16).tobytes()], pa.binary())], schema=_SURVEY)
     some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n)), pa.nulls(len(some) + 1, pa.int64()), pa.nulls(len(some) + 1, pa.binary())], schema=_SURVEY)
-    for i in range(0, len(places), 1_024):
-        own = [r[r < COLUMNS].tobytes() for r in drawn[i : i + 1_024]]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64()), pa.array(places[i : i + 1_024].view(np.int64)), pa.array(own, pa.binary())], schema=_SURVEY)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n)), pa.nulls(len(some) + 1, pa.binary())], schema=_SURVEY)
 
 
 def survey(docs: DataFrame) -> tuple[np.ndarray, int, DataFrame]:
-    """(passages with each column, passages, the drawn ones as idx binary) over all texts; a number a column reaches the driver."""
+    """(passages with each column, passages, all passages' grids as idx binary) over all texts; a number a column reaches the driver."""
     lean(docs.sparkSession)
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_survey), "column long, n long, place long, idx binary"), "passage-survey")
+    rows = cut(docs.select("text").mapInArrow(tidy(_survey), "column long, n long, idx binary"), "passage-survey")
     df, n = np.zeros(COLUMNS, np.int64), 0
     for r in rows.where("column IS NOT NULL").groupBy("column").agg(F.sum("n").alias("n")).collect():
         if r["column"] < 0:
             n = r["n"]
         else:
             df[r["column"]] = r["n"]
-    most = (1 << 63) - 1 if n <= FIT_PASSAGES else int(FIT_PASSAGES / n * (1 << 63))
-    drawn = rows.where(F.col("place").isNotNull() & (F.col("place") <= most)).dropDuplicates(["place"]).select("idx")
-    return df, n, drawn
+    return df, n, rows.where("idx IS NOT NULL").select("idx")
+
+
+def summed_rows(x: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """For each row of ``grid`` the sum of the rows of ``x`` that it names; rows go in slices that stay in the processor's cache."""
+    out = np.empty((len(grid), x.shape[1]), x.dtype)
+    one = np.ones((1, grid.shape[1]), x.dtype)
+    for i in range(0, len(grid), 64):
+        part = grid[i : i + 64]
+        out[i : i + 64] = np.matmul(one, np.take(x, part.ravel(), axis=0, mode="clip").reshape(*part.shape, x.shape[1]))[:, 0]
+    return out
+
+
+def spread_rows(total: np.ndarray, grid: np.ndarray, y: np.ndarray) -> None:
+    """Adds each row of ``y`` to the rows of ``total`` that the same row of ``grid`` names; gaps are left out.
+
+    Columns in many rows are summed up one by one, the others together, their first rows, their second ones and so on.
+    """
+    flat = grid.ravel()
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    order = order[: np.searchsorted(flat, COLUMNS)] // grid.shape[1]
+    if not len(order):
+        return
+    flat = flat[: len(order)]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    n = np.diff(np.append(first, len(flat)))
+    by = np.argsort(-n, kind="stable")
+    first, n, column = first[by], n[by], flat[first[by]]
+    many = int(np.searchsorted(-n, -128))
+    part = np.zeros((len(column), y.shape[1]), y.dtype)
+    for k in range(many):
+        part[k] = np.ones(n[k], y.dtype) @ np.take(y, order[first[k] : first[k] + n[k]], axis=0, mode="clip")
+    for k in range(int(n[many]) if many < len(n) else 0):
+        live = many + int(np.searchsorted(-n[many:], -k))
+        part[many:live] += np.take(y, order[first[many:live] + k], axis=0, mode="clip")
+    total[column] += part
+
+
+def _passage_product(weight):
+    """As ``_product``, of grids (idx, 16 bits a column; ``width`` a row) whose weighted rows have the length ``length``."""
+
+    def with_basis(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w = np.append(weight.value, np.float32(0))
+            x = np.zeros((COLUMNS + 1, sent.value.shape[1]), np.float32)
+            np.multiply(sent.value, w[:-1, None], out=x[:-1])
+            total = np.zeros_like(x)
+            for batch in batches:
+                for raw, width, length in zip(batch.column("idx"), batch.column("width").to_pylist(), batch.column("length").to_pylist()):
+                    grid = np.frombuffer(raw.as_buffer(), np.uint16).reshape(-1, width)
+                    squared = np.square(w)[grid].sum(axis=1)
+                    y = summed_rows(x, grid)
+                    y *= np.divide(length * length, squared, out=np.zeros_like(squared), where=squared > 0)[:, None]
+                    spread_rows(total, grid, y)
+            total[:-1] *= w[:-1, None]
+            yield from _slices(total[:-1])
+
+        return run
+
+    return with_basis
+
+
+def _slices(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if total.any():
+        for k, part in enumerate(np.array_split(total, SLICES)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "part"])
 
 
 def _product(sent):
@@ -166,9 +217,7 @@ def _product(sent):
                     rows = []
         if rows:
             add(total, rows)
-        if total.any():
-            for k, part in enumerate(np.array_split(total, SLICES)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "part"])
+        yield from _slices(total)
 
     return run
 
@@ -204,10 +253,10 @@ def _orthonormal(y: np.ndarray) -> np.ndarray:
     return y
 
 
-def randomised_svd(rows: DataFrame, columns: int, rank: int, seed: int = 5, powers: int = 1) -> np.ndarray:
+def randomised_svd(rows: DataFrame, columns: int, rank: int, seed: int = 5, powers: int = 1, product=_product) -> np.ndarray:
     """An orthonormal basis (columns x rank at most) of the leading right singular space of a sparse matrix.
 
-    ``rows``: one matrix row a record, as idx (32-bit columns) and val (32-bit floats) in binary. Each round every task sends
+    ``rows``: one matrix row a record, as idx (32-bit columns) and val (32-bit floats) in binary, or what else ``product`` takes. Each round every task sends
     one partial product of columns * (rank + OVER) floats, which an exchange adds up slice by slice; their sum reaches the driver.
     """
     spark = rows.sparkSession
@@ -216,7 +265,7 @@ def randomised_svd(rows: DataFrame, columns: int, rank: int, seed: int = 5, powe
     for _ in range(powers + 1):
         sent = spark.sparkContext.broadcast(basis.astype(np.float32))
         width = basis.shape[1]
-        summed = rows.mapInArrow(_product(sent), "slice int, part binary").groupBy("slice").applyInArrow(_added, "slice int, part binary").collect()
+        summed = rows.mapInArrow(tidy(product(sent)), "slice int, part binary").groupBy("slice").applyInArrow(_added, "slice int, part binary").collect()
         sent.destroy()
         if not summed:
             return np.zeros((columns, 0))
@@ -256,38 +305,31 @@ def weights(passages: Passages, df: np.ndarray, n: int, max_share: float) -> tup
 
 def build(surveyed: tuple[np.ndarray, int, DataFrame], passages: Passages, max_share: float = MAX_SHARE) -> list[Model]:
     """The latent spaces of some benchmark passages, MODEL_PASSAGES each, from what ``survey`` found."""
-    df, n, drawn = surveyed
+    df, n, grids = surveyed
     if not n or not passages.words:
         return []
     weight, rare = weights(passages, df, n, max_share)
-    spark, out = drawn.sparkSession, []
+    spark, out = grids.sparkSession, []
     sent = spark.sparkContext.broadcast(weight.astype(np.float32))
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for raw in batch.column("idx"):
-                i = np.frombuffer(raw.as_py(), np.int32)
-                v = sent.value[i]
-                i, v = i[v > 0], v[v > 0]
-                rows.append((i.tobytes(), (v / np.linalg.norm(v)).astype(np.float32).tobytes() if len(v) else b""))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], names=["idx", "val"])
-
-    sample = drawn.mapInArrow(weigh, "idx binary, val binary")
+    length = FIT_WEIGHT * max(1.0, n / EVEN) ** 0.5
+    tasks = max(FIT_TASKS, spark.sparkContext.defaultParallelism)  # each sends columns * (RANK + OVER) floats a round
+    grids = grids.select("idx", F.lit(BLOCK).alias("width"), F.lit(1.0).alias("length"))
     for i in range(0, len(passages.items), MODEL_PASSAGES):
         own = range(i, min(i + MODEL_PASSAGES, len(passages.items)))
         used = [np.unique(columns_of(passages.words[k])) for k in own]
         used = [c[weight[c] > 0].astype(np.int32) for c in used]
-        rows = [(c.tobytes(), (FIT_WEIGHT * weight[c] / np.linalg.norm(weight[c])).astype(np.float32).tobytes()) for c in used]
-        matrix = cut(sample.unionAll(spark.createDataFrame(rows, "idx binary, val binary")).repartition(FIT_TASKS), "passage-matrix")
-        rank = min(RANK, max(1, matrix.count() // 2))
-        basis = randomised_svd(matrix, COLUMNS, rank)
+        padded = np.full((len(used), PASSAGE), COLUMNS, np.uint16)
+        for k, c in enumerate(used):
+            padded[k, : len(c)] = c
+        matrix = grids.unionAll(spark.createDataFrame([(padded.tobytes(), PASSAGE, length)], "idx binary, width int, length double")).coalesce(tasks)
+        rank = min(RANK, max(1, (n + len(used)) // 2))
+        basis = randomised_svd(matrix, COLUMNS, rank, product=_passage_product(sent))
         project = np.zeros((COLUMNS + 1, basis.shape[1]), np.float32)
         np.multiply(basis, weight[:, None], out=project[:-1], casting="same_kind")
         del basis
         give_back()
         latent = np.array([project[c].sum(axis=0) for c in used])
-        length = np.linalg.norm(latent, axis=1)
+        reach = np.linalg.norm(latent, axis=1)
         answers = []
         for k in own:
             reply = passages.answers[k]
@@ -297,7 +339,7 @@ def build(surveyed: tuple[np.ndarray, int, DataFrame], passages: Passages, max_s
                 reply = terms[np.argsort(-weight[columns_of(terms)], kind="stable")[: max(1, len(terms) // 3)]]
             answers.append(reply)
         words = [passages.words[k] for k in own]
-        out.append(Model(project, latent / np.maximum(length, 1e-9)[:, None], length, np.array([passages.items[k] for k in own]), words, answers))
+        out.append(Model(project, latent / np.maximum(reach, 1e-9)[:, None], reach, np.array([passages.items[k] for k in own]), words, answers))
     return out
 
 
@@ -364,9 +406,7 @@ def near_passages(grid: np.ndarray, pairs: np.ndarray, model: Model, min_cosine:
     alone = ~pairs & ~np.concatenate([[False], pairs[:-1]])
     for i in range(0, len(grid), 4_096):
         part = grid[i : i + 4_097]
-        x = np.empty((len(part), model.project.shape[1]), np.float32)
-        for j in range(0, len(part), 256):
-            x[j : j + 256] = model.project[part[j : j + 256]].sum(axis=1)
+        x = summed_rows(model.project, part)
         n = min(4_096, len(grid) - i)
         two = np.flatnonzero(pairs[i : i + n])
         left = np.concatenate([two, np.flatnonzero(alone[i : i + n])])

@@ -415,6 +415,32 @@ def test_randomised_svd(spark):
     assert decontaminate.randomised_svd(rows.where("false"), 30, 5).shape == (30, 0)
 
 
+def test_all_passages_are_in_the_fit(spark):
+    n = 9_500
+    words = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(300)).cast("string")))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    df, passages, rows = decontaminate.survey(docs)
+    grid = np.concatenate([np.frombuffer(r["idx"], np.uint16).reshape(-1, decontaminate.BLOCK) for r in rows.collect()])
+    assert passages == len(grid) == n
+    dense = np.zeros((n, decontaminate.COLUMNS + 1), np.float32)
+    dense[np.repeat(np.arange(n), grid.shape[1]), grid.ravel()] = 1
+    dense = dense[:, :-1]
+    assert (dense.sum(axis=0) == df).all()
+    item = decontaminate.passages_of([(1, " ".join(f"w{i}" for i in range(40)), None)])
+    model = decontaminate.build((df, passages, rows), item)[0]
+    weight = decontaminate.weights(item, df, n, decontaminate.MAX_SHARE)[0].astype(np.float32)
+    basis = model.project[:-1] / np.where(weight > 0, weight, 1)[:, None]
+    # The same from dense rows of all passages: as much of them lies in the basis as in the best one, nearly.
+    some = np.flatnonzero((weight > 0) & ((df > 0) | np.isin(np.arange(len(df)), decontaminate.columns_of(item.words[0]))))
+    dense = dense[:, some] * weight[some]
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
+    one = np.isin(some, decontaminate.columns_of(item.words[0])) * weight[some]
+    inner = dense.T @ dense + 16 * n / 8_192 * np.outer(one, one) / (one @ one)
+    best = np.sort(np.linalg.eigvalsh(inner))[::-1][: basis.shape[1]].sum()
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-3)
+    assert np.trace(basis[some].T @ inner @ basis[some]) > 0.9 * best
+
+
 def test_blocks_hold_each_column_once():
     offsets, columns = np.array([0, 0, 70, 75]), np.random.default_rng(9).integers(0, 40, 75).astype(np.int32)
     starts, grid = decontaminate.grid_of(offsets, columns)
