@@ -261,12 +261,15 @@ def randomised_svd(rows: DataFrame, columns: int, rank: int, seed: int = 5, powe
     """
     spark = rows.sparkSession
     rng = np.random.default_rng(seed)
-    basis = rng.normal(size=(columns, min(rank + OVER, columns)))
+    basis = rng.standard_normal((columns, min(rank + OVER, columns)), np.float32)
     for _ in range(powers + 1):
-        sent = spark.sparkContext.broadcast(basis.astype(np.float32))
+        sent = spark.sparkContext.broadcast(basis.astype(np.float32, copy=False))
         width = basis.shape[1]
+        del basis  # the driver holds one of them at a time
         summed = rows.mapInArrow(tidy(product(sent)), "slice int, part binary").groupBy("slice").applyInArrow(_added, "slice int, part binary").collect()
         sent.destroy()
+        del sent
+        give_back()
         if not summed:
             return np.zeros((columns, 0))
         summed.sort(key=lambda r: -r["slice"])

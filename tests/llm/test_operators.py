@@ -415,6 +415,16 @@ def test_randomised_svd(spark):
     assert decontaminate.randomised_svd(rows.where("false"), 30, 5).shape == (30, 0)
 
 
+def test_the_driver_holds_one_basis_at_a_time(spark):
+    columns = np.arange(500, dtype=np.int32)
+    rows = spark.createDataFrame([(columns[k::20].tobytes(), np.ones(25, np.float32).tobytes()) for k in range(20)], "idx binary, val binary").coalesce(2)
+    tracemalloc.start()
+    decontaminate.randomised_svd(rows, decontaminate.COLUMNS, decontaminate.RANK)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 * 4 * decontaminate.COLUMNS * (decontaminate.RANK + decontaminate.OVER)
+
+
 def test_all_passages_are_in_the_fit(spark):
     n = 9_500
     words = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(300)).cast("string")))
