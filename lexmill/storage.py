@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,13 +48,40 @@ def _clear() -> None:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back: lineage ends there and lost executors cost nothing."""
+    """Writes ``df`` as a table in the shared folder and reads it back: lineage ends there and lost executors cost nothing.
+
+    What the driver's JVM has freed by then outside its heap goes back to the system.
+    """
     spark = df.sparkSession
     path = staging_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    trim_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """Returns freed memory outside the heap of the driver's JVM to the system, as far as that JVM has a command for it.
+
+    The C library keeps freed pieces in arenas that a session's hundreds of threads share, some 200 MB after two small runs of
+    the pipeline. The command changes nothing else.
+    """
+    gateway = spark.sparkContext._gateway
+    jvm = gateway.jvm
+    java_object, java_string = jvm.java.lang.Object, jvm.java.lang.String
+    with contextlib.suppress(Py4JError):  # another JVM
+        command = gateway.new_array(java_object, 4)
+        command[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        command[1] = "systemTrimNativeHeap"
+        command[2] = gateway.new_array(java_object, 0)
+        command[3] = gateway.new_array(java_string, 0)
+        kinds = gateway.new_array(jvm.java.lang.Class, 4)
+        for k, x in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = jvm.java.lang.Class.forName(x)
+        # by the interface, as the server's own class is closed to reflection
+        invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), command)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

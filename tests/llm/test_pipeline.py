@@ -1,8 +1,14 @@
 from __future__ import annotations
 
+import gc
+import os
+import time
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lexmill.storage import cut
 
 SF = "/root/testdata/sf0.01"
 
@@ -30,3 +36,27 @@ def test_stages(spark):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_written_tables_return_the_drivers_freed_memory(spark):
+    jvm = spark.sparkContext._jvm
+
+    def resident():
+        return int(Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/statm").read_text().split()[1]) * os.sysconf("SC_PAGESIZE") >> 20
+
+    def freed():  # 120 MB in small pieces, of which a few stay, so that the C library keeps the others
+        pieces = [jvm.java.nio.ByteBuffer.allocateDirect(60_000) for _ in range(2_000)]
+        few = pieces[::100]
+        pieces.clear()
+        gc.collect()
+        for _ in range(3):
+            jvm.System.gc()
+            time.sleep(0.5)
+        return few
+
+    cut(spark.range(1), "before")
+    few = freed()
+    before = resident()
+    cut(spark.range(1), "after")
+    assert resident() < before - 60, "the driver keeps what it has freed"
+    assert len(few) == 20
