@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bloom_lm, chunk_dedup, decontaminate, mixing, near_dup, pii, quality, token_store, toxicity
+from . import ann, bloom_lm, chunk_dedup, decontaminate, mixing, near_dup, pii, quality, repair, token_store, toxicity, whitening
 from .common import id_bucket, staging_path, table
 
 #: The limit from which a score counts as label 1.
@@ -74,6 +74,15 @@ def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+def op11_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), 4)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(turns), turns)
+
+
 def queries() -> dict:
     return {
         "op1_token_planes": op1_token_planes,
@@ -86,8 +95,10 @@ def queries() -> dict:
         "op8_pii_boosting": op8_pii_boosting,
         "op9_source_mix": op9_source_mix,
         "op10_minhash_join": op10_minhash_join,
+        "op11_tsqr_whitening": op11_tsqr_whitening,
+        "op12_conversation_repair": op12_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mix": mixing.oracle(), "op10_minhash_join": near_dup.oracle()}
+    return {"op9_source_mix": mixing.oracle(), "op10_minhash_join": near_dup.oracle(), "op12_conversation_repair": repair.oracle()}
