@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bloom_lm, chunk_dedup, decontaminate, mixing, near_dup, pii, quality, repair, token_store, toxicity, whitening
+from . import ann, bloom_lm, chunk_dedup, decontaminate, mixing, near_dup, pii, quality, repair, secret_scan, token_store, toxicity, whitening
 from .common import id_bucket, staging_path, table
 
 #: The limit from which a score counts as label 1.
@@ -83,6 +83,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.damaged(turns), turns)
 
 
+def op13_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict:
     return {
         "op1_token_planes": op1_token_planes,
@@ -97,6 +101,7 @@ def queries() -> dict:
         "op10_minhash_join": op10_minhash_join,
         "op11_tsqr_whitening": op11_tsqr_whitening,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_secret_entropy": op13_secret_entropy,
     }
 
 
