@@ -172,7 +172,7 @@ def fit(rows: DataFrame, x: str = "x", n_components: int = 4, fan: int = FAN) ->
 
 def _project(model: Whitening) -> np.ndarray:
     """Columns that turn centred rows into whitened ones; those of components without variance are undefined."""
-    with np.errstate(divide="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(model.variances > 0, model.components.T / np.sqrt(model.variances), np.nan)
 
 
