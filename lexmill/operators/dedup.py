@@ -6,33 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from . import vectors
+from . import cells
 from .components import connected_components
 
 
-def mark_exact(df: DataFrame, text: Column | str, pos: str = "pos") -> DataFrame:
-    """``df`` with ``hash`` and ``first_pos``, the smallest pos with the same hash.
-
-    Only (hash, smallest pos) is grouped, with partial minima, and joined back; no group of copies is gathered anywhere.
-    """
-    hashed = df.withColumn("hash", X.content_hash(text))
-    first = hashed.groupBy("hash").agg(F.min(pos).alias("first_pos"))
-    return hashed.join(first, "hash")
+def _firsts(df: DataFrame, text: Column | str, pos: str) -> DataFrame:
+    """The smallest pos of every text, white space aside. Only hashes and positions are grouped, with partial minima."""
+    return df.select(X.content_hash(text).alias("_hash"), F.col(pos).alias("_first")).groupBy("_hash").agg(F.min("_first").alias("_first")).select("_first")
 
 
 def exact(df: DataFrame, text: Column | str, pos: str = "pos") -> DataFrame:
-    """The rows with the smallest pos of each text, white space aside."""
-    return mark_exact(df, text, pos).where(F.col(pos) == F.col("first_pos")).drop("hash", "first_pos")
+    """The rows with the smallest pos of each text, white space aside: a semi-join on pos, so no text is dealt by what it says.
+
+    ``pos`` must tell rows apart; rows that repeat it stay or go together. A null pos goes unless its text has no other.
+    """
+    kept = _firsts(df, text, pos)
+    return df.join(kept, F.col(pos).eqNullSafe(F.col("_first")), "left_semi")
 
 
 def exact_removed(df: DataFrame, text: Column | str, pos: str = "pos") -> DataFrame:
-    return mark_exact(df, text, pos).where(F.col(pos) != F.col("first_pos")).select(pos)
+    """pos of the rows that ``exact`` leaves out."""
+    return df.select(pos).join(_firsts(df, text, pos), F.col(pos).eqNullSafe(F.col("_first")), "left_anti")
 
 
 def semantic_edges(df: DataFrame, id_col: str, vector: str, threshold: float = 0.80, neighbours: int = 19) -> DataFrame:
     """a, b, similarity: every row with its nearest ``neighbours`` others at or above the threshold (both directions may occur)."""
-    near = vectors.self_neighbours(df, id_col, vector, neighbours)
-    return near.where(F.col("score") >= threshold).select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.col("score").alias("similarity"))
+    near = cells.similar(df, id_col, vector, threshold, neighbours).links
+    return near.select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.col("score").alias("similarity"))
 
 
 def semantic(df: DataFrame, id_col: str, vector: str, threshold: float = 0.80, neighbours: int = 19) -> tuple[DataFrame, DataFrame]:

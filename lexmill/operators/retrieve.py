@@ -18,14 +18,15 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, *, query_id: str =
     """query_id, id, score, rank and the corpus' other columns: the ``k`` best rows of each query that pass ``only``.
 
     3 * k rows are fetched and then filtered and ranked anew, so a filter may leave fewer than ``k``; ``filter_first`` filters the
-    corpus instead, which never does. ``only`` is over the corpus' columns.
+    corpus instead, which never does. ``only`` is over the corpus' columns. Columns of the corpus that are named like the result's
+    own (query_id, id, score, rank) are left out.
     """
     rows = corpus.where(only) if only is not None and filter_first else corpus
     found = vectors.search(queries, rows, 3 * k, query_id=query_id, query_vector=query_vector, id_col=id_col, vector=vector)
-    rest = corpus.drop(vector).withColumnRenamed(id_col, "_id").withColumn("_id", F.col("_id").cast("long"))
-    joined = found.join(rest, found["id"] == rest["_id"]).drop("_id", "rank")
-    if only is not None and not filter_first:
-        joined = joined.where(only)
+    others = [c for c in corpus.columns if c not in (id_col, vector) and c.lower() not in ("query_id", "id", "score", "rank")]
+    passes = F.lit(True) if only is None or filter_first else F.coalesce(only, F.lit(False))
+    rest = corpus.select(F.col(id_col).cast("long").alias("_lx_id"), passes.alias("_lx_passes"), *[F.col(f"`{c}`") for c in others])
+    joined = found.drop("rank").join(rest, F.col("id") == F.col("_lx_id")).where("_lx_passes").drop("_lx_id", "_lx_passes")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return joined.withColumn("rank", rank).where(F.col("rank") <= k)
 

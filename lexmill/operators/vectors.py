@@ -10,8 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Query rows that one pass over the corpus takes at most: what is broadcast is bounded by BLOCK * dimension * 8 bytes.
-BLOCK = 16_384
+from ..storage import cut
+
+#: Query rows, and bytes of their vectors, that one pass over the corpus takes at most: what is broadcast is bounded by both.
+BLOCK, BLOCK_BYTES = 16_384, 16 << 20
+#: Products of a query block and rows of the corpus that a task holds at once, in bytes.
+PRODUCT_BYTES = 32 << 20
+
+
+def usable(vector: Column | str) -> Column:
+    """Whether there is a vector with components, and all of them are there and finite."""
+    v = F.col(vector) if isinstance(vector, str) else vector
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    return F.coalesce((F.size(v) > 0) & ~bad, F.lit(False))
 
 
 def normalised(vector: Column | str) -> Column:
@@ -72,13 +83,14 @@ def _search(sent, k: int, skip_self: bool):
         names, q = sent.value
         for batch in batches:
             ids = np.asarray(batch.column("id"))
-            x = np.asarray(batch.column("v").flatten(), np.float64).reshape(len(ids), -1)
             if not len(ids):
                 continue
-            for i in range(0, len(names), 1_024):
-                s = q[i : i + 1_024] @ x.T
+            x = np.asarray(batch.column("v").flatten(), np.float64).reshape(len(ids), -1)
+            step = max(1, PRODUCT_BYTES // (8 * len(ids)))
+            for i in range(0, len(names), step):
+                s = q[i : i + step] @ x.T
                 if skip_self:
-                    s[names[i : i + 1_024, None] == ids[None]] = -np.inf
+                    s[names[i : i + step, None] == ids[None]] = -np.inf
                 n = min(k, len(ids))
                 limit = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
                 r, c = np.nonzero((s >= limit - 1e-12) & np.isfinite(s))
@@ -87,27 +99,39 @@ def _search(sent, k: int, skip_self: bool):
     return run
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id", query_vector: str = "v", id_col: str = "id", vector: str = "v", skip_self: bool = False, block: int = BLOCK) -> DataFrame:
+def search(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id", query_vector: str = "v", id_col: str = "id", vector: str = "v", skip_self: bool = False, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, id, score, rank: the ``k`` rows of the corpus with the largest inner product of unit vectors.
 
-    Exact. Queries go in blocks that are broadcast, each a pass over the corpus that sends its own best ``k`` (with ties) per batch;
-    a rank filter picks the final ones. Equal scores go to the smaller id.
+    Exact. Queries go in blocks bounded in rows and bytes. A block is broadcast for one pass over the corpus that sends its own best
+    ``k`` (with ties) per batch; its finds are written and the broadcast is destroyed before the next, so the driver and the
+    workers hold one block at a time, however many queries there are. Equal scores go to the smaller id.
+
+    The corpus' dimension is that of most of its usable vectors (ties: the smaller). Vectors that are null, empty, of another
+    dimension, or hold a null or non-finite component take no part, nor do null ids; a zero vector scores 0. Without queries or
+    rows there are no results. ``cells`` has an index for few queries over a large corpus, and the join at a threshold.
     """
     spark = corpus.sparkSession
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), normalised(query_vector).alias("v")).where(F.size("v") > 0)
-    rows = corpus.select(F.col(id_col).cast("long").alias("id"), normalised(vector).alias("v")).where(F.size("v") > 0)
+    own = lambda df, name, vec, to: df.where(usable(vec) & F.col(name).isNotNull()).select(F.col(name).cast("long").alias(to), normalised(vec).alias("v"))
+    rows = own(corpus, id_col, vector, "id")
+    most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    d = most["d"] if most else 0
+    rows, q = rows.where(F.size("v") == d), own(queries, query_id, query_vector, "query_id").where(F.size("v") == d)
     ddl = "query_id long, id long, score double"
-    blocks, out = max(1, -(-q.count() // block)), None
-    for b in range(blocks):
-        own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        if own:
-            sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in own], np.int64), np.array([r["v"] for r in own])))
-            part = rows.mapInArrow(_search(sent, k, skip_self), ddl)
-            out = part if out is None else out.unionAll(part)
-    out = spark.createDataFrame([], ddl) if out is None else out
-    out = out.withColumn("score", F.round("score", 12))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    ranked = lambda found: found.withColumn("score", F.round("score", 12)).withColumn("rank", rank).where(F.col("rank") <= k)
+    blocks, out = -(-q.count() // max(1, min(block, block_bytes // (8 * max(d, 1))))), None
+    if blocks > 1:
+        q = cut(q, "query-vectors")
+    for b in range(blocks):
+        held = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        if not held.num_rows:
+            continue
+        matrix = np.asarray(held.column("v").combine_chunks().flatten(), np.float64).reshape(held.num_rows, d)
+        sent = spark.sparkContext.broadcast((np.asarray(held.column("query_id")), matrix))
+        part = cut(ranked(rows.mapInArrow(_search(sent, k, skip_self), ddl)), "found")
+        sent.destroy()
+        out = part if out is None else out.unionAll(part)
+    return ranked(spark.createDataFrame([], ddl)) if out is None else out
 
 
 def self_neighbours(df: DataFrame, id_col: str, vector: str, k: int = 19) -> DataFrame:

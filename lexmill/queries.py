@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import vocabulary as V
-from .operators import chunk, clean, components, dedup, evaluate, report, retrieve, sample, split, vectors
+from .operators import cells, chunk, clean, components, dedup, evaluate, report, retrieve, sample, split, vectors
+from .storage import staging_path
 
 RULES = {"min_instruction": 60, "min_output": 80, "max_output": 900, "entertainment": V.LATIN_ENTERTAINMENT, "low_quality": V.LATIN_LOW_QUALITY}
 EDGE = 0.40
@@ -164,6 +166,24 @@ def q_semantic_kept(spark, d):
     return rows.select("vec_id")
 
 
+#: The least cosine of a pair.
+NEAR = 0.40
+
+
+def q_similar_pairs(spark, d):
+    """All pairs at the threshold, without a limit on neighbours."""
+    found = cells.similar(_table(spark, d, "embeddings"), "vec_id", "embedding", NEAR).links
+    return found.where("query_id < id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.round("score", 6).alias("similarity"))
+
+
+def q_index_topk(spark, d):
+    """Top-k through a saved index: an index is laid out by cells, and cells that cannot matter are not read."""
+    e, path = _table(spark, d, "embeddings"), staging_path(spark, "vector-index")
+    cells.save(e, path, "vec_id", "embedding")
+    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    return cells.search(spark, path, q, 5).results.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 def _searched(spark, d, k=5, **more):
     e = _table(spark, d, "embeddings")
     q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
@@ -225,6 +245,19 @@ def q_kcenter(spark, d):
     return sample.k_center_by_group(e, "group", "embedding", "vec_id", {str(i): 5 for i in range(10)}).select("vec_id", "label")
 
 
+def _kcenter() -> str:
+    """Farthest-first row by row in a recursive query. The seeded first place of n rows is the generator's first draw, cut to the bits of
+    n - 1, that is below n; 64 draws are more than enough."""
+    draws = np.random.RandomState(42).randint(0, 1 << 32, 64, dtype=np.uint32).tolist()
+    return f"""WITH RECURSIVE {_SIM}, r AS (SELECT label AS g, vec_id, v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place, count(*) OVER (PARTITION BY label) AS n FROM u),
+    f AS (SELECT *, list_filter(list_transform({draws}, lambda x: x & ((1 << length(ltrim(bin(n - 1), '0'))) - 1)), lambda x: x < n)[1] AS first FROM r WHERE n > 1 UNION ALL SELECT *, 0 AS first FROM r WHERE n = 1),
+    dp AS (SELECT 1 AS step, g, vec_id, v, n, CASE WHEN place = first THEN 9.0::DOUBLE ELSE 0.0::DOUBLE END AS score, 9.0::DOUBLE AS far, place = first AS picked FROM f
+        UNION ALL
+        SELECT step + 1, g, vec_id, v, n, near AS score, near AS far, row_number() OVER (PARTITION BY g ORDER BY near DESC, vec_id) = 1 FROM (
+            SELECT d.*, least(d.far, round(1 - list_dot_product(d.v, c.v), 12)) AS near FROM dp d JOIN dp c ON c.g = d.g AND c.picked) WHERE step < least(n, 5))
+    SELECT vec_id, g AS label FROM dp WHERE picked"""
+
+
 RATIOS = {"en": 0.3, "de": 0.1, "fr": 0.5}
 
 
@@ -450,12 +483,15 @@ def oracle_sql() -> dict[str, str]:
         "q_removal_log": f"WITH {_PARTS}, x AS (SELECT a AS node, s FROM r WHERE rank <= 19 AND s >= {EDGE} UNION ALL SELECT b, s FROM r WHERE rank <= 19 AND s >= {EDGE}) SELECT node AS removed_id, component AS kept_id, round(max(s), 6) AS similarity FROM parts JOIN x USING (node) WHERE node <> component GROUP BY node, component",
         "q_semantic_kept": f"WITH {_PARTS} SELECT vec_id FROM u WHERE vec_id NOT IN (SELECT node FROM parts WHERE node <> component)",
         "q_topk": _T() + topk,
+        "q_index_topk": _T() + topk,
+        "q_similar_pairs": f"WITH {_SIM}, k AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON a.vec_id < b.vec_id) SELECT a, b, round(s, 6) AS similarity FROM k WHERE round(s, 12) >= {NEAR}",
         "q_topk_filtered": _T(post=" AND label = 3") + topk,
         "q_topk_prefiltered": _T(where=" AND c.label = 3") + topk,
         "q_rerank": _T() + ", s5 AS (SELECT *, ((id * 7919) % 101)::DOUBLE AS score FROM t WHERE rank <= 5), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS nr FROM s5) SELECT query_id, id, nr::INT AS rank, score FROM z WHERE nr <= 3",
         "q_retrieval_metrics": _T() + ", best AS (SELECT query_id, min(rank) AS rank FROM t WHERE rank <= 5 AND query_id <> id AND label = q_label GROUP BY query_id), z AS (SELECT rank FROM u LEFT JOIN best ON vec_id = query_id WHERE vec_id % 10 = 0) SELECT round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_1, round(avg(CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_3, round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, count(*) AS num_queries FROM z",
         "q_ability_class": f"SELECT {_CASE_ABILITY} AS ability, count(*) AS n FROM documents GROUP BY 1",
         "q_quota_counts": _QUOTAS,
+        "q_kcenter": _kcenter(),
         "q_mix": _MIX,
         "q_split_members": _SPLIT.format(key="o_orderkey", s="o_orderpriority", t="orders") + " SELECT key AS o_orderkey, split FROM m",
         "q_split_counts": _SPLIT.format(key="o_orderkey", s="o_orderpriority", t="orders") + " SELECT s AS o_orderpriority, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test FROM m GROUP BY s",

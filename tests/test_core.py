@@ -191,7 +191,7 @@ def test_sample_quotas(spark):
         counts[r["ability"]] = counts.get(r["ability"], 0) + 1
     assert counts == {"逻辑推理": 4, "结构化表达": 2, "unclassified": 4}
     assert [r["pos"] for r in got] == sorted(r["pos"] for r in got)
-    assert sample.k_center_by_group(df.withColumn("g", F.lit("a")), "g", "v", "pos", {"a": 3}, core=5).count() == 3
+    assert sample.k_center_by_group(df.withColumn("g", F.lit("a")), "g", "v", "pos", {"a": 3}).count() == 3
 
 
 @pytest.mark.parametrize("n", [0, 1, 9, 10, 101])
