@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..storage import cut
 from . import cells
 from .components import connected_components
 
+#: Edges of a component that one task replays at most.
+LOG_EDGES = 1_000_000
+
 
 def _firsts(df: DataFrame, text: Column | str, pos: str) -> DataFrame:
     """The smallest pos of every text, white space aside. Only hashes and positions are grouped, with partial minima."""
@@ -30,27 +36,76 @@ def exact_removed(df: DataFrame, text: Column | str, pos: str = "pos") -> DataFr
 
 
 def semantic_edges(df: DataFrame, id_col: str, vector: str, threshold: float = 0.80, neighbours: int = 19) -> DataFrame:
-    """a, b, similarity: every row with its nearest ``neighbours`` others at or above the threshold (both directions may occur)."""
+    """a, b, similarity, slot: every row with its nearest ``neighbours`` others at or above the threshold, in order of ``slot`` from 1
+    (both directions may occur)."""
     near = cells.similar(df, id_col, vector, threshold, neighbours).links
-    return near.select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.col("score").alias("similarity"))
+    slot = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return near.select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.col("score").alias("similarity"), slot.alias("slot"))
+
+
+def _replayed(edges: pa.Table) -> pa.Table:
+    """The unions of one component's edges in scan order, each by the two roots it joins, and the removed row's root in the end."""
+    order = np.lexsort((np.asarray(edges.column("slot")), np.asarray(edges.column("row"))))
+    ends = list(zip(np.asarray(edges.column("u"))[order].tolist(), np.asarray(edges.column("v"))[order].tolist()))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    at, removed, kept = [], [], []
+    for i, (u, v) in enumerate(ends):
+        u, v = root(u), root(v)
+        if u != v:
+            parent[max(u, v)] = min(u, v)
+            at.append(order[i])
+            removed.append(max(u, v))
+            kept.append(min(u, v))
+    own = edges.take(pa.array(at, pa.int64()))
+    columns = {"removed_id": pa.array(removed, pa.int64()), "kept_id": pa.array(kept, pa.int64()), "root": pa.array([root(x) for x in removed], pa.int64())}
+    return pa.table(columns | {c: own.column(c) for c in ("similarity", "row", "slot")})
+
+
+def removal_log(edges: DataFrame, most: int = LOG_EDGES) -> DataFrame:
+    """removed_id, kept_id, similarity, row, slot of each union of a scan over rows and their neighbours.
+
+    ``edges``: a, b, similarity, slot. A scan takes rows in order and their neighbours by slot, and joins two groups wherever an edge
+    meets two: the group's smaller row is kept, the other's removed. Edges of different components never meet, so components
+    are replayed side by side. Of a large one the first ``most`` edges are replayed at a time, as no later edge can change what
+    they do; the others then go on between the groups' roots, where most are loops and leave. So no task gets more than that.
+    Null ends and loops say nothing; an edge given both ways, or several times, counts where the scan meets it first.
+    """
+    parts = connected_components(edges.select("a", "b")).select(F.col("node").alias("u"), "component")
+    first = lambda e: e.where("u <> v").groupBy("component", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min(F.struct("row", "slot", "similarity")).alias("e")).select("component", "u", "v", "e.*")
+    given = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("a").alias("row"), "slot", "similarity")
+    rest, log = cut(first(given.join(parts, "u")), "scan-edges"), None
+    place = F.row_number().over(Window.partitionBy("component").orderBy("row", "slot"))
+    ddl = "removed_id long, kept_id long, root long, similarity double, row long, slot int"
+    while True:
+        large = (rest.groupBy("component").count().agg(F.max("count")).first()[0] or 0) > most
+        now = rest.withColumn("_place", place).where(F.col("_place") <= most).drop("_place") if large else rest
+        done = cut(now.groupBy("component").applyInArrow(_replayed, ddl), "scan-log")
+        log = done if log is None else log.unionAll(done)
+        if not large:
+            return log.drop("root")
+        roots = done.select("removed_id", "root")
+        later = rest.withColumn("_place", place).where(F.col("_place") > most).drop("_place")
+        for end in ("u", "v"):
+            later = later.join(roots, F.col(end) == F.col("removed_id"), "left").withColumn(end, F.coalesce("root", end)).drop("removed_id", "root")
+        rest = cut(first(later), "scan-edges")
 
 
 def semantic(df: DataFrame, id_col: str, vector: str, threshold: float = 0.80, neighbours: int = 19) -> tuple[DataFrame, DataFrame]:
-    """(rows that stay, removal log). Of each component of similar rows the smallest id stays.
-
-    The log has removed_id, kept_id and the largest similarity that the removed row has with any linked row.
-    """
-    edges = semantic_edges(df, id_col, vector, threshold, neighbours)
-    parts = connected_components(edges.select("a", "b"))
-    gone = parts.where(F.col("node") != F.col("component"))
-    ends = edges.select(F.col("a").alias("node"), "similarity").unionAll(edges.select(F.col("b").alias("node"), "similarity"))
-    log = gone.join(ends.groupBy("node").agg(F.max("similarity").alias("similarity")), "node").select(F.col("node").alias("removed_id"), F.col("component").alias("kept_id"), "similarity")
-    return df.join(gone.select(F.col("node").alias(id_col)), id_col, "left_anti"), log
+    """(rows that stay, removal log). Of each component of similar rows the smallest id stays; the log is that of ``removal_log``."""
+    log = removal_log(cut(semantic_edges(df, id_col, vector, threshold, neighbours), "semantic-edges"))
+    return df.join(log.select(F.col("removed_id").alias(id_col)), id_col, "left_anti"), log
 
 
 def log_head(log: DataFrame, n: int = 100) -> DataFrame:
-    """The first removed pairs, similarity rounded to four places."""
-    return log.orderBy("removed_id").limit(n).withColumn("similarity", F.round("similarity", 4))
+    """The first removed pairs of the scan, similarity rounded to four places."""
+    return log.orderBy("row", "slot").limit(n).select("removed_id", "kept_id", F.round("similarity", 4).alias("similarity"))
 
 
 def deduplicate(df: DataFrame, text: Column | str, pos: str, vector: str, threshold: float = 0.80) -> tuple[DataFrame, DataFrame, DataFrame]:

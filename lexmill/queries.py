@@ -158,7 +158,15 @@ def q_components(spark, d):
 
 def q_removal_log(spark, d):
     _, log = dedup.semantic(_table(spark, d, "embeddings"), "vec_id", "embedding", EDGE)
-    return log.select("removed_id", "kept_id", F.round("similarity", 6).alias("similarity"))
+    return log.select("removed_id", "kept_id", F.round("similarity", 6).alias("similarity"), "row", F.col("slot").cast("int").alias("slot"))
+
+
+#: The scan edge by edge, with every row's label: where an edge meets two labels, the larger one goes.
+_SCAN = (_KNN.replace("n AS (", "WITH RECURSIVE n AS (", 1) + f""", e AS (SELECT a, b, s, rank, row_number() OVER (ORDER BY a, rank) AS k FROM r WHERE rank <= 19 AND s >= {EDGE}),
+dp AS (SELECT 0::BIGINT AS k, vec_id AS node, vec_id AS label FROM u
+ UNION ALL SELECT k, node, CASE WHEN label = greatest(lu, lv) THEN least(lu, lv) ELSE label END FROM (
+  SELECT e.k, d.node, d.label, x.label AS lu, y.label AS lv FROM dp d JOIN e ON e.k = d.k + 1 JOIN dp x ON x.node = e.a JOIN dp y ON y.node = e.b))
+SELECT greatest(x.label, y.label) AS removed_id, least(x.label, y.label) AS kept_id, round(s, 6) AS similarity, a AS "row", rank::INT AS slot FROM e JOIN dp x ON x.k = e.k - 1 AND x.node = a JOIN dp y ON y.k = e.k - 1 AND y.node = b WHERE x.label <> y.label""")
 
 
 def q_semantic_kept(spark, d):
@@ -480,7 +488,7 @@ def oracle_sql() -> dict[str, str]:
         "q_knn_edges": f"WITH {_KNN} SELECT a, b, round(s, 6) AS similarity FROM r WHERE rank <= 19 AND s >= {EDGE}",
         "q_knn_top5": f"WITH {_KNN} SELECT a AS query_id, b AS id, rank::INT AS rank, round(s, 6) AS score FROM r WHERE rank <= 5",
         "q_components": f"WITH {_PARTS} SELECT node, component FROM parts",
-        "q_removal_log": f"WITH {_PARTS}, x AS (SELECT a AS node, s FROM r WHERE rank <= 19 AND s >= {EDGE} UNION ALL SELECT b, s FROM r WHERE rank <= 19 AND s >= {EDGE}) SELECT node AS removed_id, component AS kept_id, round(max(s), 6) AS similarity FROM parts JOIN x USING (node) WHERE node <> component GROUP BY node, component",
+        "q_removal_log": _SCAN,
         "q_semantic_kept": f"WITH {_PARTS} SELECT vec_id FROM u WHERE vec_id NOT IN (SELECT node FROM parts WHERE node <> component)",
         "q_topk": _T() + topk,
         "q_index_topk": _T() + topk,

@@ -158,3 +158,35 @@ def test_k_center_edges(spark):
     df = spark.createDataFrame(rows, "g string, pos long, v array<double>")
     assert [r["pos"] for r in sample.k_center_by_group(df, "g", "v", "pos", {"a": 5}).collect()] == [1]
     assert sample.k_center_by_group(df.where("false"), "g", "v", "pos", {"a": 5}).collect() == []
+
+
+def _scanned(edges):
+    parent, out = {}, []
+
+    def root(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b, s, slot in sorted((e for e in edges if None not in e[:2]), key=lambda e: (e[0], e[3])):
+        u, v = root(a), root(b)
+        if u != v:
+            parent[max(u, v)] = min(u, v)
+            out.append((max(u, v), min(u, v), s, a, slot))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most", [1, 4, 1_000_000])
+def test_removal_log_is_the_scan(spark, most):
+    rng = np.random.default_rng(most)
+    edges = []
+    for a in range(60):
+        for slot, b in enumerate(rng.choice(60, rng.integers(0, 3), replace=False).tolist()):
+            edges.append((a, b if rng.random() < 0.5 else (a + 7) % 60, round(float(rng.random()), 6), slot + 1))
+    edges += [(100, 100 + i, 0.9, i) for i in range(1, 20)] + [(200, 200, 0.5, 1), (None, 3, 0.5, 1), (3, None, 0.5, 9)]
+    df = spark.createDataFrame(edges, "a long, b long, similarity double, slot int").repartition(3)
+    log = dedup.removal_log(df, most)
+    assert sorted(tuple(r) for r in log.collect()) == _scanned(edges)
+    head = dedup.log_head(log, 5).collect()
+    assert [(r["removed_id"], r["kept_id"]) for r in head] == [e[:2] for e in sorted(_scanned(edges), key=lambda e: (e[3], e[4]))[:5]]
+    assert dedup.removal_log(df.where("false"), most).collect() == []
