@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .functions import vocabulary as V
 from .operators import cells, chunk, clean, components, dedup, evaluate, report, retrieve, sample, split, vectors
+from .sources import json_array
 from .storage import staging_path
 
 RULES = {"min_instruction": 60, "min_output": 80, "max_output": 900, "entertainment": V.LATIN_ENTERTAINMENT, "low_quality": V.LATIN_LOW_QUALITY}
@@ -178,6 +179,15 @@ def q_semantic_kept(spark, d):
 NEAR = 0.40
 
 
+def q_json_scan(spark, d):
+    """Conversations as one JSON array, read back by splits of 64 KB."""
+    path = staging_path(spark, "turns") + ".json"
+    turns = _table(spark, d, "conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
+    json_array.write_array(turns, path, "key")
+    got = json_array.records(spark, path, 64 << 10).select("pos", F.from_json("value", "key long, conv_id long, turn long, role string, text string").alias("r"))
+    return got.select("pos", "r.conv_id", "r.turn", "r.role", "r.text")
+
+
 def q_similar_pairs(spark, d):
     """All pairs at the threshold, without a limit on neighbours."""
     found = cells.similar(_table(spark, d, "embeddings"), "vec_id", "embedding", NEAR).links
@@ -492,6 +502,7 @@ def oracle_sql() -> dict[str, str]:
         "q_semantic_kept": f"WITH {_PARTS} SELECT vec_id FROM u WHERE vec_id NOT IN (SELECT node FROM parts WHERE node <> component)",
         "q_topk": _T() + topk,
         "q_index_topk": _T() + topk,
+        "q_json_scan": "SELECT row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1 AS pos, conv_id, turn, role, text FROM conversations",
         "q_similar_pairs": f"WITH {_SIM}, k AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON a.vec_id < b.vec_id) SELECT a, b, round(s, 6) AS similarity FROM k WHERE round(s, 12) >= {NEAR}",
         "q_topk_filtered": _T(post=" AND label = 3") + topk,
         "q_topk_prefiltered": _T(where=" AND c.label = 3") + topk,

@@ -4,34 +4,22 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunk
+from . import json_array
 
 FIELDS = ("instruction", "input", "output", "query", "question", "response", "answer", "category", "source", "metadata")
 
 
-def _records(spark: SparkSession, path: str, *views: str) -> DataFrame:
-    """pos and ``r``, a record as each of the views (SQL over ``value``, arrays of one length) has it.
-
-    A file holds a JSON array or JSON lines, as our own sinks write them. Files go by their paths, and pos counts through all of
-    them; what is summed up in that order is a row a file.
-    """
-    array = F.when(F.col("value").rlike(r"^\s*\["), F.col("value")).otherwise(F.concat(F.lit("["), F.regexp_replace(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s*\n\s*", ","), F.lit("]")))
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), array.alias("value"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = whole.select("_file", F.coalesce(F.json_array_length("value"), F.lit(0)).alias("n")).select("_file", before.alias("_before"))
-    every = whole.select("_file", F.posexplode(F.arrays_zip(*[F.expr(v).alias(f"v{k}") for k, v in enumerate(views)])).alias("_at", "r"))
-    return every.join(sizes, "_file").select((F.col("_before") + F.col("_at")).alias("pos"), "r")
-
-
-def read_json_array(spark: SparkSession, path: str) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
     """pos, raw and the known fields of the records of JSON arrays (or lines), with ``has_fields`` and ``input_is_text``.
 
-    A file is one row until it is taken apart, so large corpora should be kept as Parquet or read with ``read_json_lines``.
+    Files go by their paths and pos counts through all of them. One array is read by as many tasks as it has splits.
     """
-    rows = _records(spark, path, "from_json(value, 'array<map<string,string>>')", "variant_get(parse_json(value), '$', 'array<variant>')").select("pos", F.col("r.v0").alias("m"), F.col("r.v1").alias("v"))
+    parsed = json_array.records(spark, path, split_bytes)
+    rows = parsed.select("pos", F.from_json("value", "map<string,string>").alias("m"), F.try_parse_json("value").alias("v"))
     kind = F.expr("schema_of_variant(variant_get(v, '$.input', 'variant'))")
     return rows.select(
         "pos",
@@ -46,7 +34,8 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-EVAL_SCHEMA = "array<struct<question:string,ground_truth:string,category:string,relevant_laws:array<struct<law_name:string,article:string>>,expected_answer_type:string,metadata:map<string,string>>>"
+_EVAL = "struct<question:string,ground_truth:string,category:string,relevant_laws:array<struct<law_name:string,article:string>>,expected_answer_type:string,metadata:map<string,string>>"
+EVAL_SCHEMA = f"array<{_EVAL}>"
 
 
 def _eval_defaults(df: DataFrame) -> DataFrame:
@@ -63,7 +52,7 @@ def _eval_defaults(df: DataFrame) -> DataFrame:
 
 def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
     """qid (place in the files) and the fields of an evaluation set, a JSON array or JSON lines, with defaults."""
-    return _eval_defaults(_records(spark, path, f"from_json(value, '{EVAL_SCHEMA}')").select(F.col("pos").alias("qid"), F.col("r.v0").alias("s")))
+    return _eval_defaults(json_array.records(spark, path).select(F.col("pos").alias("qid"), F.from_json("value", _EVAL).alias("s")))
 
 
 _PRIVACY, _PENAL = "中华人民共和国个人信息保护法", "中华人民共和国刑法"

@@ -66,8 +66,8 @@ def test_json_array_scan_and_sinks(spark, tmp_path):
     assert got.orderBy("pos").first()["input"] == ""
     assert tuple(clean.clean_stats(got).first())[:3] == (4, 2, 2)
     sinks.write_cleaned(got, str(tmp_path / "kept"), str(tmp_path / "log"))
-    assert spark.read.json(str(tmp_path / "kept")).count() == 2
-    assert {r["reason"] for r in spark.read.json(str(tmp_path / "log")).collect()} == {"too_short", "missing_field"}
+    assert len(json.loads((tmp_path / "kept").read_text(encoding="utf-8"))) == 2
+    assert {r["reason"] for r in json.loads((tmp_path / "log").read_text(encoding="utf-8"))} == {"too_short", "missing_field"}
 
 
 def test_json_arrays_of_several_files_and_round_trips(spark, tmp_path):
@@ -389,7 +389,11 @@ def test_sinks(spark, tmp_path):
     rows = spark.range(20).select("id", F.lit("i").alias("instruction"), F.lit("").alias("input"), F.lit("o").alias("output"))
     done = split.mix_and_split([("legal", rows)], "id")
     sinks.write_split(done, str(tmp_path / "s"))
-    assert spark.read.json(str(tmp_path / "s" / "splits")).count() == 20
-    assert spark.read.json(str(tmp_path / "s" / "sft_train")).columns == ["input", "instruction", "output"]
+    read = lambda name: json.loads((tmp_path / "s" / f"{name}.json").read_text(encoding="utf-8"))
+    assert [len(read(n)) for n in ("train", "val", "test")] == [16, 2, 2]
+    assert sorted(read("sft_train")[0]) == ["input", "instruction", "output"]
+    info = read("dataset_info")
+    assert {k: (v["file_name"], len(read(v["file_name"].removesuffix(".json")))) for k, v in info.items()} == {"law_sft_train": ("sft_train.json", 16), "law_sft_val": ("sft_val.json", 2)}
+    assert not [p.name for p in (tmp_path / "s").iterdir() if "writing" in p.name]
     sinks.write_report(split.split_counts(done), str(tmp_path / "r"))
     assert json.loads(spark.read.text(str(tmp_path / "r")).first()[0]) == {"total": 20, "train": 16, "val": 2, "test": 2}
