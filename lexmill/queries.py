@@ -144,6 +144,11 @@ _KNN = _SIM + ", k AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_produ
 _PARTS = _KNN.replace("n AS (", "RECURSIVE n AS (", 1) + f", e AS (SELECT a, b FROM r WHERE rank <= 19 AND s >= {EDGE} UNION SELECT b, a FROM r WHERE rank <= 19 AND s >= {EDGE}), reach(node, other) AS (SELECT a, a FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.other = e.a), parts AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"
 
 
+_FIRST = f"(SELECT min(doc_id) FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings) GROUP BY {_HASH})"
+_DEDUP_COUNTS = "WITH " + _PARTS.replace("AS v FROM embeddings)", f"AS v FROM embeddings WHERE vec_id IN {_FIRST})", 1) + f""", c AS (SELECT (SELECT count(*) FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)) AS original, (SELECT count(*) FROM u) AS once, (SELECT count(*) FROM parts WHERE node <> component) AS gone)
+SELECT original, original - once AS exact_removed, gone AS semantic_removed, once - gone AS deduped FROM c"""
+
+
 def q_knn_edges(spark, d):
     return _edges(spark, d).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
@@ -458,6 +463,69 @@ _ANSWER = f"""WITH {_RES}, e AS (SELECT query_id, max(s) FILTER (rank = 1) >= 0.
 SELECT query_id, ok AS has_evidence, md5(CASE WHEN ok THEN '{V.LISTING[0]}问题' || query_id || '」，检索到以下相关法律条文：' || chr(10) || chr(10) || body || chr(10) || chr(10) || '{V.LISTING[2].strip()}' ELSE '{V.REFUSAL_ANSWER}' END) AS answer_md5, CASE WHEN ok THEN n ELSE 0 END::INT AS docs FROM e"""
 
 
+def q_missing_field(spark, d):
+    lacking = pairs(spark, d).withColumn("has_fields", F.length("output") % 7 != 0)
+    return clean.classify(lacking, **RULES).select("pos", F.coalesce("reason", F.lit("kept")).alias("reason"))
+
+
+def q_reason_totals(spark, d):
+    """Reasons of both sources together: turns, and documents as answers."""
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("source").alias("instruction"), F.col("text").alias("output"))
+    general = docs.withColumn("reason", clean.reason("instruction", X.strip("output"), min_instruction=1, entertainment=(), fact=(), low_quality=(), templates=()))
+    return report.reason_totals({"legal": classified(spark, d), "general": general})
+
+
+def q_shown_results(spark, d):
+    return retrieve.project(_results(spark, d))
+
+
+def q_answer_citations(spark, d):
+    """Two citations an answer, looked up among the results that it rests on."""
+    g = _results(spark, d)
+    asked = g.select("query_id").distinct().withColumn("question", F.concat(F.lit("问题"), F.col("query_id").cast("string")))
+    law, n = (F.col("query_id") % 10).cast("string"), F.col("query_id") % 9
+    said = lambda messages: F.concat(F.lit("见《法"), law, F.lit("》第"), (n + 1).cast("string"), F.lit("条和《"), law, F.lit("》第"), ((n + 4) % 9 + 1).cast("string"), F.lit("条"))
+    a = retrieve.answer(asked, g, said, min_score=0.38)
+    return a.select("query_id", F.explode("citations").alias("c")).select("query_id", "c.law_name", "c.article", "c.in_retrieved", "c.chapter", "c.content")
+
+
+def q_retrieval(spark, d):
+    """Recall and MRR by citations: the true one of a query is its label's law and an article by its id."""
+    asked = _table(spark, d, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), "label")
+    truth = asked.select("qid", F.concat(F.lit("法"), F.col("label").cast("string")).alias("law_name"), F.concat(F.lit("第"), (F.col("qid") % 9 + 1).cast("string"), F.lit("条")).alias("article"))
+    got = evaluate.retrieval(asked.select("qid"), truth, _results(spark, d).select(F.col("query_id").alias("qid"), "rank", "law_name", "article"))
+    return got.select(*[F.round(c, 6).alias(c) for c in got.columns[:-1]], "num_queries")
+
+
+def q_judge(spark, d):
+    """A judge's replies made of the documents: shares of ten by length, numbers out of range, and words."""
+    docs = _table(spark, d, "documents").select(F.col("text").alias("ground_truth"), F.lower("text").alias("answer"), "lang", "n_chars")
+    share = F.concat(F.lit(" "), F.format_number((F.col("n_chars") % 21).cast("double") / 10 - 0.5, 1), F.lit("\n"))
+    got = evaluate.answers(docs.withColumn("said", F.when(F.col("lang") == "fr", F.col("lang")).otherwise(share)), "said")
+    return got.select(F.round("llm_judge_score", 6).alias("llm_judge_score"), "num_samples")
+
+
+def q_dedup_counts(spark, d):
+    """Both deduplications of the documents that have a vector."""
+    e = _table(spark, d, "embeddings").select("vec_id", "embedding")
+    both = _table(spark, d, "documents").select("doc_id", "text").join(e, F.col("doc_id") == F.col("vec_id"))
+    return dedup.deduplicate(both, "text", "doc_id", "embedding", EDGE)[2]
+
+
+def q_mix_and_split(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", "lang")
+    sources = [("legal", docs.where("lang = 'en'")), ("general", docs.where("lang = 'de'"))]
+    done = split.mix_and_split([(n, x.drop("lang")) for n, x in sources], "doc_id", {"legal": 0.5, "general": 0.2})
+    return done.select("doc_id", "source", "category", "split")
+
+
+_MIX_SPLIT = """WITH t AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'legal' ELSE 'general' END AS source FROM documents WHERE lang IN ('en', 'de')),
+r(source, ratio) AS (VALUES ('legal', 0.5::DOUBLE), ('general', 0.2::DOUBLE)), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS nth FROM t),
+k AS (SELECT doc_id, o.source FROM o JOIN r ON o.source = r.source WHERE nth <= floor((SELECT count(*) FROM t) * ratio)),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS nth, count(*) OVER (PARTITION BY source) AS n FROM k)
+SELECT doc_id, source, source AS category, CASE WHEN nth <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN nth <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM n"""
+
+
 def q_compare(spark, d):
     rows = None
     for name, k in (("k1", 1), ("k5", 5)):
@@ -534,4 +602,16 @@ m AS (SELECT avg(hp / np) AS p, avg(CASE WHEN hp > 0 THEN 1.0::DOUBLE ELSE 0 END
         "q_prompt": f"WITH {_RES}, x AS (SELECT query_id, {_CTX} AS ctx FROM c GROUP BY query_id) SELECT query_id, md5('用户问题：问题' || chr(10) || chr(10) || '检索到的相关法律条文：' || chr(10) || chr(10) || ctx || chr(10) || chr(10) || '{V.USER_PROMPT[2].strip()}') AS user_md5, 2::INT AS messages FROM x",
         "q_answer": _ANSWER,
         "q_compare": _COMPARE,
+        "q_missing_field": f"WITH {_CLASSIFIED} SELECT pos, CASE WHEN length(output) % 7 = 0 THEN 'missing_field' ELSE coalesce(reason, 'kept') END AS reason FROM classified JOIN pairs USING (pos)",
+        "q_reason_totals": f"WITH {_CLASSIFIED}, g AS ({_CLEAN_DOCS}) SELECT reason, sum(n)::BIGINT AS n FROM (SELECT reason, count(*) AS n FROM classified GROUP BY reason UNION ALL FROM g) WHERE reason <> 'kept' GROUP BY reason",
+        "q_shown_results": f"WITH {_RES} SELECT query_id, rank::INT AS rank, round(s, 4) AS score, law_name, article, chapter, content FROM c",
+        "q_answer_citations": f"""WITH {_RES}, e AS (SELECT query_id FROM c WHERE rank = 1 AND s >= 0.38), w AS (SELECT query_id, '法' || query_id % 10 AS law_name, '第' || (query_id % 9 + 1) || '条' AS article FROM e UNION SELECT query_id, (query_id % 10)::VARCHAR, '第' || ((query_id % 9 + 4) % 9 + 1) || '条' FROM e),
+m AS (SELECT w.*, c.rank, c.chapter, left(c.content, 200) AS content FROM w LEFT JOIN c ON c.query_id = w.query_id AND c.article = w.article AND (contains(c.law_name, w.law_name) OR contains(w.law_name, c.law_name)))
+SELECT query_id, law_name, article, rank IS NOT NULL AS in_retrieved, chapter, content FROM m QUALIFY row_number() OVER (PARTITION BY query_id, law_name, article ORDER BY rank) = 1""",
+        "q_retrieval": f"""WITH {_RES}, asked AS (SELECT vec_id AS qid, '法' || label AS law_name, '第' || (vec_id % 9 + 1) || '条' AS article FROM u WHERE vec_id % 10 = 0),
+z AS (SELECT qid, min(rank) AS rank FROM asked a LEFT JOIN c ON c.query_id = a.qid AND c.article = a.article AND (contains(c.law_name, a.law_name) OR contains(a.law_name, c.law_name)) GROUP BY qid)
+SELECT round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_1, round(avg(CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_3, round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, count(*) AS num_queries FROM z""",
+        "q_judge": "SELECT round(avg(CASE WHEN lang = 'fr' THEN 0.5::DOUBLE ELSE greatest(0, least(1, (n_chars % 21)::DOUBLE / 10 - 0.5)) END), 6) AS llm_judge_score, count(*) AS num_samples FROM documents",
+        "q_dedup_counts": _DEDUP_COUNTS,
+        "q_mix_and_split": _MIX_SPLIT,
     }
