@@ -19,6 +19,7 @@ side by side, ordered by the hash of their text; one doc_id with very many rows
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_lengths, lean, ragged, split_words, text_groups, tidy
+from .common import byte_lengths, cut, lean, ragged, split_words, text_groups, tidy
 
 BLOCK_SCHEMA = "part int, chunk long, n_ids long, planes array<binary>, before long, docs_before long, opens boolean, doc_ids array<long>, doc_ends array<long>"
 INDEX_SCHEMA = "part int, chunk long, first_id long, n_ids long, plane_bytes array<int>, mode string"
@@ -65,6 +66,8 @@ def from_planes(planes: list[bytes], n: int, mode: str) -> np.ndarray:
 _PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*[!-&(-/:-@\\[-`{-~]*$"
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 _LONGEST = 64
+#: Different pieces whose ids an encoder keeps.
+KNOWN = 1 << 17
 
 
 def byte_letters() -> dict[int, str]:
@@ -101,16 +104,37 @@ class Encoder:
         plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges")) and norms == ["NFC", "Replace", "Lowercase"]
         self.plain = bool(self.by_word and known and level and plain)
         self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.places: dict[str, int] = {}
+        self.known = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, start, count) of different lowered pieces, by the library's model; none for an empty piece."""
+        """(ids, start, count) of different lowered pieces, by the library's model; none for an empty piece.
+
+        The first ``KNOWN`` different pieces that this encoder meets are kept, so they are looked up from then on.
+        """
+        texts = pieces.to_pylist()
+        at = np.fromiter(map(self.places.get, texts, itertools.repeat(-1)), np.int64, len(texts))
         tokenize, out, counts = self.model.tokenize, [], []
-        for p in pieces.to_pylist():
+        new = np.flatnonzero(at < 0)
+        for i in new.tolist():
+            p = texts[i]
             found = [t.id for t in tokenize(p if p.isascii() else p.translate(self.letters))]
             out += found
             counts.append(len(found))
-        n = np.array(counts, np.int64)
-        return np.array(out, np.uint32), np.cumsum(n) - n, n
+        ids, starts, n = self.known
+        own = np.array(counts, np.int64)
+        begin = len(ids) + np.cumsum(own) - own
+        ids = np.concatenate([ids, np.array(out, np.uint32)])
+        start, count = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+        start[new], count[new] = begin, own
+        old = np.flatnonzero(at >= 0)
+        start[old], count[old] = starts[at[old]], n[at[old]]
+        if len(new) and (room := KNOWN - len(self.places)) > 0:
+            kept = new[:room].tolist()
+            self.places.update(zip([texts[i] for i in kept], itertools.count(len(self.places))))
+            last = int(begin[len(kept) - 1] + own[len(kept) - 1])
+            self.known = (ids[:last].copy(), np.concatenate([starts, begin[: len(kept)]]), np.concatenate([n, own[: len(kept)]]))
+        return ids, start, count
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start, count) of different words."""
@@ -163,6 +187,17 @@ class Encoder:
         return ids[ragged(starts[codes], lengths)], np.diff(total[offsets])
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, as this process has it: workers serve many tasks, and reading the file takes as long as many texts."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _slices(raw: pa.Array, rows: np.ndarray, begin: np.ndarray) -> pa.Array:
     """The bytes from ``begin`` on of the given rows."""
     edges = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
@@ -172,10 +207,27 @@ def _slices(raw: pa.Array, rows: np.ndarray, begin: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _blocks(path: str, end_id: int, block_ids: int, mode: str, level: int):
+def _encoded(path: str, end_id: int, kind: str):
+    """doc_id, tie and the ids of each text with the end id, as little-endian integers of ``kind``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = encoder(path)
+        for batch in batches:
+            texts = batch.column("text")
+            for a, b in text_groups(byte_lengths(texts), 4 << 20):
+                ids, n = use.encode(texts.slice(a, b - a))
+                out = np.full(len(ids) + len(n), end_id, kind)
+                out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+                ends = np.concatenate([[0], np.cumsum(n + 1) * out.itemsize]).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(out.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("tie").slice(a, b - a), packed], names=["doc_id", "tie", "ids"])
+
+    return run
+
+
+def _blocks(kind: str, block_ids: int, mode: str, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = Encoder(path)
         held, held_n, docs, ends, chunk = [], 0, [], [], 0
         done, docs_done, last_end = 0, 0, 0  # ids and documents of the part in blocks so far, and where the last of these ended
 
@@ -189,15 +241,14 @@ def _blocks(path: str, end_id: int, block_ids: int, mode: str, level: int):
 
         end_of_part = 0
         for batch in batches:
-            texts, names = batch.column("text"), batch.column("doc_id").to_pylist()
-            for a, b in text_groups(byte_lengths(texts), 4 << 20):
-                ids, n = encoder.encode(texts.slice(a, b - a))
-                out = np.full(len(ids) + len(n), end_id, np.uint32)
-                out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+            names = batch.column("doc_id").to_pylist()
+            lengths = byte_lengths(batch.column("ids"))
+            for a, b in text_groups(lengths, 4 << 20):
+                out = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in batch.column("ids")[a:b]])
                 held.append(out)
                 held_n += len(out)
                 docs += names[a:b]
-                ends += (end_of_part + np.cumsum(n + 1)).tolist()
+                ends += (end_of_part + np.cumsum(lengths[a:b] // out.itemsize)).tolist()
                 end_of_part += len(out)
                 if held_n >= block_ids:
                     joined = np.concatenate(held)
@@ -218,8 +269,10 @@ _PIECES = pa.schema([("part", pa.int32()), ("ordinal", pa.int64()), ("doc_id", p
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, block_ids: int = 65_536, mode: str = "byte", level: int = 3) -> None:
     """Encodes ``docs`` (doc_id, text; other columns are ignored) into a store at ``path``.
 
-    One range exchange puts texts in doc_id order; encoding, transposing and compressing happen behind it, a block at a
-    time. A null text is the empty text and gives the end id alone. An empty table gives a store without blocks.
+    Texts are encoded where they are read and written as ids of two bytes (four, if the tokenizer has more). One range exchange puts
+    those in doc_id order, so no text is ever exchanged or sorted; transposing and compressing happen behind it, a block at a
+    time. A null text is the empty text and gives the end id alone. An empty table gives a store without blocks. ``tokenizer``
+    names a file that executors can read under that path.
     """
     if mode not in ("byte", "bit"):
         raise ValueError("mode is byte or bit")
@@ -227,8 +280,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
     lean(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    blocks = ordered.mapInArrow(tidy(_blocks(tokenizer, end_id, block_ids, mode, level)), BLOCK_SCHEMA)
+    from tokenizers import Tokenizer
+
+    most = max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) - 1, end_id)
+    kind = "<u2" if most < 1 << 16 else "<u4"
+    encoded = cut(rows.mapInArrow(tidy(_encoded(tokenizer, end_id, kind)), "doc_id long, tie long, ids binary"), "encoded-ids")
+    ordered = encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    blocks = ordered.mapInArrow(tidy(_blocks(kind, block_ids, mode, level)), BLOCK_SCHEMA)
     blocks.write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(f"{path}/blocks")
     written = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
     parts = written.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row a part: as many as the write had tasks
