@@ -343,6 +343,43 @@ def q_chunk_lengths(spark, d):
     return _chunks(spark, d).groupBy("article").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("content")).alias("longest"))
 
 
+def _chunk_lengths(size: int = 64, overlap: int = 8) -> str:
+    """Sections by headers (the documents hold no code fences), articles, then a level a separator: parts, and their packing row by row in
+    a recursive query."""
+    strip, marks = (lambda c: f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"), "第[一二三四五六七八九十百千万零\\p{Nd}]+条"
+    out = f"""WITH RECURSIVE t AS (SELECT doc_id, {_LAW} AS t FROM documents),
+    l AS (SELECT doc_id, unnest(list_transform(string_split(t, chr(10)), lambda x: {strip('x')})) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM t),
+    h AS (SELECT *, regexp_matches(line, '^#{{1,4}} ') AS head, count(*) FILTER (regexp_matches(line, '^#{{1,4}} ')) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM l),
+    s AS (SELECT doc_id, part, string_agg(line, '  ' || chr(10) ORDER BY i) AS content FROM h WHERE NOT head AND line <> '' GROUP BY doc_id, part),
+    a AS (SELECT unnest(string_split(regexp_replace(content, '({marks})', chr(1) || '\\1', 'g'), chr(1))) AS p FROM s),
+    c0 AS (SELECT row_number() OVER () AS id, {strip('p')} AS text, regexp_extract(p, '^({marks})', 1) AS article FROM a WHERE {strip('p')} <> ''),
+    d AS (SELECT article, text FROM c0 WHERE length(text) <= {size}),
+    t0 AS (SELECT id, article, text FROM c0 WHERE length(text) > {size})"""
+    done, last = ["SELECT * FROM d"], len(chunk.SEPARATORS) - 1
+    for k, mark in enumerate(chunk.SEPARATORS):
+        m = " || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in mark)
+        here = f"contains(text, {m})" if mark and k < last else "true"
+        first = f"string_split(text, {m})" if mark else "list_transform(range(1, length(text) + 1), lambda i: text[i])"
+        each = f"list_transform({first}, lambda x, i: CASE WHEN i = 1 THEN x ELSE {m} || x END)" if mark else first
+        out += f""",
+    x{k} AS (SELECT id, article, unnest({each}) AS p, generate_subscripts({first}, 1) AS i FROM t{k} WHERE {here}),
+    y{k} AS (SELECT *, count(*) FILTER (length(p) >= {size}) OVER (PARTITION BY id ORDER BY i) AS run FROM x{k} WHERE p <> ''),
+    z{k} AS (SELECT id, article, run, p, row_number() OVER (PARTITION BY id, run ORDER BY i) AS j, count(*) OVER (PARTITION BY id, run) AS n FROM y{k} WHERE length(p) < {size}),
+    r{k} AS (SELECT id, article, run, j, n, [p] AS win, length(p)::BIGINT AS total, NULL::VARCHAR AS text FROM z{k} WHERE j = 1
+      UNION ALL SELECT r.id, r.article, r.run, z.j, z.n, list_append(CASE WHEN ends THEN kept ELSE win END, z.p), coalesce(list_sum(list_transform(CASE WHEN ends THEN kept ELSE win END, lambda w: length(w))), 0)::BIGINT + length(z.p), CASE WHEN ends THEN {strip("array_to_string(win, '')")} END
+        FROM (SELECT r.*, z.p AS nxt, r.total + length(z.p) > {size} AS ends, win[list_min(list_filter(range(1, len(win) + 2), lambda b: coalesce(list_sum(list_transform(win[b:], lambda w: length(w))), 0) <= least({overlap}, {size} - length(z.p)))):] AS kept
+              FROM r{k} r JOIN z{k} z ON z.id = r.id AND z.run = r.run AND z.j = r.j + 1) r JOIN z{k} z ON z.id = r.id AND z.run = r.run AND z.j = r.j + 1)"""
+        done.append(f"SELECT article, text FROM r{k} WHERE text <> ''")
+        done.append(f"SELECT article, {strip(chr(34) + 'whole' + chr(34))} FROM (SELECT article, array_to_string(win, '') AS whole FROM r{k} WHERE j = n) WHERE {strip('whole')} <> ''")
+        if k < last:
+            rest = f"SELECT id, article, text FROM t{k} WHERE NOT {here} UNION ALL SELECT id, article, p FROM y{k} WHERE length(p) >= {size}"
+            out += f""",
+    t{k + 1} AS (SELECT row_number() OVER () AS id, article, text FROM ({rest}))"""
+        else:
+            done.append(f"SELECT article, p FROM y{k} WHERE length(p) >= {size}")
+    return out + f" SELECT article, count(*) AS n, max(length(text))::INT AS longest FROM ({' UNION ALL '.join(done)}) GROUP BY article"
+
+
 def q_chunks_per_law(spark, d):
     t = _table(spark, d, "documents").select(chunk.law_name(_law_text()).alias("law_name"), F.explode(chunk.articles(_law_text())).alias("a"))
     return chunk.chunks_per_law(t)
@@ -585,6 +622,7 @@ def oracle_sql() -> dict[str, str]:
         "q_split_random": _SPLIT.format(key="key", s="''", t="(SELECT DISTINCT l_orderkey * 100 + l_linenumber AS key FROM lineitem)") + " SELECT key, split FROM m",
         "q_article_split": _ARTICLES,
         "q_law_meta": f"WITH {law} SELECT doc_id, {_STRIP("regexp_extract(t, '(?m)^#" + _WS + "*(.+)$', 1)")} AS law_name, regexp_extract(substr(t, 1, 500), '(\\p{{Nd}}{{4}}年\\p{{Nd}}{{1,2}}月\\p{{Nd}}{{1,2}}日)', 1) AS effective_date FROM t",
+        "q_chunk_lengths": _chunk_lengths(),
         "q_chunks_per_law": f"WITH a AS ({_ARTICLES}) SELECT '法' || source AS law_name, count(*) AS n FROM a JOIN documents USING (doc_id) GROUP BY 1",
         "q_laws": "SELECT DISTINCT '法' || source AS law_name FROM documents",
         "q_citations": f"WITH {_SAMPLES} SELECT qid, law_name, article FROM pred",
