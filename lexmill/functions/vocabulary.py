@@ -94,7 +94,7 @@ MARKS = "，。！？；：'（）【】《》、,.!?;:"
 LATIN_ENTERTAINMENT = ("haus", "maison", "ento", "ation")
 LATIN_LOW_QUALITY = ("schen", "tionen")
 
-#: Of the mode without retrieval, and of samples without an answer.
+# The prompt of the mode without retrieval, and the texts of samples without an answer.
 PLAIN_PROMPT = "你是一个专业的法律咨询助手。请根据你的知识回答问题。本回答仅供参考，不构成正式法律意见。"
 NO_MODEL, FAILED = "(无模型可用)", "(错误: {})"
 

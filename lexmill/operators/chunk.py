@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vocabulary as V
 
+# The form of an article number, the headers' levels, and the separators in their order.
 ARTICLE = rf"第[{V.NUMERALS}]+条"
 LEVELS = (("# ", "law_name"), ("## ", "chapter"), ("### ", "section"), ("#### ", "subsection"))
 SEPARATORS = ("\n\n", "\n", "。", "；", "，", " ", "")

@@ -38,12 +38,13 @@ def _replied(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("answer", F.when(F.col("error").isNotNull(), F.concat(F.lit(V.FAILED.split("{}")[0]), "error", F.lit(V.FAILED.split("{}")[1]))).otherwise(F.col("answer"))).drop(name)
 
 
-def run(name: str, samples: DataFrame, service: Service | None = None, generate: Callable[[Column], Column] | None = None, k: int = 5, judged: str | None = None) -> tuple[dict, DataFrame]:
+def run(name: str, samples: DataFrame, service: Service | None = None, generate: Callable[[Column], Column] | None = None, k: int = 5, judged: str | None = None, model_name: str = "") -> tuple[dict, DataFrame]:
     """(report, answers by qid) of an experiment: every sample is answered, then all are assessed.
 
     With a ``service`` answers come from retrieval; without, from ``generate`` (a column of messages to one of texts or of structs
     (answer, error)) under a prompt of its own; without either, each answer says that no model is there. A sample that fails gets
-    a placeholder and a row in the report's ``errors``.
+    a placeholder and a row in the report's ``errors``. The report's ``config`` says how it was run; an experiment whose name has
+    'sft' ran a tuned model.
     """
     if service is not None:
         answers = service.answer(samples.select(F.col("qid").alias("query_id"), "question"), k).withColumnRenamed("query_id", "qid").withColumn("error", F.lit(None).cast("string"))
@@ -55,5 +56,6 @@ def run(name: str, samples: DataFrame, service: Service | None = None, generate:
         answers = _replied(samples.select("qid", "question", reply.alias("_reply")), "_reply").withColumns({"citations": F.array().cast(none[0]), "retrieved_docs": F.array().cast(none[1])})
     answers = cut(answers, "answers")
     report = assess(name, samples, answers.drop("error"), judged)
+    report["config"] = {"use_rag": "rag" in name, "is_sft": "sft" in name, "model_name": model_name, "top_k": k, "num_samples": report["num_samples"]}
     report["errors"] = [r.asDict() for r in answers.where(F.col("error").isNotNull()).orderBy("qid").select("question", "error").collect()]  # of an evaluation set
     return report, answers

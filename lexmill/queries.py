@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import vocabulary as V
-from .operators import cells, chunk, clean, components, dedup, evaluate, report, retrieve, sample, split, vectors
+from .operators import cells, chunk, clean, components, dedup, evaluate, linking, report, retrieve, sample, split, vectors
 from .sources import json_array
 from .storage import staging_path
 
@@ -438,6 +438,15 @@ def q_correct(spark, d):
     return evaluate.matched(_rows(s, X.citations("answer")), _rows(s, F.col("truth"))).select("qid", "law_name", "article")
 
 
+def q_linked_laws(spark, d):
+    """The citations in all documents' laws, and the entries of a catalogue of sources that each means."""
+    docs = _table(spark, d, "documents")
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("法"), F.col("source"))).when(F.col("doc_id") % 3 == 1, F.col("source")).otherwise(F.concat(F.lit("新法"), F.col("source"), F.lit("典")))
+    entries = docs.select(name.alias("law_name"), F.concat(F.lit("第"), (F.col("doc_id") % 11 + 1).cast("string"), F.lit("条")).alias("article"))
+    cited = linking.cited_in(docs.select("doc_id", _law_text().alias("t")), "t", "doc_id")
+    return linking.linked(cited, entries).select("doc_id", "law_name", "article", "entry_law")
+
+
 def _answers(spark, d):
     """Benchmark items as truths, with answers from documents: the item itself for every second, else the document of that number."""
     b, docs = _table(spark, d, "benchmark"), _table(spark, d, "documents").select("doc_id", F.col("text").alias("other"), "lang")
@@ -640,6 +649,9 @@ m AS (SELECT avg(hp / np) AS p, avg(CASE WHEN hp > 0 THEN 1.0::DOUBLE ELSE 0 END
         "q_prompt": f"WITH {_RES}, x AS (SELECT query_id, {_CTX} AS ctx FROM c GROUP BY query_id) SELECT query_id, md5('用户问题：问题' || chr(10) || chr(10) || '检索到的相关法律条文：' || chr(10) || chr(10) || ctx || chr(10) || chr(10) || '{V.USER_PROMPT[2].strip()}') AS user_md5, 2::INT AS messages FROM x",
         "q_answer": _ANSWER,
         "q_compare": _COMPARE,
+        "q_linked_laws": f"""WITH {law}, c AS (SELECT DISTINCT doc_id, regexp_extract(x, '《([^》]+)》', 1) AS law_name, regexp_extract(x, '》(.*)$', 1) AS article FROM (SELECT doc_id, unnest(regexp_extract_all(t, '《[^》]+》第[一二三四五六七八九十百千万零\\p{{Nd}}]+条')) AS x FROM t)),
+e AS (SELECT DISTINCT CASE doc_id % 3 WHEN 0 THEN '法' || source WHEN 1 THEN source ELSE '新法' || source || '典' END AS law_name, '第' || (doc_id % 11 + 1) || '条' AS article FROM documents)
+SELECT doc_id, c.law_name, c.article, e.law_name AS entry_law FROM c JOIN e ON c.article = e.article AND (contains(c.law_name, e.law_name) OR contains(e.law_name, c.law_name))""",
         "q_missing_field": f"WITH {_CLASSIFIED} SELECT pos, CASE WHEN length(output) % 7 = 0 THEN 'missing_field' ELSE coalesce(reason, 'kept') END AS reason FROM classified JOIN pairs USING (pos)",
         "q_reason_totals": f"WITH {_CLASSIFIED}, g AS ({_CLEAN_DOCS}) SELECT reason, sum(n)::BIGINT AS n FROM (SELECT reason, count(*) AS n FROM classified GROUP BY reason UNION ALL FROM g) WHERE reason <> 'kept' GROUP BY reason",
         "q_shown_results": f"WITH {_RES} SELECT query_id, rank::INT AS rank, round(s, 4) AS score, law_name, article, chapter, content FROM c",

@@ -103,6 +103,7 @@ def test_experiment_without_retrieval(spark):
     s = files.built_in_eval(spark)
     r, answers = assess.run("base", s)
     assert {a["answer"] for a in answers.collect()} == {V.NO_MODEL} and r["errors"] == [] and "retrieval" not in r
+    assert r["config"] == {"use_rag": False, "is_sft": False, "model_name": "", "top_k": 5, "num_samples": 10}
     fails = lambda m: F.struct(F.concat(F.lit("答"), m[1]["content"]).alias("answer"), F.when(m[1]["content"].contains("GDP"), "kaputt").alias("error"))
     r, answers = assess.run("base", s, generate=fails)
     assert [(e["question"][-3:], e["error"]) for e in r["errors"]] == [("多少？", "kaputt")]
