@@ -422,35 +422,28 @@ def near_passages(grid: np.ndarray, pairs: np.ndarray, model: Model, min_cosine:
             yield i, left[some[r]], q, dot[r, q] / size[some[r]]
 
 
-def counts_table(model: Model) -> np.ndarray:
-    """How often each passage holds each column."""
-    out = np.zeros((len(model.words), COLUMNS + 1), np.uint8)
-    for k, words in enumerate(model.words):
-        own, n = np.unique(columns_of(words), return_counts=True)
-        out[k, own] = n
-    return out
-
-
-def at_most_shared(grid: np.ndarray, doc: np.ndarray, windows: np.ndarray, passages: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """An upper bound of the longest common subsequence of each window, with the blocks beside it, and its passage."""
-    out = np.zeros(len(windows), np.int64)
-    for i in range(0, len(windows), 4_096):
-        w = windows[i : i + 4_096]
-        near = []
-        for step in (-1, 0, 1, 2):
-            at = np.clip(w + step, 0, len(grid) - 1)
-            near.append(np.where((doc[at] == doc[w])[:, None], grid[at], COLUMNS))
-        near = np.sort(np.concatenate(near, axis=1), axis=1)
-        near[:, 1:][near[:, 1:] == near[:, :-1]] = COLUMNS
-        out[i : i + 4_096] = table[passages[i : i + 4_096, None], near].sum(axis=1)
-    return out
+def at_most_shared(numbers: np.ndarray, offsets: np.ndarray, starts: np.ndarray, doc: np.ndarray, windows: np.ndarray, passages: np.ndarray, places: Places) -> np.ndarray:
+    """An upper bound of the longest common subsequence of each window, with the blocks beside it, and its passage: how many of
+    the passage's places hold a term that is there. A block and passage that several windows ask for are looked up once."""
+    width, steps = np.int64(len(places.masks)), (-1, 0, 1, 2)
+    at = [np.clip(windows + k, 0, len(doc) - 1) for k in steps]
+    asked, number = np.unique(np.concatenate([np.where(doc[x] == doc[windows], x * width + passages, -1) for x in at]), return_inverse=True)
+    covered = np.zeros(len(asked), np.uint64)
+    for i in range(int(np.searchsorted(asked, 0)), len(asked), 8_192):
+        block, q = np.divmod(asked[i : i + 8_192], width)
+        begin = offsets[doc[block]] + (block - starts[doc[block]]) * BLOCK
+        word = begin[:, None] + np.arange(BLOCK)
+        term = np.where(word < offsets[doc[block] + 1][:, None], numbers.take(word, mode="clip"), len(places.terms))
+        local = places.local.ravel().take(q[:, None] * places.local.shape[1] + term)
+        covered[i : i + 8_192] = np.bitwise_or.reduce(places.masks.ravel().take(q[:, None] * places.masks.shape[1] + local), axis=1)
+    return np.bitwise_count(np.bitwise_or.reduce(covered[number].reshape(len(steps), -1), axis=0)).astype(np.int64)
 
 
 def _search(sent, limits: tuple[float, float, float, float, float]):
     min_cosine, min_reach, min_lcs, min_paraphrase, min_answer = limits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = [(m, counts_table(m), places_of(m.words), np.array([len(w) for w in m.words])) for m in sent.value]
+        sides = [(m, places_of(m.words), np.array([len(w) for w in m.words]), [frozenset(a.tolist()) for a in m.answers]) for m in sent.value]
         for batch in batches:
             texts, ids = batch.column("text"), batch.column("doc_id")
             for a, b in text_groups(byte_lengths(texts)):
@@ -461,18 +454,18 @@ def _search(sent, limits: tuple[float, float, float, float, float]):
                 doc = np.searchsorted(starts, np.arange(len(grid)), side="right") - 1
                 pairs = np.concatenate([doc[1:] == doc[:-1], [False]])
                 best: dict[tuple[int, int], tuple] = {}
-                for own, table, places, size in sides:
+                for own, places, size, replies in sides:
                     numbers = term_numbers(hashes, places)[codes]
                     for first, blocks, passages, cosines in near_passages(grid, pairs, own, min_cosine, min_reach):
-                        fair = at_most_shared(grid, doc, first + blocks, passages, table) >= min_paraphrase * size[passages]
+                        fair = at_most_shared(numbers, offsets, starts, doc, first + blocks, passages, places) >= min_paraphrase * size[passages]
                         w, q, cosines = (first + blocks)[fair], passages[fair], cosines[fair]
                         d = doc[w]
                         begin = offsets[d] + (w - starts[d]) * BLOCK
                         near = np.maximum(offsets[d], begin - BLOCK), np.minimum(offsets[d + 1], begin + 3 * BLOCK)
                         share = lcs_many(numbers, *near, q, places) / size[q]
                         for k in np.flatnonzero(share >= min_paraphrase).tolist():
-                            answers = own.answers[q[k]]
-                            reply = np.isin(answers, hashes[codes[near[0][k] : near[1][k]]]).mean() if len(answers) else 0.0
+                            answers = replies[q[k]]
+                            reply = len(answers.intersection(hashes[codes[near[0][k] : near[1][k]]].tolist())) / len(answers) if answers else 0.0
                             if share[k] >= min_lcs or reply >= min_answer:
                                 key = (int(d[k]), int(own.items[q[k]]))
                                 found = (float(share[k]), float(cosines[k]), float(reply), int(begin[k] - offsets[d[k]]))
