@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_lengths, cut, lean, text_groups, tidy
+from .common import byte_lengths, cut, fresh_names, lean, text_groups, tidy
 
 WINDOW, SHIFT, MIN, MAX = 8, 4, 10, 256
 STRONG, WEAK = 27, 28  # a place is an end if H >> STRONG == 0, in a long stretch already if H >> WEAK == 0
@@ -127,15 +127,20 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 64, within: bool = True) ->
 
 
 def drop_repeats(docs: DataFrame, min_bytes: int = 64) -> DataFrame:
-    """``docs`` with every chunk of a repeated span taken out of ``text`` but for its first occurrence."""
-    cuts = repeated_spans(docs, min_bytes).groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("repeats"))).alias("cuts"))
-    joined = docs.join(cuts, "doc_id", "left")
+    """``docs`` with every chunk of a repeated span taken out of ``text`` but for its first occurrence.
+
+    All rows and columns stay, whatever the other columns' names. Null and empty texts and rows with a null doc_id stay as they are;
+    rows that repeat a doc_id lose the same places; an empty table stays empty.
+    """
+    own, name = fresh_names(docs, 2)
+    cuts = repeated_spans(docs, min_bytes).groupBy(F.col("doc_id").alias(own)).agg(F.sort_array(F.flatten(F.collect_list("repeats"))).alias(name))
+    joined = docs.join(cuts, F.col("doc_id").cast("long") == F.col(own), "left")
     fields = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist()):
                 if text and spans:
                     raw, keep, at = text.encode(), [], 0
                     for s in spans:
@@ -145,4 +150,4 @@ def drop_repeats(docs: DataFrame, min_bytes: int = 64) -> DataFrame:
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if f == "text" else batch.column(f) for f in fields], names=fields)
 
-    return joined.select(*fields, "cuts").mapInArrow(run, docs.schema)
+    return joined.select(*fields, name).mapInArrow(run, docs.schema)

@@ -75,6 +75,11 @@ def test_chunk_dedup(docs, empty):
     assert chunk_dedup.repeated_spans(empty).count() == 0
     kept = chunk_dedup.drop_repeats(docs)
     assert kept.count() == len(ROWS) and kept.columns == docs.columns
+    clash = docs.withColumns({"cuts": F.lit(7), "begin": F.lit("b"), "_lx0": F.lit(1)})
+    rows = chunk_dedup.drop_repeats(clash).collect()
+    assert len(rows) == len(ROWS) and all(r["cuts"] == 7 and r["begin"] == "b" and r["_lx0"] == 1 for r in rows)
+    assert {r["text"] for r in rows if r["doc_id"] in (None, 2, 3)} == {None, "", "nameless text of six words here"}
+    assert chunk_dedup.drop_repeats(empty).collect() == []
 
 
 def test_bloom_lm(docs, empty):

@@ -60,3 +60,19 @@ def test_written_tables_return_the_drivers_freed_memory(spark):
     cut(spark.range(1), "after")
     assert resident() < before - 60, "the driver keeps what it has freed"
     assert len(few) == 20
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls, empty texts, repeated rows and columns with clashing names, and a table without rows, through every stage."""
+    rows = [(1, "a few words that stand here for a text", "en", "s1", 3), (1, "a few words that stand here for a text", "en", "s1", 3), (2, None, None, None, None), (3, "", "en", None, 1), (None, "a text without a name, of some words", "en", "s2", 1)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    odd = odd.withColumns({c: F.lit(1) for c in ("score", "size", "target", "rate", "copies", "component_id", "kept", "item_id", "begin", "_lx0", "tie", "ids")})
+    for table in (odd, odd.where("false")):
+        n = table.count()
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = cut(stage(spark, table, SF), "odd")
+            if k < 4:
+                assert out.columns == table.columns
+                assert out.count() <= 2 * n
+            else:
+                assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == n
