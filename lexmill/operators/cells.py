@@ -35,6 +35,10 @@ MOST_PIVOTS, PIVOT_BYTES = 1_024, 32 << 20
 _PACKS = "cell int, pack int, n int, ids binary, rows binary"
 
 
+def _pack_size(d: int) -> int:
+    return max(1, min(PACK, PACK_BYTES // (8 * d)))
+
+
 def _small_batches(spark: SparkSession) -> None:
     """Few packs at once in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
@@ -86,7 +90,7 @@ def assigned(rows: DataFrame, p: np.ndarray) -> DataFrame:
 
 def parts_of(dealt: DataFrame, d: int) -> DataFrame:
     """_cell, parts: the packs that each cell's rows need, a row a cell."""
-    size = max(1, min(PACK, PACK_BYTES // (8 * d)))
+    size = _pack_size(d)
     return dealt.groupBy(F.col("cell").alias("_cell")).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("parts"))
 
 
@@ -99,7 +103,7 @@ def clustered(dealt: DataFrame, parts: DataFrame) -> DataFrame:
 
 def packed(rows: DataFrame, d: int) -> DataFrame:
     """The rows of ``clustered`` in packs, as a narrow step: rows of a part that stand together, up to a pack's size."""
-    size = max(1, min(PACK, PACK_BYTES // (8 * d)))
+    size = _pack_size(d)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, xs = None, [], []
@@ -210,19 +214,22 @@ def similar(df: DataFrame, id_col: str, vector: str, threshold: float, k: int |
     spark = df.sparkSession
     _small_batches(spark)
     rows = cut(unit_rows(df, id_col, vector), "cell-rows")
-    n, first = rows.count(), rows.first()
-    none = spark.createDataFrame([], "query_id long, id long, score double")
-    if first is None:
-        return Join(none, spark.sql("SELECT 0L AS tested"))
-    d = len(first["v"])
+    n, d = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    if not n:
+        return Join(spark.createDataFrame([], "query_id long, id long, score double"), spark.sql("SELECT 0L AS tested"))
     p = pivots(rows, how_many(n, d) if n_pivots is None else n_pivots)
-    dealt = cut(assigned(rows, p).drop("near"), "cell-rows")
-    parts = cut(parts_of(dealt, d), "cell-parts")
-    packs = packed(cut(clustered(dealt, parts), "cell-clusters"), d)
-    count, angle, least = _bounds(packs, p)
-    n_parts = np.zeros(len(p), np.int64)
-    for r in parts.collect():  # a row a cell
-        n_parts[r["_cell"]] = r["parts"]
+    if len(p) == 1:  # one cell has no bounds to know
+        dealt, n_parts = rows.withColumn("cell", F.lit(0)), np.array([-(-n // _pack_size(d))])
+        parts = spark.createDataFrame([(0, int(n_parts[0]))], "_cell int, parts int")
+        packs, count, angle, least = packed(clustered(dealt, parts), d), np.array([n]), np.array([np.pi]), np.zeros((1, 1))
+    else:
+        dealt = cut(assigned(rows, p).drop("near"), "cell-rows")
+        parts = cut(parts_of(dealt, d), "cell-parts")
+        packs = packed(cut(clustered(dealt, parts), "cell-clusters"), d)
+        count, angle, least = _bounds(packs, p)
+        n_parts = np.zeros(len(p), np.int64)
+        for r in parts.collect():  # a row a cell
+            n_parts[r["_cell"]] = r["parts"]
     far = np.sqrt(max(2 - 2 * threshold, 0.0)) * np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0.0)) + 1e-9
     # cell p sends to cell q, each pair of cells one way: both by turns, so that none sends or gets all
     number = np.arange(len(p))
@@ -356,7 +363,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, query_id:
         return run
 
     def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = max(1, min(PACK, PACK_BYTES // (8 * d)))
+        size = _pack_size(d)
         for b in batches:
             cell, ids, x = np.asarray(b.column(0)), np.asarray(b.column(1)), _matrix(b.column(2), d)
             for c in np.unique(cell):
