@@ -40,8 +40,11 @@ def _pack_size(d: int) -> int:
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Few packs at once in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    """Few packs at once in a Python worker: a session with smaller batches keeps them."""
+    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20
+    now = spark.conf.get(name).rstrip("bB")
+    if not (now.isdigit() and 0 < int(now) <= most):
+        spark.conf.set(name, str(most))
 
 
 def unit_rows(df: DataFrame, id_col: str, vector: str) -> DataFrame:
