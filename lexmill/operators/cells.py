@@ -4,15 +4,16 @@ A row belongs to the cell of the pivot nearest to it (ties: the smaller number).
 the id; nothing else of the vectors reaches the driver. Rows travel in packs: one row of a table with the ids and the matrix of up
 to ``PACK`` rows, so an exchange moves few, bounded rows and a pair of packs is one matrix product.
 
-The join at a threshold t sends a row x of cell p to cell q unless a bound shows that no member is within it. For unit vectors
+In the join at a threshold t a row x of cell p meets cell q unless a bound shows that no member is within it. For unit vectors
 with x * y >= t, |x - y| <= sqrt(2 - 2t), and the angle between them is at most arccos t. So both of these must hold for some
 member y of q:
 
 * (x - y) * (p - q) <= sqrt(2 - 2t) |p - q|, where the least y * q - y * p of q's members stands for y's part,
 * angle(x, q) - angle(y, q) <= arccos t, where the largest angle of q's members stands for y's.
 
-Each pair of cells is joined in one direction. A cell of many rows is many packs, each joined by itself, so no task gets a whole
-cell; of each row and pair of packs only the best ``k`` stay, so a group of near copies doesn't send all its pairs.
+Cells' packs form a fixed number of groups, and each pair of groups is a task, where each pair of packs meets once, without the rows
+that the bounds rule out. A cell of many rows is many packs, so no task gets a whole cell; of each row and task only the
+best ``k`` stay, so a group of near copies doesn't send all its pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,12 @@ from . import vectors
 PACK, PACK_BYTES = 2_048, 1 << 20
 #: Pivots, and bytes of all pivots and of a cell's bounds, at most.
 MOST_PIVOTS, PIVOT_BYTES = 1_024, 32 << 20
+#: Groups that packs form (more only where a group would have more bytes, or more links of its rows' best).
+GROUPS, GROUP_BYTES, GROUP_LINKS = 12, 48 << 20, 4_000_000
+#: Rows of a pack that are multiplied at once, pairs multiplied again in double precision at once, links in a batch.
+SLICE, PAIRS, LINKS = 256, 1 << 16, 1 << 17
+#: Links beyond its rows' best that a side keeps before it drops those that are not.
+MORE_LINKS = 1_000_000
 _PACKS = "cell int, pack int, n int, ids binary, rows binary"
 
 
@@ -174,46 +182,213 @@ class Join:
 
 
 _LINKS = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+_FOUND = "query_id long, id long, score double, tested long"
 
 
-def _best(names: np.ndarray, others: np.ndarray, s: np.ndarray, threshold: float, k: int | None) -> pa.RecordBatch:
-    """Of each row of ``s`` the ``k`` best columns at or above the threshold, with all that tie with the last."""
-    s = np.round(s, 12)
-    limit = np.full((len(s), 1), threshold)
+def _links(own: np.ndarray, other: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(own), pa.array(other), pa.array(score), pa.nulls(len(own), pa.int64())], names=["query_id", "id", "score", "tested"])
+
+
+def _top(s: np.ndarray, own: np.ndarray, other: np.ndarray, k: int | None, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each row's ``k`` best scores from its limit on, but not of its own id; columns go by id, and of ties the first stay."""
+    s = np.where(own[:, None] == other[None], -np.inf, s)
+    mask = (s >= limit[:, None]) & (s > -np.inf)
     if k is not None and k < s.shape[1]:
-        limit = np.maximum(limit, -np.partition(-s, k - 1, axis=1)[:, k - 1 : k])
-    r, c = np.nonzero((s >= limit) & (names[:, None] != others[None]))
-    return pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(others[c]), pa.array(s[r, c])], schema=_LINKS)
+        kth = np.partition(s, -k, axis=1)[:, -k][:, None]
+        over, tie = s > kth, s == kth
+        mask &= over | (tie & (np.cumsum(tie, axis=1) <= k - over.sum(1, keepdims=True)))
+    return np.nonzero(mask)
 
 
-def _multiplied(d: int, threshold: float, k: int | None):
-    """Links of pairs of packs, both ways, and a row without a link a pair that says how many products it took."""
+class _Rows:
+    """Unit rows of one side with the finds of each so far; without ``k`` finds are given out as they come.
+
+    ``limit`` is what a find of each row must reach: the threshold, or the k-th score found so far.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, limit: np.ndarray, k: int | None):
+        self.ids, self.x, self.small, self.limit, self.k = ids, x, x.astype(np.float32), limit, k
+        self.found: list[tuple] = []
+        self.n = 0
+
+    def add(self, row: np.ndarray, other: np.ndarray, score: np.ndarray) -> None:
+        good = (score >= self.limit[row]) & (self.ids[row] != other)
+        if good.any():
+            self.found.append((row[good], other[good], score[good]))
+            self.n += len(self.found[-1][0])
+            if self.k is not None and self.n > self.k * len(self.ids) + MORE_LINKS:
+                self.settle()
+
+    def settle(self) -> None:
+        """Keeps the best ``k`` of each row (ties: the smaller ids), and raises the limits to them."""
+        if self.k is None or not self.found:
+            return
+        row, other, score = (np.concatenate(c) for c in zip(*self.found))
+        order = np.lexsort((other, -score, row))
+        row, other, score = row[order], other[order], score[order]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        rank = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+        last = rank == self.k - 1
+        self.limit[row[last]] = np.maximum(self.limit[row[last]], score[last])
+        kept = rank < self.k
+        self.found, self.n = [(row[kept], other[kept], score[kept])], int(kept.sum())
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        self.settle()
+        for row, other, score in self.found:
+            for i in range(0, len(row), LINKS):
+                yield _links(self.ids[row[i : i + LINKS]], other[i : i + LINKS], score[i : i + LINKS])
+        self.found, self.n = [], 0
+
+
+def _meet(a: _Rows, b: _Rows, at: np.ndarray | None, to: np.ndarray | None, same: bool) -> None:
+    """The finds of rows ``at`` of ``a`` and rows ``to`` of ``b`` (None: all), for both sides; ``same``: both are one, for one side.
+
+    Products in single precision say which pairs can reach a limit, as their error has a bound; those pairs are then multiplied in
+    double precision. Where many can, the whole product is.
+    """
+    d = a.x.shape[1]
+    slack = (d + 8) * 2.0**-23 + 1e-6
+    at = np.arange(len(a.ids)) if at is None else at
+    to = np.arange(len(b.ids)) if to is None else to
+    y, y_small = (b.x, b.small) if len(to) == len(b.ids) else (b.x[to], b.small[to])
+    for s0 in range(0, len(at), SLICE):
+        own = at[s0 : s0 + SLICE]
+        x, x_small = (a.x[own[0] : own[-1] + 1], a.small[own[0] : own[-1] + 1]) if own[-1] - own[0] + 1 == len(own) else (a.x[own], a.small[own])
+        s = x_small @ y_small.T
+        low, low_b = a.limit[own], b.limit[to]
+        if same or (low.min() == low.max() and low_b.min() >= low.max()):
+            mask = s >= (low - slack).astype(np.float32)[:, None]
+        elif low_b.min() == low_b.max() and low.min() >= low_b.max():
+            mask = s >= np.float32(low_b[0] - slack)
+        else:
+            mask = (s >= (low - slack).astype(np.float32)[:, None]) | (s >= (low_b - slack).astype(np.float32)[None])
+        hits = np.flatnonzero(mask)
+        if not len(hits):
+            continue
+        if 8 * len(hits) > s.size:
+            s = np.round(np.einsum("id,jd->ij", x, y), 12) + 0.0  # sums up as below, so equal rows tie either way
+            r, c = _top(s, a.ids[own], b.ids[to], a.k, low)
+            a.add(own[r], b.ids[to[c]], s[r, c])
+            if not same:
+                c, r = _top(s.T, b.ids[to], a.ids[own], b.k, low_b)
+                b.add(to[c], a.ids[own[r]], s[r, c])
+            continue
+        for i in range(0, len(hits), PAIRS):
+            r, c = np.divmod(hits[i : i + PAIRS], len(to))
+            score = np.round(np.einsum("ij,ij->i", x[r], y[c]), 12) + 0.0
+            a.add(own[r], b.ids[to[c]], score)
+            if not same:
+                b.add(to[c], a.ids[own[r]], score)
+
+
+def _joined(d: int, threshold: float | None, k: int | None, both: bool, sent):
+    """Links of the packs of a task, which come in order of (task, side): side 0 is held, then each pack of side 1 meets it; the packs
+    of side 2 meet each other. Behind each pack, a row without a link says how many products it took."""
+
+    def near(a: _Rows, p: int, q: int) -> np.ndarray | None:
+        pivots, least, far, angle, most = sent.value
+        s = a.x @ pivots[[p, q]].T
+        ok = (s[:, 0] - s[:, 1] + least[q, p] <= far[p, q]) & (np.arccos(np.clip(s[:, 1], -1, 1)) - angle[q] <= most)
+        return None if ok.all() else np.flatnonzero(ok)
+
+    def pair(a: _Rows, p: int, b: _Rows, q: int) -> int:
+        at, to = (None, None) if p == q or sent is None else (near(a, p, q), near(b, q, p))
+        n, m = len(a.ids) if at is None else len(at), len(b.ids) if to is None else len(to)
+        if n and m:
+            _meet(a, b, at, to, a is b)
+        return n * m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for same, ids, rows, other_ids, other_rows, m, n in zip(b.column(0).to_pylist(), *[b.column(i) for i in range(1, 5)], b.column(5).to_pylist(), b.column(6).to_pylist()):
-                a, c = (np.frombuffer(x.as_buffer(), np.int64) for x in (ids, other_ids))
-                s = _floats(rows.as_buffer(), d) @ _floats(other_rows.as_buffer(), d).T
-                # one more than asked for, as a row may meet itself
-                found = [_best(a, c, s, threshold, k and k + 1)]
-                if not same:
-                    found.append(_best(c, a, s.T, threshold, k and k + 1))
-                for links in found:
-                    yield links.append_column("tested", pa.nulls(links.num_rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.array([m * n], pa.int64())], names=["query_id", "id", "score", "tested"])
+        task, held = None, []
+        for batch in batches:
+            for now, side, cell, *blobs in zip(*[batch.column(i).to_pylist() for i in range(3)], *[batch.column(i) for i in range(3, 6)]):
+                if now != task:
+                    for rows, _ in held:
+                        yield from rows.out()
+                    task, held = now, []
+                ids, x = np.frombuffer(blobs[0].as_buffer(), np.int64), _floats(blobs[1].as_buffer(), d)
+                limit = np.full(len(ids), threshold) if threshold is not None else np.frombuffer(blobs[2].as_buffer(), np.float64)
+                order = np.argsort(ids, kind="stable")
+                rows = _Rows(ids[order], x[order], limit[order], k)
+                tested = pair(rows, cell, rows, cell) if side == 2 else 0
+                if side:
+                    for other, of in held:
+                        tested += pair(other, of, rows, cell)
+                        if k is None:  # given out at once, one way or both
+                            for links in other.out():
+                                yield from _one_way(links, both)
+                            for links in rows.out():
+                                yield from _one_way(links, both)
+                    if k is None:
+                        for links in rows.out():
+                            yield from _one_way(links, both)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.array([tested], pa.int64())], names=["query_id", "id", "score", "tested"])
+                if side == 1:
+                    yield from rows.out()
+                else:
+                    held.append((rows, cell))
+        for rows, _ in held:
+            yield from rows.out()
 
     return run
 
 
-def similar(df: DataFrame, id_col: str, vector: str, threshold: float, k: int | None = None, n_pivots: int | None = None) -> Join:
+def _one_way(links: pa.RecordBatch, both: bool) -> Iterator[pa.RecordBatch]:
+    yield links if both else links.filter(pc.less(links.column(0), links.column(1)))
+
+
+def _routes(units: list[tuple[int, int]], rows: np.ndarray, d: int, k: int | None, may: np.ndarray | None) -> tuple[int, list[tuple]]:
+    """(number of groups, the (task, side) that each pack is sent to)."""
+    n = int(rows.sum())
+    groups = max(GROUPS, -(-n * d * 8 // GROUP_BYTES), -(-n * k // GROUP_LINKS) if k else 1)
+    groups = min(groups, len(units))
+    group = np.minimum((np.cumsum(rows) - rows) * groups // max(n, 1), groups - 1).astype(int)
+    reach = np.ones((1 + max(c for c, _ in units), groups), bool)
+    if may is not None:
+        inside = np.zeros((len(may), groups), np.int64)
+        inside[[c for c, _ in units], group] = 1
+        reach = may.astype(np.int64) @ inside > 0
+    routes = []
+    for (cell, pack), g in zip(units, group.tolist()):
+        others = [h for h in range(groups) if h == g or reach[cell, h]]
+        routes.append((cell, pack, [(min(g, h) * groups + max(g, h), 2 if h == g else int(g > h)) for h in others]))
+    return groups, routes
+
+
+def _in_groups(packs: DataFrame, units: list[tuple[int, int]], rows: np.ndarray, d: int, threshold: float | None, k: int | None, both: bool, may: np.ndarray | None, sent) -> DataFrame:
+    """query_id, id, score, tested of all pairs of packs. ``units``: the (cell, pack) there are, with about ``rows`` rows each.
+
+    Packs form groups of about equal size, and each pair of groups is a task, so a pack is sent once a group and not once a cell.
+    Their number is fixed, however many rows there are, up to what a task may hold. Packs are sent to those groups
+    alone that hold a cell which their own may have links with (``may``).
+    """
+    spark = packs.sparkSession
+    groups, routes = _routes(units, rows, d, k, may)
+    routed = spark.createDataFrame(routes, "_cell int, _pack int, sent array<struct<task:int,side:int>>")  # a row a pack
+    copies = packs.join(F.broadcast(routed), (F.col("cell") == F.col("_cell")) & (F.col("pack") == F.col("_pack")))
+    copies = copies.select(F.explode("sent").alias("s"), "cell", "ids", "rows", "floor").select("s.task", "s.side", "cell", "ids", "rows", "floor")
+    met = copies.repartition(max(4, 2 * groups * (groups + 1)), "task").sortWithinPartitions("task", "side", "cell")
+    return cut(met.mapInArrow(_joined(d, threshold, k, both, sent), _FOUND), "cell-links")
+
+
+def _of_each(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def similar(df: DataFrame, id_col: str, vector: str, threshold: float, k: int | None = None, n_pivots: int | None = None, both: bool = True) -> Join:
     """All pairs of rows with a cosine of ``threshold`` or more, in both directions; with ``k``, each row's best ``k`` of them.
 
     Exact; scores are rounded to 12 places and equal ones go to the smaller id. ``threshold`` must be above 0. Rows without a
     usable vector, zero vectors and null ids take no part; an empty table has no links. Rows that repeat an id are linked like
-    others, but never to their own id. What is multiplied is all pairs in the worst case; ``tested`` says how many were.
+    others, but never to their own id. What is multiplied is each pair once in the worst case; ``tested`` says how many were.
+    Without ``both`` (and ``k``) a pair is a link of the smaller id to the larger alone.
     """
     if not threshold > 0:
         raise ValueError("the threshold must be above 0")
+    if k is not None and not both:
+        raise ValueError("each row's best links have both directions")
     spark = df.sparkSession
     _small_batches(spark)
     rows = cut(unit_rows(df, id_col, vector), "cell-rows")
@@ -221,59 +396,73 @@ def similar(df: DataFrame, id_col: str, vector: str, threshold: float, k: int |
     if not n:
         return Join(spark.createDataFrame([], "query_id long, id long, score double"), spark.sql("SELECT 0L AS tested"))
     p = pivots(rows, how_many(n, d) if n_pivots is None else n_pivots)
+    sent, may = None, None
     if len(p) == 1:  # one cell has no bounds to know
-        dealt, n_parts = rows.withColumn("cell", F.lit(0)), np.array([-(-n // _pack_size(d))])
-        parts = spark.createDataFrame([(0, int(n_parts[0]))], "_cell int, parts int")
-        packs, count, angle, least = packed(clustered(dealt, parts), d), np.array([n]), np.array([np.pi]), np.zeros((1, 1))
+        packs, units, size = _one_cell(rows, n, d)
     else:
         dealt = cut(assigned(rows, p).drop("near"), "cell-rows")
         parts = cut(parts_of(dealt, d), "cell-parts")
-        packs = packed(cut(clustered(dealt, parts), "cell-clusters"), d)
+        packs = cut(packed(clustered(dealt, parts), d), "cell-packs")
         count, angle, least = _bounds(packs, p)
-        n_parts = np.zeros(len(p), np.int64)
-        for r in parts.collect():  # a row a cell
-            n_parts[r["_cell"]] = r["parts"]
-    far = np.sqrt(max(2 - 2 * threshold, 0.0)) * np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0.0)) + 1e-9
-    # cell p sends to cell q, each pair of cells one way: both by turns, so that none sends or gets all
-    number = np.arange(len(p))
-    sends = ((number[:, None] + number[None]) % 2 == 0) == (number[:, None] < number[None])
-    np.fill_diagonal(sends, True)
-    sends &= count[None] > 0
-    most = np.arccos(min(threshold, 1.0)) + 1e-9
-    sent = spark.sparkContext.broadcast((p, least, far, angle, sends, n_parts))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, least, far, angle, sends, n_parts = sent.value
-        for b in batches:
-            ids, x, cell = np.asarray(b.column(0)), _matrix(b.column(1), d), np.asarray(b.column(2))
-            for s0 in range(0, len(ids), PACK):
-                i, y, c = ids[s0 : s0 + PACK], x[s0 : s0 + PACK], cell[s0 : s0 + PACK]
-                s = y @ p.T
-                near = (s[np.arange(len(c)), c][:, None] - s) + least[:, c].T <= far[c]
-                near &= np.arccos(np.clip(s, -1, 1)) - angle[None] <= most
-                near[np.arange(len(c)), c] = True
-                near &= sends[c]
-                for q in np.flatnonzero(near.any(0)):
-                    for same in (True, False):
-                        own = np.flatnonzero(near[:, q] & ((c == q) == same))
-                        if not len(own):
-                            continue
-                        names, rows = i[own].tobytes(), np.ascontiguousarray(y[own]).tobytes()
-                        for part in range(n_parts[q]):
-                            yield pa.RecordBatch.from_pydict({"to": pa.array([int(q)], pa.int32()), "part": pa.array([part], pa.int32()), "same": [same], "m": pa.array([len(own)], pa.int32()), "x_ids": pa.array([names], pa.binary()), "x_rows": pa.array([rows], pa.binary())})
-
-    routed = dealt.select("id", "v", "cell").mapInArrow(route, "to int, part int, same boolean, m int, x_ids binary, x_rows binary")
-    # the part is in the key, so a large cell's packs are met in as many tasks
-    met = routed.join(packs.select(F.col("cell").alias("to"), F.col("pack").alias("part"), "n", "ids", "rows"), ["to", "part"])
-    found = met.select("same", "x_ids", "x_rows", "ids", "rows", "m", "n").mapInArrow(_multiplied(d, threshold, k), "query_id long, id long, score double, tested long")
-    found = cut(found, "cell-links")
-    sent.destroy()
+        units, size = [], []
+        for r in sorted(parts.collect()):  # a row a cell
+            units += [(r["_cell"], i) for i in range(r["parts"])]
+            size += [count[r["_cell"]] / r["parts"]] * r["parts"]
+        far = np.sqrt(max(2 - 2 * threshold, 0.0)) * np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0.0)) + 1e-9
+        most = np.arccos(min(threshold, 1.0)) + 1e-9
+        apart = np.arccos(np.clip(p @ p.T, -1, 1)) - 1e-7
+        may = (least + least.T <= far) & (apart - angle[:, None] - angle[None] <= most)
+        np.fill_diagonal(may, True)
+        sent = spark.sparkContext.broadcast((p, least, far, angle, most))
+    found = _in_groups(packs.withColumn("floor", F.lit(None).cast("binary")), units, np.array(size), d, threshold, k, both, may, sent)
+    if sent is not None:
+        sent.destroy()
     tested = found.agg(F.coalesce(F.sum("tested"), F.lit(0)).alias("tested"))
     found = found.where(F.col("score").isNotNull()).drop("tested")
-    if k is not None:
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-        found = found.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
-    return Join(found, tested)
+    return Join(found if k is None else _of_each(found, k).drop("rank"), tested)
+
+
+def _one_cell(rows: DataFrame, n: int, d: int) -> tuple[DataFrame, list[tuple[int, int]], list[float]]:
+    """(packs, their numbers, about how many rows each has) with all rows in one cell, dealt by a hash of their ids."""
+    parts = -(-n // _pack_size(d))
+    dealt = clustered(rows.withColumn("cell", F.lit(0)), rows.sparkSession.createDataFrame([(0, parts)], "_cell int, parts int"))
+    return packed(dealt, d), [(0, i) for i in range(parts)], [n / parts] * parts
+
+
+def _floors(d: int, k: int):
+    """Packs with each row's k-th score within its pack, which its k-th of all reaches (-inf without as many)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            floors = []
+            for ids, rows in zip(b.column(3), b.column(4)):
+                ids, x = np.frombuffer(ids.as_buffer(), np.int64), _floats(rows.as_buffer(), d)
+                low = np.full(len(ids), -np.inf)
+                for i in range(0, len(ids) if k <= len(ids) else 0, SLICE):
+                    s = np.round(x[i : i + SLICE] @ x.T, 12)
+                    s[ids[i : i + SLICE, None] == ids[None]] = -np.inf
+                    low[i : i + SLICE] = np.partition(s, -k, axis=1)[:, -k]
+                floors.append(low.tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(floors, pa.binary())], names=[*b.schema.names, "floor"])
+
+    return run
+
+
+def nearest(df: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
+    """query_id, id, score, rank: each row's ``k`` rows of another id with the largest cosine, as ``vectors.search`` finds them, but each
+    pair of rows is multiplied once, and no vector goes through the driver. A zero vector scores 0."""
+    spark = df.sparkSession
+    _small_batches(spark)
+    rows = df.where(vectors.usable(vector) & F.col(id_col).isNotNull())
+    most = rows.groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if most is None or k < 1:
+        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
+    n, d = most["count"], most["d"]
+    rows = rows.where(F.size(vector) == d).select(F.col(id_col).cast("long").alias("id"), vectors.normalised(vector).alias("v"))
+    packs, units, size = _one_cell(rows, n, d)
+    packs = cut(packs.mapInArrow(_floors(d, k), _PACKS + ", floor binary"), "cell-packs")
+    found = _in_groups(packs, units, np.array(size), d, None, k, True, None, None)
+    return _of_each(found.where(F.col("score").isNotNull()).drop("tested"), k)
 
 
 def save(df: DataFrame, path: str, id_col: str, vector: str, n_cells: int | None = None) -> None:

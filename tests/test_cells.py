@@ -56,6 +56,51 @@ def test_similar_in_noise(spark):
         assert {(r["query_id"], r["id"], r["score"]) for r in found.links.collect()} == _expected(x, t, None)
 
 
+@pytest.mark.parametrize("n", [100_000, 600_000])
+def test_a_pack_is_sent_to_a_fixed_number_of_groups(n):
+    units = [(c, 0) for c in range(n // 2_000)]
+    groups, routes = cells._routes(units, np.full(len(units), 2_000.0), 64, 19, None)
+    assert groups == cells.GROUPS and all(len(to) == groups for _, _, to in routes)
+    sides: dict[int, set] = {}
+    for _, _, to in routes:
+        for task, side in to:
+            sides.setdefault(task, set()).add(side)
+    assert len(sides) == groups * (groups + 1) // 2 and all(x in ({0, 1}, {2}) for x in sides.values())
+
+
+@pytest.mark.parametrize("k", [None, 3])
+def test_similar_in_many_groups(spark, monkeypatch, k):
+    monkeypatch.setattr(cells, "PACK", 16)
+    monkeypatch.setattr(cells, "MORE_LINKS", 5)
+    x = np.concatenate([np.random.default_rng(5).normal(size=(230, 6)), np.repeat(_flat(1, 5)[:, :6], 70, axis=0)])
+    df = _frame(spark, x)
+    found = cells.similar(df, "vec_id", "embedding", 0.5, k, 1)
+    want = {e[:2]: e[2] for e in _expected(x, 0.5, k)}
+    got = {(r["query_id"], r["id"]): r["score"] for r in found.links.collect()}
+    assert got == pytest.approx(want, abs=2e-12)
+    if k is None:
+        one = cells.similar(df, "vec_id", "embedding", 0.5, n_pivots=1, both=False).links
+        assert sorted((r["query_id"], r["id"]) for r in one.collect()) == sorted(e for e in want if e[0] < e[1])
+
+
+def test_neighbours_without_blocks_on_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(cells, "PACK", 16)
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda self: pytest.fail("vectors reached the driver"))
+    x = np.concatenate([np.random.default_rng(6).normal(size=(120, 5)), np.ones((30, 5)), np.zeros((3, 5))])
+    df = _frame(spark, x, [*range(150), 7, 7, 200])
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round((u := x / np.where(norm == 0, 1, norm)) @ u.T, 12) + 0.0
+    ids = np.array([*range(150), 7, 7, 200])
+    want = []
+    for i in (0, 5, 130, 152):
+        order = [j for j in np.lexsort((ids, -s[i])) if ids[j] != ids[i]][:4]
+        want += [(int(ids[i]), int(ids[j]), s[i, j], r + 1) for r, j in enumerate(order)]
+    got = vectors.self_neighbours(df, "vec_id", "embedding", 4).where("query_id in (0, 5, 130, 200)").collect()
+    assert sorted((r["query_id"], r["id"], round(r["score"], 10), r["rank"]) for r in got) == sorted((q, i, round(v, 10), r) for q, i, v, r in want)
+    few = vectors.self_neighbours(df.where("vec_id < 3"), "vec_id", "embedding", 9)
+    assert few.count() == 6 and vectors.self_neighbours(df.where("false"), "vec_id", "embedding").collect() == []
+
+
 def test_similar_edges(spark):
     nan = float("nan")
     x = [[1, 0], None, [nan, 1], [None, 1], [0, 0], [], [2, 0], [1, 1, 1]]
