@@ -135,6 +135,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "qu
 
 
 def self_neighbours(df: DataFrame, id_col: str, vector: str, k: int = 19) -> DataFrame:
-    """query_id, id, score, rank: each row's nearest others."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
-    return search(rows, rows, k, query_id="id", skip_self=True)
+    """query_id, id, score, rank: each row's nearest others (``cells.nearest``)."""
+    from .cells import nearest  # which uses this module
+
+    return nearest(df, id_col, vector, k)
