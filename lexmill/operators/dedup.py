@@ -16,9 +16,10 @@ from .components import connected_components
 LOG_EDGES = 1_000_000
 
 
-def _firsts(df: DataFrame, text: Column | str, pos: str) -> DataFrame:
+def _firsts(df: DataFrame, text: Column | str, pos: str, hashed: bool = False) -> DataFrame:
     """The smallest pos of every text, white space aside. Only hashes and positions are grouped, with partial minima."""
-    return df.select(X.content_hash(text).alias("_hash"), F.col(pos).alias("_first")).groupBy("_hash").agg(F.min("_first").alias("_first")).select("_first")
+    key = X.col(text) if hashed else X.content_hash(text)
+    return df.select(key.alias("_hash"), F.col(pos).alias("_first")).groupBy("_hash").agg(F.min("_first").alias("_first")).select("_first")
 
 
 def exact(df: DataFrame, text: Column | str, pos: str = "pos") -> DataFrame:
@@ -108,10 +109,15 @@ def log_head(log: DataFrame, n: int = 100) -> DataFrame:
     return log.orderBy("row", "slot").limit(n).select("removed_id", "kept_id", F.round("similarity", 4).alias("similarity"))
 
 
-def deduplicate(df: DataFrame, text: Column | str, pos: str, vector: str, threshold: float = 0.80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, removal log, counts): exact first, then by vectors."""
-    unique = exact(df, text, pos)
-    rows, log = semantic(unique, pos, vector, threshold)
+def deduplicate(df: DataFrame, text: Column | str, pos: str, vector: str, threshold: float = 0.80, hashed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, removal log, counts): exact first, then by vectors.
+
+    With ``hashed``, ``text`` is each text's ``content_hash`` already, so that rows may come without their texts.
+    """
+    kept = cut(_firsts(df, text, pos, hashed), "exact-kept")
+    unique = df.join(kept, F.col(pos).eqNullSafe(F.col("_first")), "left_semi")
+    log = semantic(cut(unique.select(pos, vector), "exact-vectors"), pos, vector, threshold)[1]
+    rows = unique.join(log.select(F.col("removed_id").alias(pos)), pos, "left_anti")
     one = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
     counts = one(df, "original").crossJoin(one(unique, "after_exact")).crossJoin(one(rows, "deduped"))
     counts = counts.select("original", (F.col("original") - F.col("after_exact")).alias("exact_removed"), (F.col("after_exact") - F.col("deduped")).alias("semantic_removed"), "deduped")
