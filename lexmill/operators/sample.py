@@ -162,7 +162,11 @@ def k_center_by_group(df: DataFrame, group: str, vector: str, pos: str, quotas:
 
 def sample(df: DataFrame, text: Column | str, vector: str, pos: str, quotas: Mapping[str, int], packs: Mapping[str, Sequence[str]] | None = None, seed: int = 42) -> DataFrame:
     """The sampled rows with their ``ability``, in order of ``pos``: each class's quota, what is left over from the unclassified."""
-    classed = df.withColumn("ability", ability(text, packs))
+    return by_class(df.withColumn("ability", ability(text, packs)), vector, pos, quotas, seed)
+
+
+def by_class(classed: DataFrame, vector: str, pos: str, quotas: Mapping[str, int], seed: int = 42) -> DataFrame:
+    """``sample`` of rows that have their ``ability`` already, and so may come without their texts."""
     counts = {r["ability"]: r["n"] for r in classed.groupBy("ability").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a class
     taken = {k: min(q, counts.get(k, 0)) for k, q in quotas.items()}
     left = sum(quotas.values()) - sum(taken.values())

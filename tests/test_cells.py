@@ -235,3 +235,28 @@ def test_removal_log_is_the_scan(spark, most):
     head = dedup.log_head(log, 5).collect()
     assert [(r["removed_id"], r["kept_id"]) for r in head] == [e[:2] for e in sorted(_scanned(edges), key=lambda e: (e[3], e[4]))[:5]]
     assert dedup.removal_log(df.where("false"), most).collect() == []
+
+
+@pytest.mark.parametrize("query", ["q_dedup_counts", "q_quota_counts"])
+def test_no_text_is_exchanged(spark, monkeypatch, query):
+    """Texts are hashed or classed where they are read, before the join with the vectors; all after it is a table without them."""
+    from lexmill import queries
+
+    seen, cut = [], queries.cut
+    monkeypatch.setattr(queries, "cut", lambda df, name: (seen.append(df), cut(df, name))[1])
+    assert queries.queries()[query](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(seen) == 1 and "text" not in seen[0].columns
+    joins = [x for x in seen[0]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins) == 1
+
+
+def test_deduplicate_by_hashes(spark):
+    from lexmill.functions import text as X
+
+    rows = [(i, f"t {i % 40}", x.tolist()) for i, x in enumerate(_flat(60, 8))] + [(None, "lone", [1.0] * 8), (61, None, [0.5] * 8)]
+    df = spark.createDataFrame(rows, "pos long, t string, v array<double>")
+    plain = dedup.deduplicate(df, "t", "pos", "v", 0.9)
+    hashed = dedup.deduplicate(df.withColumn("h", X.content_hash("t")).drop("t"), "h", "pos", "v", 0.9, hashed=True)
+    for a, b in zip(plain, hashed):
+        same = [c for c in a.columns if c in b.columns]
+        assert sorted(map(str, a.select(same).collect())) == sorted(map(str, b.select(same).collect()))
