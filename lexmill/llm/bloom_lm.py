@@ -19,7 +19,8 @@ different n-grams and places, each bundle asks each stretch once for the levels
 to the bundle. Both give the same scores.
 
 The exact unigram score beside the model needs exact counts: they are broadcast if there are at most ``send_words`` different
-words, and joined through an exchange of (document, word) counts beyond that. Both give the same numbers.
+words. Beyond that they come with the answers of the stretches or, where the filter is small enough to be sent, are joined
+through an exchange of (document, word) counts. All give the same numbers.
 """
 
 from __future__ import annotations
@@ -204,7 +205,7 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
     bits = max(MIN_BITS, int(4 * size).bit_length())
     buckets = 1 << max(4, min(bits - 14, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()), (int(size) >> BUCKET_TEXT).bit_length())
     packets = docs.mapInArrow(tidy(_count(buckets, order)), _PACKET_DDL)
-    return Model(cut(packets.groupBy("bucket").applyInArrow(_sum_up(), _MODEL_DDL), "bloom-lm"), buckets, order)
+    return Model(cut(packets.groupBy("bucket").applyInArrow(_sum_up(), _MODEL_DDL), "bloom-lm", large_rows=True), buckets, order)
 
 
 def levels(keys: np.ndarray, filled: np.ndarray, buckets: int, bits: int | np.ndarray) -> np.ndarray:
@@ -298,13 +299,21 @@ def _ask(buckets: int):
 
 
 def _answer(asked: pa.Table, stretch: pa.Table) -> pa.Table:
-    """bundle, bucket, levels (a byte an n-gram) from one stretch."""
-    out = []
+    """bundle, bucket, levels (a byte an n-gram) from one stretch; words, counts: the places and exact counts of words the model has
+    there, if the stretch comes with them."""
+    out, words, counts = [], [], []
     if asked.num_rows:
-        bits = stretch.column("filled")[0].as_py() if stretch.num_rows else b""
+        has = dict(zip(stretch.column("kind").to_pylist(), range(stretch.num_rows)))
+        bits = stretch.column("keys")[has[1]].as_py() if 1 in has else b""
+        known = tuple(np.frombuffer(stretch.column(c)[has[0]].as_py() if 0 in has else b"", t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
         filled, sizes = np.frombuffer(bits, np.uint8), np.array([8 * len(bits)])
-        out = [levels(np.frombuffer(k.as_py(), np.uint64), filled, 1, sizes).astype(np.uint8).tobytes() for k in asked.column("keys")]
-    return pa.Table.from_arrays([asked.column("bundle"), asked.column("bucket"), pa.array(out, pa.binary())], names=["bundle", "bucket", "levels"])
+        for k in asked.column("keys"):
+            keys = np.frombuffer(k.as_py(), np.uint64)
+            out.append(levels(keys, filled, 1, sizes).astype(np.uint8).tobytes())
+            c = lookup(known, keys)
+            words.append(np.flatnonzero(c).astype(np.int32).tobytes())
+            counts.append(c[c > 0].tobytes())
+    return pa.Table.from_arrays([asked.column("bundle"), asked.column("bucket"), *(pa.array(x, pa.binary()) for x in (out, words, counts))], names=["bundle", "bucket", "levels", "words", "counts"])
 
 
 def _score_bundles(table, n: int, v: int, order: int):
@@ -314,6 +323,10 @@ def _score_bundles(table, n: int, v: int, order: int):
             for r in batch.to_pylist():
                 offsets, keys, codes = np.frombuffer(r["offsets"], np.int64), np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["codes"], np.int32)
                 level = np.frombuffer(b"".join(x["levels"] for x in r["answers"]), np.uint8).astype(np.int64)
+                if table is None:  # the answers tell the words' counts, by places within each stretch's part of the keys
+                    begin = np.cumsum([0, *[len(x["levels"]) for x in r["answers"]]])
+                    at = np.concatenate([b + np.frombuffer(x["words"], np.int32) for b, x in zip(begin, r["answers"])])
+                    known = keys[at.astype(np.int64)], np.frombuffer(b"".join(x["counts"] for x in r["answers"]), np.int64)
                 each, at = np.unique(codes[: offsets[-1]], return_inverse=True)
                 found = [level[x] for x in np.split(codes[:-1], order)]
                 got = _rows(pa.array(r["ids"], pa.int64()), offsets, keys[each], at, known, found, int(level[codes[-1]]), n, v)
@@ -323,14 +336,18 @@ def _score_bundles(table, n: int, v: int, order: int):
 
 
 def _through_stretches(docs: DataFrame, model: Model, table) -> DataFrame:
-    """Scores of ``docs`` (doc_id, text, row) with the filter left in its table; stretches are dealt out ``salts`` times over."""
-    bundles = cut(docs.mapInArrow(tidy(_bundle(model.order)), _BUNDLE_DDL), "bloom-bundles")
+    """Scores of ``docs`` (doc_id, text, row) with the filter left in its table; stretches are dealt out ``salts`` times over.
+
+    Without ``table`` the exact counts of a stretch's words go along with it.
+    """
+    bundles = cut(docs.mapInArrow(tidy(_bundle(model.order)), _BUNDLE_DDL), "bloom-bundles", large_rows=True)
     size = bundles.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).collect()[0][0]
     salts = max(1, -(-int(size) // (ASKED * model.buckets)))
     asked = bundles.select("bundle", "keys").mapInArrow(tidy(_ask(model.buckets)), "bundle long, bucket int, keys binary").withColumn("salt", F.pmod("bundle", F.lit(salts)))
-    stretch = model.table.where("kind = 1").select("bucket", F.col("keys").alias("filled"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).alias("salt"))
-    answers = asked.groupBy("bucket", "salt").cogroup(stretch.groupBy("bucket", "salt")).applyInArrow(_answer, "bundle long, bucket int, levels binary")
-    answers = answers.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("bucket", "levels"))).alias("answers"))
+    kept = model.table if table is None else model.table.where("kind = 1")
+    stretch = kept.select("bucket", "kind", "keys", "counts", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).alias("salt"))
+    answers = asked.groupBy("bucket", "salt").cogroup(stretch.groupBy("bucket", "salt")).applyInArrow(_answer, "bundle long, bucket int, levels binary, words binary, counts binary")
+    answers = answers.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("bucket", "levels", "words", "counts"))).alias("answers"))
     return bundles.join(answers, "bundle").mapInArrow(tidy(_score_bundles(table, model.tokens, model.words, model.order)), _SCORED + ", row long")
 
 
@@ -387,9 +404,7 @@ def score(docs: DataFrame, model: Model, send_words: int = SEND_WORDS, send_bits
             return docs.mapInArrow(tidy(run), _SCORED).withColumnRenamed("base", "base_score")
         found = scored.mapInArrow(_keep_row(run), _SCORED + ", row long")
     else:
-        found = _through_stretches(scored, model, table)
-        if small:
-            return found.drop("row").withColumnRenamed("base", "base_score")
+        return _through_stretches(scored, model, table).drop("row").withColumnRenamed("base", "base_score")
     base = joined_base(docs.dropDuplicates().withColumn("row", F.xxhash64("doc_id", "text")), model).withColumnRenamed("row", "base_row")
     return found.drop("base", "n_known").join(base, F.col("row") == F.col("base_row")).select("doc_id", "n_tokens", "n_known", F.col("base").alias("base_score"), "score")
 

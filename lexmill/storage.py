@@ -12,6 +12,8 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _made: set[str] = set()
+#: Bytes of a row group of a table of large rows, about.
+LARGE_ROWS_GROUP = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,14 +49,21 @@ def _clear() -> None:
             drop_path(spark, path)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: lineage ends there and lost executors cost nothing.
 
+    With ``large_rows`` (of megabytes) sizes are looked at behind each row: Parquet would otherwise hold a hundred rows before it
+    first looks, and a reader a whole row group at once.
+
     What the driver's JVM has freed by then outside its heap goes back to the system.
     """
     spark = df.sparkSession
     path = staging_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if large_rows:
+        sizes = {"parquet.block.size": LARGE_ROWS_GROUP, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1}
+        writer = writer.options(**sizes, **{"parquet.enable.dictionary": "false"})
+    writer.parquet(path)
     trim_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 

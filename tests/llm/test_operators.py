@@ -683,3 +683,29 @@ def test_near_duplicate_query(spark, texts):
     some = dict(list(texts.items())[:250])
     want = _components(some)
     assert all(got[i][0] == n for i, (n, _) in want.items())
+
+
+def test_tables_of_large_rows_have_small_row_groups(spark, monkeypatch):
+    """A hundred rows of 300 KB were one row group, held whole by writer and reader."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from lexmill import storage
+
+    monkeypatch.setattr(storage, "LARGE_ROWS_GROUP", 1 << 20)
+    made = spark.range(0, 60, 1, 1).selectExpr("id", "cast(repeat(uuid(), 8000) as binary) AS x")
+    got = storage.cut(made, "large-rows", large_rows=True)
+    files = [f for path in got.inputFiles() for f in glob.glob(path.removeprefix("file://"))]
+    groups = [pq.ParquetFile(f).metadata for f in files]
+    assert got.count() == 60 and max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) <= 8
+
+
+def test_exact_counts_come_with_the_stretches(spark):
+    rows = [(i, f"w{i % 7} common x{i}" if i % 5 else None) for i in range(60)] + [(3, "w3 common x3"), (None, "lone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = bloom_lm.fit(docs.where("doc_id < 40"))
+    plan = bloom_lm.score(docs, model, send_words=0, send_bits=0)
+    assert "HashAggregate(keys=[doc_id" not in plan._jdf.queryExecution().toString()  # no texts are grouped
+    got = [sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 9)) for r in df.collect()) for df in (plan, bloom_lm.score(docs, model))]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
