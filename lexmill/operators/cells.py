@@ -38,8 +38,9 @@ MOST_PIVOTS, PIVOT_BYTES = 1_024, 32 << 20
 GROUPS, GROUP_BYTES, GROUP_LINKS = 12, 48 << 20, 4_000_000
 #: Rows of a pack that are multiplied at once, pairs multiplied again in double precision at once, links in a batch.
 SLICE, PAIRS, LINKS = 256, 1 << 16, 1 << 17
-#: Links beyond its rows' best that a side keeps before it drops those that are not.
-MORE_LINKS = 1_000_000
+#: Links beyond its rows' best that a pack keeps at least before it drops those that are not; a pack keeps as many as its best are, if
+#: those are more. A task holds all packs of a group, so it is what bounds the task's memory where most rows are similar.
+MORE_LINKS = 1 << 16
 _PACKS = "cell int, pack int, n int, ids binary, rows binary"
 
 
@@ -216,7 +217,7 @@ class _Rows:
         if good.any():
             self.found.append((row[good], other[good], score[good]))
             self.n += len(self.found[-1][0])
-            if self.k is not None and self.n > self.k * len(self.ids) + MORE_LINKS:
+            if self.k is not None and self.n > (best := self.k * len(self.ids)) + max(best, MORE_LINKS):
                 self.settle()
 
     def settle(self) -> None:

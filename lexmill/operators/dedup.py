@@ -98,6 +98,12 @@ def removal_log(edges: DataFrame, most: int = LOG_EDGES) -> DataFrame:
         rest = cut(first(later), "scan-edges")
 
 
+def semantic_kept(df: DataFrame, id_col: str, vector: str, threshold: float = 0.80, neighbours: int = 19) -> DataFrame:
+    """The rows that ``semantic`` keeps, without its log: the scan removes all rows of a component but the smallest, so none is replayed."""
+    parts = connected_components(semantic_edges(df, id_col, vector, threshold, neighbours).select("a", "b"))
+    return df.join(parts.where("node <> component").select(F.col("node").alias(id_col)), id_col, "left_anti")
+
+
 def semantic(df: DataFrame, id_col: str, vector: str, threshold: float = 0.80, neighbours: int = 19) -> tuple[DataFrame, DataFrame]:
     """(rows that stay, removal log). Of each component of similar rows the smallest id stays; the log is that of ``removal_log``."""
     log = removal_log(cut(semantic_edges(df, id_col, vector, threshold, neighbours), "semantic-edges"))

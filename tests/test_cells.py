@@ -237,6 +237,36 @@ def test_removal_log_is_the_scan(spark, most):
     assert dedup.removal_log(df.where("false"), most).collect() == []
 
 
+def test_kept_rows_need_no_scan(spark, monkeypatch):
+    from lexmill import queries
+
+    rows, _ = dedup.semantic(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"), "vec_id", "embedding", queries.EDGE)
+    monkeypatch.setattr(dedup, "removal_log", None)
+    got = queries.queries()["q_semantic_kept"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["vec_id"] for r in got) == sorted(r["vec_id"] for r in rows.select("vec_id").collect())
+
+
+@pytest.mark.parametrize("share", [0.02, 1.0])
+def test_a_pack_keeps_few_links(share):
+    """Where many rows are similar a pack soon drops what is not among its rows' best, and what stays is what one sort finds."""
+    rng, k, n = np.random.default_rng(3), 5, 2_000
+    rows = cells._Rows(np.arange(n), np.zeros((n, 2)), np.full(n, 0.4), k)
+    most, every = 0, []
+    for start in range(n, n + 30 * n, n):
+        row = np.repeat(np.arange(n), 20 if share == 1.0 else 1)
+        other, score = start + rng.integers(0, n, len(row)), np.round(rng.uniform(0.3, 1.0, len(row)), 2)
+        every += [x for x in zip(row.tolist(), other.tolist(), score.tolist()) if x[2] >= 0.4]
+        rows.add(row, other, score)
+        most = max(most, rows.n)
+    rows.settle()
+    assert most <= k * n + max(k * n, 1 << 16) + 20 * n
+    best: dict[int, list] = {}
+    for r, o, s in sorted(every, key=lambda x: (x[0], -x[2], x[1])):
+        best.setdefault(r, []).append((o, s))
+    row, other, score = (np.concatenate(c).tolist() for c in zip(*rows.found))
+    assert list(zip(row, other, score)) == [(r, o, s) for r, x in best.items() for o, s in x[:k]]
+
+
 @pytest.mark.parametrize("query", ["q_dedup_counts", "q_quota_counts"])
 def test_no_text_is_exchanged(spark, monkeypatch, query):
     """Texts are hashed or classed where they are read, before the join with the vectors; all after it is a table without them."""
