@@ -69,6 +69,18 @@ def _replayed(edges: pa.Table) -> pa.Table:
     return pa.table(columns | {c: own.column(c) for c in ("similarity", "row", "slot")})
 
 
+def _last(edges: DataFrame, most: int) -> DataFrame:
+    """component, last: the (row, slot) of the edge at place ``most`` of each component with as many. Edges go by ranges of the order;
+    the ranges' sizes are summed up before them and one range numbers its own, so no task gets a whole component."""
+    ranged = cut(edges.select("component", "row", "slot").repartitionByRange("component", "row", "slot").withColumn("_range", F.spark_partition_id()), "scan-order")
+    sizes = ranged.groupBy("component", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("component").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    hit = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where((F.col("_before") < most) & (F.col("_before") + F.col("_n") >= most)).drop("_n")
+    own = F.row_number().over(Window.partitionBy("component", "_range").orderBy("row", "slot"))
+    found = ranged.join(F.broadcast(hit), ["component", "_range"]).withColumn("_at", F.col("_before") + own).where(F.col("_at") == most)  # a row a large component
+    return found.select("component", F.struct("row", "slot").alias("last"))
+
+
 def removal_log(edges: DataFrame, most: int = LOG_EDGES) -> DataFrame:
     """removed_id, kept_id, similarity, row, slot of each union of a scan over rows and their neighbours.
 
@@ -82,17 +94,18 @@ def removal_log(edges: DataFrame, most: int = LOG_EDGES) -> DataFrame:
     first = lambda e: e.where("u <> v").groupBy("component", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min(F.struct("row", "slot", "similarity")).alias("e")).select("component", "u", "v", "e.*")
     given = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("a").alias("row"), "slot", "similarity")
     rest, log = cut(first(given.join(parts, "u")), "scan-edges"), None
-    place = F.row_number().over(Window.partitionBy("component").orderBy("row", "slot"))
     ddl = "removed_id long, kept_id long, root long, similarity double, row long, slot int"
     while True:
         large = (rest.groupBy("component").count().agg(F.max("count")).first()[0] or 0) > most
-        now = rest.withColumn("_place", place).where(F.col("_place") <= most).drop("_place") if large else rest
+        now, later = rest, None
+        if large:
+            placed = rest.join(F.broadcast(cut(_last(rest, most), "scan-last")), "component", "left").withColumn("_later", F.coalesce(F.struct("row", "slot") > F.col("last"), F.lit(False))).drop("last")
+            now, later = placed.where("not _later").drop("_later"), placed.where("_later").drop("_later")
         done = cut(now.groupBy("component").applyInArrow(_replayed, ddl), "scan-log")
         log = done if log is None else log.unionAll(done)
         if not large:
             return log.drop("root")
         roots = done.select("removed_id", "root")
-        later = rest.withColumn("_place", place).where(F.col("_place") > most).drop("_place")
         for end in ("u", "v"):
             later = later.join(roots, F.col(end) == F.col("removed_id"), "left").withColumn(end, F.coalesce("root", end)).drop("removed_id", "root")
         rest = cut(first(later), "scan-edges")

@@ -237,6 +237,17 @@ def test_removal_log_is_the_scan(spark, most):
     assert dedup.removal_log(df.where("false"), most).collect() == []
 
 
+def test_no_window_over_a_component(spark, monkeypatch):
+    """The first edges of a large component are found by ranges: rows are numbered within a range alone."""
+    seen, cut = [], dedup.cut
+    monkeypatch.setattr(dedup, "cut", lambda df, name: (seen.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df, name))[1])
+    edges = [(a, a + b, 0.5, b) for a in range(20) for b in (1, 2)]
+    log = dedup.removal_log(spark.createDataFrame(edges, "a long, b long, similarity double, slot int").repartition(3), 25)
+    assert sorted(tuple(r) for r in log.collect()) == _scanned(edges)
+    windows = [x for plan in seen for x in plan.splitlines() if "row_number()" in x and "Window [" in x]
+    assert windows and all("_range" in x.split("row_number()")[1] for x in windows)
+
+
 def test_kept_rows_need_no_scan(spark, monkeypatch):
     from lexmill import queries
 
