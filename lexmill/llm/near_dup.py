@@ -10,15 +10,16 @@
    least of its own, as what is closest to a common origin has most links. Members that are linked, directly or by others,
    are never compared.
 4. Classes of lists that still hold several components are listed once more under the rarest shingles of their full sets,
-   which is exact. There, too, hubs go first (two rounds), then the pairs of different components that may still be linked.
-   No pair that could be linked is left untested.
+   which is exact. There, too, hubs go first (a second round of them only where many pairs would be left), then the pairs of
+   different components that may still be linked. No pair that could be linked is left untested.
 
 T follows from the similarity asked for: the largest number for which a link of just that similarity has fewer matches among K
 coordinates with probability below OVERLOOKED; more similar links are safer.
 
 Lists of one key may hold a third of all rows. Rows of a key with more than ``_long`` of them get what belongs to the key from
 a broadcast of those few keys, so they stay where they are; only rows of other keys go through an exchange by key. The last
-step's pairs within a long list are dealt by blocks of LONG members, two blocks a key.
+step's pairs within a long list are dealt by blocks of LONG members, two blocks a key. Tables of SEND_ROWS rows at most (hubs,
+components, pairs) are sent whole, which spares most of the many small steps their exchanges.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ SHINGLE, K, OVERLOOKED = 5, 32, 1e-5
 LONG, LONG_KEYS = 512, 200_000
 #: Ids of classes that are sent to all workers at most, as a filter on the second read of the texts; beyond it is a join.
 SEND_IDS = 2_000_000
+#: Rows of a few numbers, and classes with their signatures, that are sent at most; a larger table is joined through an exchange.
+SEND_ROWS, SEND_SIGNATURES = 500_000, 100_000
 _RNG = np.random.default_rng(71)
 _MULTIPLY = _RNG.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, K, dtype=np.uint64)
@@ -122,45 +125,71 @@ def least_matches(percent: int) -> int:
     return K
 
 
+def _sent(table: DataFrame, rows: int, most: int | None = None) -> DataFrame:
+    """``table`` with the hint to send it whole, if it has ``most`` (SEND_ROWS) rows at most."""
+    return F.broadcast(table) if rows <= (SEND_ROWS if most is None else most) else table
+
+
 def _long(total: int) -> int:
     return max(LONG, total // LONG_KEYS)
 
 
-def _keyed(rows: DataFrame, counted: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def _keyed(rows: DataFrame, counted: DataFrame, key: str, n: str, send: bool = True) -> DataFrame:
     """``rows`` joined with ``counted`` by ``key``; counted has one row a key, with ``n``, how many rows hold it.
 
-    ``total``: of the rows. Keys with more than _long(total) of them are at most LONG_KEYS, so they are broadcast.
+    Keys with more than _long(rows) of them are at most LONG_KEYS, so they are broadcast; all keys are, with ``send``, if few.
     """
-    long = F.broadcast(counted.where(F.col(n) > _long(total)))
-    short = rows.join(F.broadcast(counted.where(F.col(n) > _long(total)).select(key)), key, "left_anti")
-    return rows.join(long, key).unionByName(short.join(counted.where(F.col(n) <= _long(total)), key))
+    if send and counted.count() <= SEND_ROWS:
+        return rows.join(F.broadcast(counted), key)
+    least = _long(rows.count())
+    long = F.broadcast(counted.where(F.col(n) > least))
+    short = rows.join(F.broadcast(counted.where(F.col(n) > least).select(key)), key, "left_anti")
+    return rows.join(long, key).unionByName(short.join(counted.where(F.col(n) <= least), key))
 
 
 def _postings(classes: DataFrame, t: int) -> DataFrame:
-    """token, rep, own: the prefix postings of the classes that can match another; own: coordinates that no other class has."""
+    """rep, own, tokens: the prefix postings of each class that can match another; own: coordinates that no other class has."""
     posted = classes.select("rep", F.posexplode("sig").alias("at", "value")).select("rep", (F.col("at").cast("long") * F.lit(1 << 32) + F.col("value").cast("long")).alias("token"))
     common = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common")
-    own = _keyed(posted, common, "token", "n", K * classes.count()).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("own"))  # K at most
-    posted = own.where(F.size("own") >= t).select("rep", (F.lit(K) - F.size("own")).alias("own"), F.explode(F.slice("own", F.lit(1), F.size("own") - (t - 1))).alias("p"))
-    return posted.select(F.col("p.token").alias("token"), "rep", "own")
+    own = _keyed(posted, common, "token", "n").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("own"))  # K at most
+    return own.where(F.size("own") >= t).select("rep", (F.lit(K) - F.size("own")).alias("own"), F.slice("own", F.lit(1), F.size("own") - (t - 1))["token"].alias("tokens"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, few: bool) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard index of ``percent`` or more.
+
+    ``few`` pairs are sent to the sets, and a pair's two sets meet by the pair: neither all sets nor a hub's pairs go to one place.
+    """
 
+    def near(x, y):
+        inter = F.size(F.array_intersect(x, y))
+        return F.lit(100) * inter >= F.lit(percent) * (F.size(x) + F.size(y) - inter)
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard index of ``percent`` or more."""
+    if few:
+        ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
+        of = lambda end: F.collect_list(F.when(F.col("doc_id") == F.col(end), F.col("shingles"))).alias(f"s{end}")  # noqa: E731  one, or those of a repeated doc_id
+        both = sets.join(F.broadcast(ends), "doc_id").groupBy("a", "b").agg(of("a"), of("b"))
+        return both.where(F.exists("sa", lambda x: F.exists("sb", lambda y: near(x, y)))).select("a", "b")
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return both.where(F.lit(100) * inter >= F.lit(percent) * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
+    return both.where(near(F.col("sa"), F.col("sb"))).select("a", "b").distinct()
 
 
-def _unlike(lists: DataFrame, parts: DataFrame) -> DataFrame:
+def _unlike(lists: DataFrame, parts: DataFrame, nodes: int) -> DataFrame:
     """Of lists (token, rep, ...) those with more than one component: with comp, top, the component that most of the list is in,
-    and list, how long it is."""
-    now = cut(lists.join(parts, "rep"), "placed")
+    and list, how long it is. ``nodes``: rows of parts."""
+    now = cut(lists.join(_sent(parts, nodes), "rep"), "placed")
     counts = now.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = counts.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("list")).where("comps > 1")
     mixed = cut(mixed.select("token", F.col("top.comp").alias("top"), "list"), "mixed")
-    return cut(_keyed(now, mixed, "token", "list", now.count()), "apart")
+    return cut(_keyed(now, mixed, "token", "list"), "apart")
+
+
+def _apart_reps(lists: DataFrame, parts: DataFrame, nodes: int) -> DataFrame:
+    """rep of the classes in lists with more than one component, maybe repeated."""
+    now = cut(lists.select("token", "rep").join(_sent(parts, nodes), "rep"), "placed")
+    mixed = now.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count(F.lit(1)).alias("list")).where("first != last")
+    return cut(_keyed(now, cut(mixed.select("token", "list"), "mixed"), "token", "list").select("rep"), "apart-reps")
 
 
 def _rare_lists(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,9 +199,9 @@ def _rare_lists(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     n - ceil(percent * n) + 1 rarest. Shingles that only one class has (a share ``own``) fill that prefix first, so a class with
     too many of them has no list. ``left``: the class's shingles that others have, from this one on.
     """
-    every = cut(sets.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("sh")), "shingles")
+    every = cut(sets.join(_sent(reps, reps.count(), SEND_IDS), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("sh")), "shingles")
     common = cut(every.groupBy("sh").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common")
-    kept = _keyed(every, common, "sh", "df", every.count()).groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("rare"))  # no more than the class's set
+    kept = _keyed(every, common, "sh", "df", send=False).groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("rare"))  # no more than the class's set
     need = F.ceil(F.col("n") * F.lit(percent) / F.lit(100.0)).cast("int")
     kept = kept.withColumn("prefix", F.size("rare") - need + 1).where("prefix > 0")
     kept = kept.select(F.col("doc_id").alias("rep"), "n", F.size("rare").alias("size"), F.posexplode(F.slice("rare", F.lit(1), F.col("prefix"))["sh"]).alias("at", "token"))
@@ -180,67 +209,81 @@ def _rare_lists(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _met(apart: DataFrame, percent: int | None, hubs: str | None) -> DataFrame:
-    """x, y of the pairs of different components in the lists: with one hub a list ('any', or 'rest': not of the list's top
+    """a, b of the pairs of different components in the lists, maybe repeated: with one hub a list ('any', or 'rest': not of the list's top
     component), or all (None). Where sizes are known (``percent``), pairs whose first common shingle comes too late to be linked
     are left out.
     """
     fields = [c for c in ("rep", "comp", "n", "left", "own") if c in apart.columns]
-    y = apart.select("token", "list", *[F.col(c).alias(f"{c}_y") for c in fields])
+    y = apart.select("token", *[c for c in ("list", "top") if c in apart.columns], *[F.col(c).alias(f"{c}_y") for c in fields])
     if hubs:
         key = F.struct(F.col("own").alias("o"), F.xxhash64("rep").alias("h"), F.struct(*fields).alias("r"))
-        x = apart.where("comp != top" if hubs == "rest" else "true").groupBy("token").agg(F.min(key)["r"].alias("r"), F.max("list").alias("list"))
+        longest = F.count(F.lit(1)) if hubs == "any" else F.max("list")
+        x = apart.where("comp != top" if hubs == "rest" else "true").groupBy("token").agg(F.min(key)["r"].alias("r"), longest.alias("list"))
         x = cut(x.select("token", "list", *[F.col(f"r.{c}").alias(f"{c}_x") for c in fields]), "hubs")
-        both = _keyed(y.drop("list"), x, "token", "list", apart.count())
+        both = _keyed(y.drop("list"), x, "token", "list")
     else:
-        blocks = F.ceil(F.col("list") / F.lit(LONG)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), blocks - 1))
-        own = lambda c: F.pmod(F.xxhash64(c), blocks).cast("int")
-        x = apart.select("token", "list", *[F.col(c).alias(f"{c}_x") for c in fields])
-        x = x.select("*", own("rep_x").alias("i"), every.alias("j")).drop("list")
-        both = x.join(y.select("*", own("rep_y").alias("j"), every.alias("i")).drop("list"), ["token", "i", "j"])
+        rest = apart.where("comp != top")  # two of the top component never make a pair
+        x = rest.select("token", "list", *[F.col(c).alias(f"{c}_x") for c in fields])
+        if (members := rest.count()) <= SEND_ROWS:
+            both = y.join(_sent(x.drop("list"), members), "token")
+        else:
+            blocks = F.ceil(F.col("list") / F.lit(LONG)).cast("int")
+            every = F.explode(F.sequence(F.lit(0), blocks - 1))
+            own = lambda c: F.pmod(F.xxhash64(c), blocks).cast("int")
+            x = x.select("*", own("rep_x").alias("i"), every.alias("j")).drop("list")
+            both = x.join(y.select("*", own("rep_y").alias("j"), every.alias("i")).drop("list"), ["token", "i", "j"])
     fits = F.col("comp_x") != F.col("comp_y")
     if percent:
         most = F.least("left_x", "left_y")  # shared at most, if this is the first shingle shared
         fits = fits & (F.lit(100) * most >= F.lit(percent) * (F.col("n_x") + F.col("n_y") - most))
     if not hubs:
-        fits = fits & (F.col("rep_x") < F.col("rep_y"))
-    return both.where(fits).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+        fits = fits & ((F.col("comp_y") == F.col("top")) | (F.col("rep_x") < F.col("rep_y")))
+    return both.where(fits).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
 
 
 def class_links(docs: DataFrame, classes: DataFrame, percent: int = 85) -> DataFrame:
     """rep, comp for the classes (rep, n, sig) that can match another: their component under links."""
     t = least_matches(percent)
-    postings = cut(_postings(classes, t), "postings")
-    sizes = cut(postings.groupBy("token").agg(F.count(F.lit(1)).alias("list")), "list-sizes")
-    posted = cut(postings.select("rep").distinct().join(classes, "rep"), "posted-classes")
-    ids = posted.select(F.col("rep").alias("doc_id"))
-    wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if posted.count() <= SEND_IDS else ids, "doc_id", "left_semi")
+    posted = cut(_postings(classes, t), "postings")
+    nodes = posted.count()
+    postings = posted.select(F.explode("tokens").alias("token"), "rep", "own")
+    ids = posted.select("rep")
+    signed = cut(classes.join(_sent(ids, nodes, SEND_IDS), "rep", "left_semi"), "posted-classes")
+    wanted = docs.select("doc_id", "text").join(_sent(ids, nodes, SEND_IDS), F.col("doc_id") == F.col("rep"), "left_semi")
     sets = cut(wanted.mapInArrow(tidy(_set), "doc_id long, shingles array<long>"), "shingle-sets")
-    nodes = posted.select("rep").distinct()
-    a, b = (posted.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
-    parts = links = tested = rare = None
+    signatures = signed.count()
+    a, b = (_sent(signed.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")), signatures, SEND_SIGNATURES) for c in "ab")
+    parts = ids.withColumn("comp", F.col("rep"))
+    tested = rare = apart = None
     for hubs in ("signature", "any", "rest", None):
         if hubs == "signature":
-            pairs = _met(_keyed(postings, sizes, "token", "list", postings.count()).withColumn("comp", F.col("rep")), None, "any")
+            pairs = _met(postings.withColumn("comp", F.col("rep")), None, "any")
         else:
             if rare is None:
-                apart = _unlike(postings, parts)
-                rare = _rare_lists(apart.select("rep").distinct(), sets, percent)
-            apart = _unlike(rare, parts)
-            if not apart.take(1):
+                rare = _rare_lists(_apart_reps(postings, parts, nodes), sets, percent)
+            if apart is None:
+                apart = _unlike(rare, parts, nodes)
+            if not (members := apart.count()):
                 break
+            if hubs == "rest" and _met(apart, percent, None).count() <= members:
+                continue  # so few pairs are left that they needn't be spared
             pairs = _met(apart, percent, hubs)
+        pairs = pairs.distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(_sent(tested, tested.count()), ["a", "b"], "left_anti")
         pairs = cut(pairs, "met")
+        met = pairs.count()
+        if not met:
+            continue
         tested = pairs if tested is None else tested.unionAll(pairs)
-        near = pairs.join(a, "a").join(b, "b").where(_fits(F.col("na"), F.col("nb"), percent) & (_matches("sa", "sb") >= t)).select("a", "b").distinct()
-        new = cut(_confirmed(near, sets, percent), "new-links")
-        if links is not None and not new.take(1):
+        near = pairs.join(a, "a").join(b, "b").where(_fits(F.col("na"), F.col("nb"), percent) & (_matches("sa", "sb") >= t)).select("a", "b")
+        new = cut(_confirmed(near, sets, percent, 2 * met <= SEND_ROWS), "new-links")
+        if not new.take(1):
             continue
-        links = new if links is None else links.unionAll(new)
-        parts = connected_components(links).withColumnsRenamed({"node": "rep", "component": "comp"})
-        parts = cut(nodes.join(parts, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")), "parts")
+        of = lambda end: _sent(parts.select(F.col("rep").alias(end), F.col("comp").alias(f"comp_{end}")), nodes)  # noqa: B023, E731  used before parts is set anew
+        joined = connected_components(new.join(of("a"), "a").join(of("b"), "b").select("comp_a", "comp_b")).withColumnsRenamed({"node": "comp", "component": "now"})
+        parts = cut(parts.join(_sent(joined, nodes), "comp", "left").select("rep", F.coalesce("now", "comp").alias("comp")), "parts")
+        apart = None
     return parts
 
 
@@ -252,7 +295,7 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     named = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = cut(named.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "classes")
     parts = class_links(docs, classes.select("rep", "n", "sig"), percent)
-    member = classes.join(parts, "rep", "left").select("d1", "d2", "n", F.coalesce("comp", "rep").alias("component_id"))
+    member = classes.join(_sent(parts, parts.count()), "rep", "left").select("d1", "d2", "n", F.coalesce("comp", "rep").alias("component_id"))
     found = signed.join(member, ["d1", "d2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "tie", "n", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -709,3 +709,52 @@ def test_exact_counts_come_with_the_stretches(spark):
     assert "HashAggregate(keys=[doc_id" not in plan._jdf.queryExecution().toString()  # no texts are grouped
     got = [sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 9)) for r in df.collect()) for df in (plan, bloom_lm.score(docs, model))]
     assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
+def _near_copies(seed: int) -> dict[int, str]:
+    """Groups of copies with a few words changed, and other texts with one passage in common."""
+    rng = np.random.default_rng(seed)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(2_000)]
+    rows = []
+    for n in (60, 150):
+        words = list(rng.choice(vocab, n))
+        for edits in [0, 0, 1, 1, 2, 3, 4, 6] * 4:
+            own = list(words)
+            for _ in range(edits):
+                own[rng.integers(len(own))] = str(rng.choice(vocab))
+            rows.append(" ".join(own))
+    passage = " ".join(rng.choice(vocab, 40))
+    rows += [passage + " " + " ".join(rng.choice(vocab, rng.integers(3, 40))) for _ in range(60)]
+    return dict(enumerate([*rows, "a b", "A  B", ""]))
+
+
+def test_near_duplicates_of_tables_too_large_to_send(spark, monkeypatch):
+    from lexmill.operators import components
+
+    for module, name, most in ((near_dup, "SEND_ROWS", 0), (near_dup, "SEND_SIGNATURES", 0), (near_dup, "SEND_IDS", 0), (near_dup, "LONG", 6), (components, "SEND_NODES", 0)):
+        monkeypatch.setattr(module, name, most)
+    rows = _near_copies(3)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs, 75).collect()}
+    assert got == _components(rows, 75)
+
+
+def test_near_duplicates_need_few_exchanges(spark):
+    """Each exchange is dealt over all shuffle partitions, however small its table; 30 stages here were, now 16 are."""
+    rows = _near_copies(5)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    conf = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, sc = {k: spark.conf.get(k) for k in conf}, spark.sparkContext
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few-exchanges", "near duplicates")
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs, 75).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == _components(rows, 75)
+    stages = {s for job in sc.statusTracker().getJobIdsForGroup("few-exchanges") for s in sc.statusTracker().getJobInfo(job).stageIds}
+    ran = [i for i in map(sc.statusTracker().getStageInfo, stages) if i and i.numCompletedTasks]
+    assert 0 < sum(i.numTasks == 13 for i in ran) <= 22
